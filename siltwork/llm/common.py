@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to Python; few rows a batch keep the buffers on both sides small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)

@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lower_ascii
+from .common import LOWER, UPPER, lower_ascii, small_batches
 
 FANOUT_BITS = 4
 #: Bytes of content that one in-memory table may hold before its bucket is split over spill files.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 32 << 20
 _FOLD = str.maketrans(UPPER, LOWER)
 
 
@@ -141,7 +141,7 @@ def _emit(grace: GraceDedup, names: list[str]) -> Iterator[pa.RecordBatch]:
     for row in grace.groups():
         rows.append(row)
         size += len(row[1])
-        if size > 8 << 20 or len(rows) >= 10_000:
+        if size > 4 << 20 or len(rows) >= 10_000:
             yield _out(rows, names)
             rows, size = [], 0
     if rows:
@@ -153,8 +153,8 @@ def _local(limit: int):
         grace = GraceDedup(limit)
         try:
             for batch in batches:
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    content = (text or "").translate(_FOLD).encode("utf-8", "surrogatepass")
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    content = (text.as_py() or "").translate(_FOLD).encode("utf-8", "surrogatepass")
                     grace.add(hashlib.sha256(content).digest(), content, i, 1)
             yield from _emit(grace, _GROUPS.names)
         finally:
@@ -168,8 +168,8 @@ def _global(limit: int):
         grace, names = GraceDedup(limit), ["digest", "best", "rows"]
         try:
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    grace.add(*row)
+                for row in zip(*batch.columns, strict=True):
+                    grace.add(*(v.as_py() for v in row))
             seen: dict[bytes, int] = {}
             for batch in _emit(grace, names):
                 for d in batch.column(0).to_pylist():
@@ -190,6 +190,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Each map task first groups its own rows, so a content crosses the shuffle once per task however
     many copies there are; the shuffle by digest is the first Grace partitioning.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     local = rows.mapInArrow(_local(table_bytes), "digest binary, content binary, best long, rows long")
     return local.repartition("digest").mapInArrow(_global(table_bytes), "digest binary, best long, rows long")
