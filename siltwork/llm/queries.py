@@ -4,6 +4,23 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import OP9_SQL, exact_dedup
+from .minhash_dedup import near_components
+from .packing import best_fit_packing
+
+
+def op1_minhash_dedup(spark, sf_dir):
+    return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def tokenizer_files() -> tuple[str, str, str]:
+    """Vocabulary, the same vocabulary as ranks, and its word pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
 def op9_exact_dedup(spark, sf_dir):
@@ -11,6 +28,8 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL = {
