@@ -86,12 +86,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = BAN
     return src.mapInArrow(_sketcher(k, bands, rows), _SKETCH)
 
 
-def _jaccard(k: int):
+def _jaccard(k: int, diffs: bool):
+    names = ["a", "b", "inter", "na", "nb"] + ["lacks", "adds"] * diffs
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for batch in batches:
             a, b = ids_of(batch.column(0)), ids_of(batch.column(1))
             inter, na, nb = (np.zeros(len(a), np.int64) for _ in range(3))
+            lacks, adds = [], []
             new = [i for i in range(len(a)) if a[i] != (a[i - 1] if i else last)]
             heads = dict(zip(new, (s for _, s in text_sets(batch.column(2).take(pa.array(new, pa.int64())), k)), strict=True))
             for r, s in text_sets(batch.column(3), k):
@@ -99,24 +106,48 @@ def _jaccard(k: int):
                     mine = heads.pop(r)
                 inter[r] = len(np.intersect1d(mine, s, assume_unique=True))
                 na[r], nb[r] = len(mine), len(s)
+                if diffs:
+                    lacks.append(np.setdiff1d(mine, s, assume_unique=True).astype(np.uint32).view(np.int32))
+                    adds.append(np.setdiff1d(s, mine, assume_unique=True).astype(np.uint32).view(np.int32))
             last = a[-1] if len(a) else last
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, inter, na, nb)], ["a", "b", "inter", "na", "nb"])
+            cols = [pa.array(x) for x in (a, b, inter, na, nb)] + ([lists(lacks), lists(adds)] if diffs else [])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """pairs (a, b) with the sizes of their whole sets and of the intersection; a pair's texts meet by two joins on the id."""
+def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, diffs: bool = False) -> DataFrame:
+    """pairs (a, b) with the sizes of their whole sets and of the intersection; a pair's texts meet by two joins on the id.
+
+    diffs: also 32 bits of each shingle of a that b lacks and that b adds.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     one = pairs.join(texts, pairs.b == texts.id).select("a", "b", F.col("t").alias("tb"))
     two = one.join(texts, one.a == texts.id).select("a", "b", "t", "tb")
-    return two.mapInArrow(_jaccard(k), "a long, b long, inter long, na long, nb long")
+    return two.mapInArrow(_jaccard(k, diffs), "a long, b long, inter long, na long, nb long" + ", lacks array<int>, adds array<int>" * diffs)
 
 
 def _linked(percent: int):
     return F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))
 
 
+def _unlinked(seen: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one star that reach the similarity although their components differ."""
+    comp = seen.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("label", "b")).drop("label")
+    comp = comp.join(label.select(F.col("node").alias("a"), F.col("label").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
+    comp = cut(comp.select("a", "b", "na", "nb", "lacks", "adds", "comp", (F.col("comp") != F.col("main")).alias("apart")))
+    mixed = comp.where("apart").select("a").distinct()
+    x = comp.where("apart").select("a", *(F.col(c).alias("x_" + c) for c in ("b", "nb", "lacks", "adds", "comp")))
+    y = comp.join(mixed, "a", "left_semi").select("a", "na", *(F.col(c).alias("y_" + c) for c in ("b", "nb", "lacks", "adds", "comp", "apart")))
+    reach = lambda inter: inter * 100 >= F.lit(percent) * (F.col("x_nb") + F.col("y_nb") - inter)
+    lx, ly, ax, ay = (F.size(c).cast("long") for c in ("x_lacks", "y_lacks", "x_adds", "y_adds"))
+    bound = F.col("na") - F.greatest(lx, ly) + F.least(ax, ay)
+    inter = F.col("na") - lx - ly + F.size(F.array_intersect("x_lacks", "y_lacks")) + F.size(F.array_intersect("x_adds", "y_adds"))
+    # two that are both apart from the star's component meet once
+    once = ~F.col("y_apart") | (F.col("x_b") < F.col("y_b"))
+    return x.join(y, "a").where((F.col("x_comp") != F.col("y_comp")) & once & reach(bound) & reach(inter + 1)).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, class_id.
 
@@ -128,41 +159,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are in one class. Other columns are ignored, an empty table gives an empty result.
 
     Equal sets meet first and only the class's representative is banded. In each bucket all members are
-    verified against its smallest one (a star, never all pairs). Buckets that still hold several
-    components are finished exactly: members outside their smallest member's component are compared with
-    those of the bucket that are of another component, near enough in size, and - by the triangle
-    inequality of Jaccard distance - near enough in their distance from it.
+    verified against its smallest one (a star, never all pairs). Then two members of the same stars are
+    still unlinked if their components differ. A member's set is its star's smallest member less what it
+    lacks and with what it adds, so the intersection of two of them follows from these short
+    differences; the join gives out only pairs that reach the similarity by 32 bits of each shingle
+    (which can only overrate them), and these are verified on whole sets.
     """
     sk = cut(sketch(docs, id_col, text_col, k))
     full = sk.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "fp1", "fp2"]
     classes = cut(full.groupBy(*key).agg(F.min("id").alias("rep")))
     # a repeated id is one node; its rows are alike
-    reps = full.join(classes.select("rep"), full.id == F.col("rep"), "left_semi").select("id", F.col("n_shingles").alias("n"), "bands")
+    reps = full.join(classes.select("rep"), full.id == F.col("rep"), "left_semi")
     member = reps.select(F.explode("bands").alias("key"), "id")
-    leads = cut(member.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most").select("key", "lead"))
+    leads = member.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most").select("key", "lead")
     stars = member.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    seen = cut(verified(docs, stars, id_col, text_col, k))
+    seen = cut(verified(docs, stars, id_col, text_col, k, diffs=True))
     links = seen.where(_linked(percent)).select("a", "b")
     label = components(links)
-    # what is left: buckets with members of more than one component
-    placed = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("label", "id").alias("comp"), "bands")
-    spread = placed.select(F.explode("bands").alias("key"), "id", "n", "comp")
-    split = spread.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key").join(leads, "key")
-    far = seen.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-    span = 1 - percent / 100
-    # farther from the smallest member than two spans: unlike it and all that it links; among themselves they are compared by size
-    odd = spread.join(split, "key").join(far, ["lead", "id"], "left").select("key", "lead", "id", "n", "comp", F.coalesce("d", F.lit(0.0)).alias("d"))
-    odd = cut(odd)
-    x = odd.join(odd.where("id = lead").select("key", F.col("comp").alias("main")), "key").where("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("d").alias("xd"))
-    y = odd.where("id <> lead").select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), F.col("d").alias("yd"))
-    near = (F.col("xc") != F.col("yc")) & (F.abs(F.col("xd") - F.col("yd")) <= span + 1e-9) & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
-    rest = x.join(y, "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = cut(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut(verified(docs, rest, id_col, text_col, k).where(_linked(percent)).select("a", "b"))
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+    more = cut(verified(docs, _unlinked(seen, label, percent), id_col, text_col, k).where(_linked(percent)).select("a", "b"))
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
     owner = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.col("rep"), F.coalesce("label", "rep").alias("comp"))
     done = sk.select("id", *key).join(owner, key, "left")
     comp = F.coalesce("comp", "id")
