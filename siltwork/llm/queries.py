@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .common import table
+from .decontamination import contaminated
 from .exact_dedup import OP9_SQL, exact_dedup
 from .minhash_dedup import near_components
 from .packing import best_fit_packing
+from .toxicity import toxicity
 
 
 def op1_minhash_dedup(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_files() -> tuple[str, str, str]:
     """Vocabulary, the same vocabulary as ranks, and its word pattern."""
     import public_tokenizers
@@ -23,13 +29,19 @@ def op5_best_fit_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLE_SQL = {
