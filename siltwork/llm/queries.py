@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import OP9_SQL, exact_dedup
+from .html_extraction import extract_text
+from .line_dedup import OP3_SQL, drop_boilerplate
+from .lm_scoring import lm_scores
 from .minhash_dedup import near_components
 from .packing import best_fit_packing
+from .secrets import secret_scan
 from .toxicity import toxicity
+from .warc import OP2_SQL, revisit_report
 
 
 def op1_minhash_dedup(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op2_warc_revisits(spark, sf_dir):
+    return revisit_report(table(spark, sf_dir, "pages"))
+
+
+def op3_line_dedup(spark, sf_dir):
+    return drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source"))
+
+
 def op4_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,17 +48,36 @@ def op6_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_warc_revisits": op2_warc_revisits,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE_SQL = {
+    "op2_warc_revisits": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

@@ -283,3 +283,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     out = src.mapInArrow(_scoring(lexicon), "doc_id long, score double, n_terms int")
     return out.select("doc_id", held_out(F.col("doc_id"), parts).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_terms")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", parts: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted toxic; learned from ``labels`` as in toxicity()."""
+    lexicon = fit(docs, labels, text_col=text_col, parts=parts)
+    small_batches(docs.sparkSession)
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("t"))
+    out = src.mapInArrow(_scoring(lexicon), src.select("row", F.lit(0.0).alias("score"), F.lit(0).alias("n_terms")).schema)
+    return out.where("score < 0.5").select("row.*")
