@@ -20,7 +20,7 @@ def _key(line: Column) -> Column:
 def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
     """(host, key) of the lines to drop: md5 of the trimmed line. A page counts once for a line however often it has it."""
     own = docs.select(host.alias("host"), F.coalesce(text.cast("string"), F.lit("")).alias("t"))
-    lines = own.select("host", F.explode(F.array_distinct(F.transform(F.split("t", "\n", -1), F.trim))).alias("line")).where("line <> ''")
+    lines = own.select("host", F.explode(F.array_distinct(F.transform(F.split("t", "\n", -1), lambda x: F.trim(x)))).alias("line")).where("line <> ''")
     held = lines.groupBy("host", _key(F.col("line")).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= pages)
     total = own.groupBy("host").agg(F.count("*").alias("total"))
     return held.join(total, held.host.eqNullSafe(total.host)).where(F.col("n") > ratio * F.col("total")).select(held.host, "key")
