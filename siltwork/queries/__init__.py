@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("text_functions",)
