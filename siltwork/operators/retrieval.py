@@ -73,7 +73,7 @@ def over_fetch(k: int) -> int:
 
 
 def random_baseline(n: Column, g: Column, k: int) -> Column:
-    """Chance that k draws of n hold one of g: 1 - C(n-g, k) / C(n, k)."""
+    """Chance that k > 0 draws of n hold one of g: 1 - C(n-g, k) / C(n, k)."""
     i = F.sequence(F.lit(0), F.lit(k - 1))
     miss = F.aggregate(i, F.lit(1.0), lambda p, x: p * F.greatest(n - g - x, F.lit(0)) / F.greatest(n - x, F.lit(1)))
-    return F.when(k > 0, 1 - miss).otherwise(0.0) if k else F.lit(0.0)
+    return 1 - miss
