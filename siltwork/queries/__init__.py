@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ("text_functions", "filters_joins", "aggregates", "windows_topk", "grids", "rules")
+MODULES: tuple[str, ...] = ("text_functions", "filters_joins", "aggregates", "windows_topk", "grids", "rules", "sources_sinks")
