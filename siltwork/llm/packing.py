@@ -98,6 +98,20 @@ class Bins:
             self.mask |= 1 << left
 
 
+def fewest(lengths: list[int], size: int) -> int:
+    """A bound that no packing is under: for any a up to half the size, items over size - a are alone, items over half
+    are apart, and what is at least a must fit beside the latter (Martello and Toth)."""
+    count = np.bincount(np.array(lengths, np.int64), minlength=size + 1)
+    total = count * np.arange(size + 1)
+    n, t = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(total)])  # of items under a length
+    half, best = size // 2, -(-int(t[-1]) // size)
+    for a in range(1, half + 1):
+        apart, beside = int(n[-1] - n[half + 1]), int(t[half + 1] - t[a])
+        room = int((n[size - a + 1] - n[half + 1]) * size - (t[size - a + 1] - t[half + 1])) if size - a > half else 0
+        best = max(best, apart + max(0, -(-(beside - room) // size)))
+    return best
+
+
 def improve(bins: list[list[int]], lengths: list[int], size: int, least: int) -> list[list[int]]:
     """Local search from the emptiest bin on: moves, one-for-one and two-for-one exchanges into fuller bins.
 
@@ -123,7 +137,7 @@ def improve(bins: list[list[int]], lengths: list[int], size: int, least: int) ->
         fill[to] += moved
         if not bins[at]:
             live -= 1
-        stuck.discard(to)
+        stuck.clear()
     return [b for b in bins if b]
 
 
@@ -152,7 +166,7 @@ def pack(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
     bins = Bins(size)
     for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
         bins.best_fit(k, lengths[k])
-    return improve(bins.items, lengths, size, -(-sum(lengths) // size))
+    return improve(bins.items, lengths, size, fewest(lengths, size))
 
 
 def _packer(size: int):
