@@ -45,6 +45,8 @@ _WORDS = re.compile(
 _PUNCT = re.compile(r"[.,;:!?…。！？،؛।]")
 #: Neighbouring blocks that smoothing reaches on either side, its width, the weight of an article element, and the share of the page's level that a block needs.
 REACH, SIGMA, SEMANTIC, SHARE = 2, 1.0, 4.0, 0.1
+#: A path whose text is links to this share is no content.
+LINKS = 0.6
 
 
 @dataclass
@@ -161,7 +163,7 @@ def select(blocks: list[Leaf]) -> list[Leaf]:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         for k, v in enumerate((len(b.text), len(_PUNCT.findall(b.text)), b.linked, 1)):
             s[k] += v
-    fused = {p: (n / c) * (1 + q / c) * max(0.0, 1 - link / n) for p, (n, q, link, c) in sums.items()}
+    fused = {p: (n / c) * (1 + q / c) * (1 - link / n) * (link < LINKS * n) for p, (n, q, link, c) in sums.items()}
     raw = [fused[b.path] * (SEMANTIC if b.inside else 1.0) for b in blocks]
     kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(REACH + 1)]
     smooth = []
