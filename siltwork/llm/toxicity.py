@@ -19,7 +19,8 @@ from .common import small_batches
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
 STEM_LEAST, STEM_MOST = 4, 12
 WINDOW = 12
-QUOTED = 0.1
+#: Weight of a use in quotation marks; of a misspelt use where clean texts have none; where the bound lies between classes that are apart.
+QUOTED, MISSPELT, GAP = 0.1, 0.6, 0.25
 _WORD = re.compile(r"\w+")
 _LEET = str.maketrans("013457", "oieast")
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
@@ -164,7 +165,7 @@ def learn(rows: list[tuple[str, int]], toxic_rate: float) -> Lexicon:
     for s in stems:
         f1, f0 = near[s, 1], near[s, 0]
         odds = math.log((f1 + 0.5) / (tokens[1] + 1)) - math.log((f0 + 0.5) / (tokens[0] + 1))
-        lex.stems[s] = (whole[s], 0.5 * whole[s] if not f0 else min(0.5 * whole[s], odds) if odds > 1 else 0.0)
+        lex.stems[s] = (whole[s], MISSPELT * whole[s] if not f0 else min(MISSPELT * whole[s], odds) if odds > 0.5 * whole[s] else 0.0)
     scorer = Scorer(lex)
     x = np.array([scorer.features(text)[0] for text, _ in rows])
     y = np.array([label for _, label in rows], float)
@@ -173,7 +174,7 @@ def learn(rows: list[tuple[str, int]], toxic_rate: float) -> Lexicon:
     logits = beta[0] + x @ beta[1:]
     low, high = np.quantile(logits[y == 0], 0.999), np.quantile(logits[y == 1], 0.01)
     if high > low:  # classes are apart, so the fit says nothing about the gap: the bound goes nearer to the clean texts
-        shift = -(low + 0.3 * (high - low))
+        shift = -(low + GAP * (high - low))
     lex.intercept, lex.slopes = float(beta[0] + shift), tuple(map(float, beta[1:]))
     return lex
 
