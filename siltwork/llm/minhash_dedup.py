@@ -136,9 +136,9 @@ def _unlinked(seen: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     comp = seen.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("label", "b")).drop("label")
     comp = comp.join(label.select(F.col("node").alias("a"), F.col("label").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
     comp = cut(comp.select("a", "b", "na", "nb", "lacks", "adds", "comp", (F.col("comp") != F.col("main")).alias("apart")))
-    mixed = comp.where("apart").select("a").distinct()
     x = comp.where("apart").select("a", *(F.col(c).alias("x_" + c) for c in ("b", "nb", "lacks", "adds", "comp")))
-    y = comp.join(mixed, "a", "left_semi").select("a", "na", *(F.col(c).alias("y_" + c) for c in ("b", "nb", "lacks", "adds", "comp", "apart")))
+    # joining with x leaves the stars that have a member apart; both sides are read straight from their exchange, so a hot star is split
+    y = comp.select("a", "na", *(F.col(c).alias("y_" + c) for c in ("b", "nb", "lacks", "adds", "comp", "apart")))
     reach = lambda inter: inter * 100 >= F.lit(percent) * (F.col("x_nb") + F.col("y_nb") - inter)
     lx, ly, ax, ay = (F.size(c).cast("long") for c in ("x_lacks", "y_lacks", "x_adds", "y_adds"))
     bound = F.col("na") - F.greatest(lx, ly) + F.least(ax, ay)
