@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
 from . import retrieval
 
 #: Query rows that may be sent to every task; more are taken in further blocks.
@@ -126,6 +127,7 @@ def align_lines(ref: DataFrame, hyp: DataFrame, least: float) -> DataFrame:
                 out.append((page[0], a, b))
         return pd.DataFrame(out, columns=["page", "ref", "hyp"])
 
+    ship(ref.sparkSession)
     return ref.groupBy("page").cogroup(hyp.groupBy("page")).applyInPandas(one, "page int, ref int, hyp int")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,13 @@ def session(name: str = "siltwork", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a temporary folder only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)

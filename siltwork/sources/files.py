@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..plans.session import ship
 
 CHUNK = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("chunk_id", "doc", "manual_id", "block_type", "text", "display_text", "source")]
@@ -135,6 +136,7 @@ def docx(spark: SparkSession, path: str) -> DataFrame:
             for f in part.itertuples():
                 yield pd.DataFrame([(f.path, n, *b) for n, b in enumerate(docx_blocks(bytes(f.content)))], columns=["path", "seq", "kind", "level", "text", "cells"]).astype({"level": "Int32"})
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, BLOCK)
 
 
@@ -150,6 +152,7 @@ def pdf(spark: SparkSession, path: str) -> DataFrame:
             for f in part.itertuples():
                 yield pd.DataFrame([(f.path, n, p.extract_text() or "") for n, p in enumerate(reader(io.BytesIO(bytes(f.content))).pages, 1)], columns=["path", "page", "text"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string")
 
 
