@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..plans.session import ship
 from . import retrieval
 
-#: Query rows that may be sent to every task; more are taken in further blocks.
-BLOCK = 20_000
-
 
 def pattern_tags(text: Column, patterns) -> Column:
     """Keys of the patterns found, in the registry's order; one pass over the text a pattern, no join."""
@@ -46,17 +43,6 @@ def topic_column(terms: Column, text: Column) -> Column:
     return F.exists(every, lambda t: F.forall(F.split(t, "\\+"), lambda p: F.exists(F.split(p, "\\|"), lambda a: text.contains(F.trim(a)))))
 
 
-def _blocks(df: DataFrame, size: int):
-    """The rows of a stated query set in blocks of bounded size."""
-    rows = []
-    for r in df.toLocalIterator():
-        rows.append(r)
-        if len(rows) == size:
-            yield rows
-            rows = []
-    yield rows
-
-
 def containment(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(item_id, label, first_exact): exact, normalised or absent, and the first document that holds the item as it is.
 
@@ -76,7 +62,7 @@ def containment(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, i
     cand = grams.join(keys, "key", "left_semi").distinct().join(i.where("key is not null").select("item_id", "key", "it"), "key").select("item_id", "id", "it")
     short = i.where("key is null").select("item_id", "it")
     pairs = cand.join(d, "id")
-    pairs = pairs.unionByName(d.join(F.broadcast(short), norm("dt").contains(norm("it"))).select("id", "item_id", "it", "dt"))
+    pairs = pairs.unionByName(retrieval.against(d, short, norm("dt").contains(norm("it"))).select("id", "item_id", "it", "dt"))
     exact, alike = F.col("dt").contains(F.col("it")), norm("dt").contains(norm("it"))
     found = pairs.groupBy("item_id").agg(F.min(F.when(exact, F.col("id"))).alias("first_exact"), F.max(alike.cast("int")).alias("alike"))
     label = F.when(F.col("first_exact").isNotNull(), "exact").when(F.col("alike") == 1, "normalised").otherwise("absent")
@@ -84,9 +70,11 @@ def containment(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, i
 
 
 def unique_prefix(queries: DataFrame, scope: str, names: DataFrame, name: str) -> DataFrame:
-    """Each scope with the one name that it begins; null where none or several do."""
-    j = queries.join(F.broadcast(names), F.startswith(F.col(name), F.col(scope)), "left")
-    return j.groupBy(scope).agg(F.when(F.count(name) == 1, F.min(name)).alias("resolved"))
+    """Each scope with the one name that it begins; null where none or several do. Names give out their prefixes, so the join is one of equality."""
+    n = names.select(F.col(name).alias("_n")).distinct()
+    heads = n.select("_n", F.explode(F.transform(F.sequence(F.lit(0), F.length("_n")), lambda k: F.substring(F.col("_n"), F.lit(1), k))).alias(scope))
+    j = queries.join(heads, scope, "left")
+    return j.groupBy(scope).agg(F.when(F.count("_n") == 1, F.min("_n")).alias("resolved"))
 
 
 def drift(manifest: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -101,15 +89,10 @@ def cache_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.col("n").isNull(), "removed").when(F.col("o").isNull(), "added").when(F.col("o") == F.col("n"), "reused").otherwise("changed").alias("state"))
 
 
-def nearest(points: DataFrame, queries: DataFrame, block: int = 2000) -> DataFrame:
-    """(qid, id, score): the point of greatest dot product. Queries are a stated set, taken in blocks; each task keeps one best row a query."""
-    out = None
-    for rows in _blocks(queries, block):
-        q = points.sparkSession.createDataFrame(rows, queries.schema)
-        s = points.join(F.broadcast(q), F.col("qid") != F.col("id")).select("qid", "id", retrieval.dot(F.col("qv"), F.col("embedding")).alias("score"))
-        best = s.groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.round(F.max("score"), 6).alias("score"))
-        out = best if out is None else out.unionByName(best)
-    return out
+def nearest(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, score): the point of greatest dot product. Each task keeps one best row a query."""
+    s = retrieval.against(points, queries, F.col("qid") != F.col("id")).select("qid", "id", retrieval.dot(F.col("qv"), F.col("embedding")).alias("score"))
+    return s.groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.round(F.max("score"), 6).alias("score"))
 
 
 def align_lines(ref: DataFrame, hyp: DataFrame, least: float) -> DataFrame:

@@ -11,6 +11,8 @@ from ..functions import text as T
 K1, B = 1.5, 0.75
 TOPIC, FIGURE = (0.8, 0.2), (0.4, 0.6)
 SCORE_FLOOR = 0.4044
+#: Query rows that are broadcast at once.
+QUERY_BLOCK = 2000
 
 
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
@@ -48,6 +50,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def blocks(rows: DataFrame, size: int):
+    """The rows of a stated query set in lists of bounded length; at least one, which may be empty."""
+    block = []
+    for r in rows.toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield block
+            block = []
+    yield block
+
+
+def against(points: DataFrame, queries: DataFrame, on: Column, size: int = QUERY_BLOCK) -> DataFrame:
+    """Points with each query that ``on`` admits. Queries go out ``size`` at a time, so that no broadcast grows with the data."""
+    out = None
+    for rows in blocks(queries, size):
+        part = points.join(F.broadcast(points.sparkSession.createDataFrame(rows, queries.schema)), on)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 

@@ -127,7 +127,7 @@ def ranked(spark, sf):
     """Every hundredth vector as a query against all others; gold: of the query's label."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), (F.col("label") == F.col("ql")).alias("gold"), F.round(retrieval.dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
+    s = retrieval.against(e, q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), (F.col("label") == F.col("ql")).alias("gold"), F.round(retrieval.dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
     return s.withColumn("rnk", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
 
 

@@ -120,6 +120,26 @@ def _(spark, sf):
     return files.lookup(table(spark, sf, "documents"), "doc_id", ["7", "x9"])
 
 
+@R.add("snk01_private_columns", "SELECT 'doc_id,source' AS columns, count(*) AS n FROM documents")
+def _(spark, sf):
+    path = shared_path(spark, "public")
+    sinks.write_jsonl(table(spark, sf, "documents").select("doc_id", "source", F.lit(1).alias("_body")), path)
+    back = spark.read.json(path)
+    return back.agg(F.lit(",".join(sorted(back.columns))).alias("columns"), F.count("*").alias("n"))
+
+
+@R.add("snk03_manifest", "SELECT doc_id AS id, sha256(text) AS sha256, length(text) AS n_chars FROM documents")
+def _(spark, sf):
+    return sinks.manifest(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@R.add("snk04_report", "SELECT s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+def _(spark, sf):
+    path = shared_path(spark, "report")
+    sinks.write_report(table(spark, sf, "supplier"), path)
+    return files.csv_strings(spark, path, ["s_name", "s_nationkey"])
+
+
 @R.add("snk02_enrich_idempotent", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(spark, sf):
     d, notes = table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").select("doc_id", "quality")

@@ -179,6 +179,11 @@ def _(spark, sf):
     return r.select("id", F.round("rate", 6).alias("rate"), T.grade(F.col("rate")).alias("grade"))
 
 
+@R.add("str20_cluster_states", "SELECT * FROM (VALUES (1, 'double_sign;orphan_sign'), (2, 'sign_after_hasant'), (3, 'hasant_after_hasant'), (4, ''), (5, ''), (6, '')) t(id, states)")
+def _(spark, sf):
+    return spark.sql(DAMAGE).select("id", F.array_join(F.array_sort(F.array_distinct(F.transform(T.cluster_states("s"), lambda x: x["state"]))), ";").alias("states"))
+
+
 @R.add("str21_normalisation_statistics", f"SELECT id, length(s) - length(replace(replace(s, '‌', ''), '‍', '')) AS joiners, length(s) - length(replace(s, '।', '')) AS dandas, regexp_matches(s, '[০-৯]') AND regexp_matches(s, '[0-9]') AS mixed_digits, nfc_normalize(s) <> s AS nfc_changes FROM ({BN}) WHERE s IS NOT NULL")
 def _(spark, sf):
     s = spark.sql(BN).where("s is not null")

@@ -204,10 +204,10 @@ def hybrid(spark, sf):
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars")
     sparse = F.when(F.col("label") == F.col("ql"), 2.0).otherwise(0.0) + F.col("n_chars") / 1000.0
-    s = e.join(d, "vec_id").join(F.broadcast(q), F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), "label", retrieval.dot(F.col("qv"), F.col("embedding")).alias("dense"), sparse.alias("sparse"))
+    s = retrieval.against(e.join(d, "vec_id"), q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), "label", retrieval.dot(F.col("qv"), F.col("embedding")).alias("dense"), sparse.alias("sparse"))
     m = s.groupBy("qid").agg(F.min("sparse").alias("lo"), F.max("sparse").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("sparse") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return s.join(F.broadcast(m), "qid").select("qid", "id", "label", retrieval.fuse(F.col("dense"), scaled, F.col("qid") % 200 == 0).alias("score"))
+    return s.join(m, "qid").select("qid", "id", "label", retrieval.fuse(F.col("dense"), scaled, F.col("qid") % 200 == 0).alias("score"))
 
 
 @R.add("top03_hybrid", HYBRID + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INT) AS rnk FROM (SELECT qid, id, CASE WHEN qid % 200 = 0 THEN 0.4 * dense + 0.6 * sn ELSE 0.8 * dense + 0.2 * sn END AS score FROM m)) WHERE rnk <= 10")
