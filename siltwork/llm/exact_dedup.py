@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lower_ascii, small_batches
+from .common import lean, LOWER, lower_ascii, small_batches, UPPER
 
 FANOUT_BITS = 4
 #: Bytes of content that one in-memory table may hold before its bucket is split over spill files.
@@ -192,8 +192,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    local = rows.mapInArrow(_local(table_bytes), "digest binary, content binary, best long, rows long")
-    return local.repartition("digest").mapInArrow(_global(table_bytes), "digest binary, best long, rows long")
+    local = rows.mapInArrow(lean(_local(table_bytes)), "digest binary, content binary, best long, rows long")
+    return local.repartition("digest").mapInArrow(lean(_global(table_bytes)), "digest binary, best long, rows long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
@@ -199,4 +199,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     small_batches(pages.sparkSession)
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return src.mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")
+    return src.mapInArrow(lean(_extracting), "page_id long, url string, text string, n_chars long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, ids_of, mix64, small_batches, text_sets
+from .common import cut, ids_of, lean, mix64, small_batches, text_sets, U64
 from .components import components
 
 #: 32 bands of 4 coordinates: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
@@ -83,7 +83,7 @@ def _sketcher(k: int, bands: int, rows: int):
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return src.mapInArrow(_sketcher(k, bands, rows), _SKETCH)
+    return src.mapInArrow(lean(_sketcher(k, bands, rows)), _SKETCH)
 
 
 def _jaccard(k: int, diffs: bool):
@@ -124,7 +124,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: i
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     one = pairs.join(texts, pairs.b == texts.id).select("a", "b", F.col("t").alias("tb"))
     two = one.join(texts, one.a == texts.id).select("a", "b", "t", "tb")
-    return two.mapInArrow(_jaccard(k, diffs), "a long, b long, inter long, na long, nb long" + ", lacks array<int>, adds array<int>" * diffs)
+    return two.mapInArrow(lean(_jaccard(k, diffs)), "a long, b long, inter long, na long, nb long" + ", lacks array<int>, adds array<int>" * diffs)
 
 
 def _linked(percent: int):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 
 SEQUENCE = 2048
 #: Pieces that one packing task gets on average; a shard wastes less than one sequence.
@@ -71,7 +71,7 @@ def _cutter(vocabulary: str, ranks: str, pattern: str, size: int):
 def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE) -> DataFrame:
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return src.mapInArrow(_cutter(vocabulary, ranks, pattern, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(lean(_cutter(vocabulary, ranks, pattern, size)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: The lexicon is fitted on at most so many labelled rows of each class, those of least hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
@@ -220,7 +220,7 @@ class Scorer:
             if m and (weight := self.lexicon.stems[m[0]][m[1] > 0]) > 0:
                 hit = self.hits[word] = (m[0], weight)
             else:
-                if len(self.clean) > 300_000:
+                if len(self.clean) > 150_000:
                     self.clean.clear()
                 self.clean.add(word)
         return hit
@@ -282,7 +282,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     lexicon = fit(docs, labels, id_col, text_col, label_col, parts)
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    out = src.mapInArrow(_scoring(lexicon), "doc_id long, score double, n_terms int")
+    out = src.mapInArrow(lean(_scoring(lexicon)), "doc_id long, score double, n_terms int")
     return out.select("doc_id", held_out(F.col("doc_id"), parts).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_terms")
 
 
@@ -291,5 +291,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", parts
     lexicon = fit(docs, labels, text_col=text_col, parts=parts)
     small_batches(docs.sparkSession)
     src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("t"))
-    out = src.mapInArrow(_scoring(lexicon), src.select("row", F.lit(0.0).alias("score"), F.lit(0).alias("n_terms")).schema)
+    out = src.mapInArrow(lean(_scoring(lexicon)), src.select("row", F.lit(0.0).alias("score"), F.lit(0).alias("n_terms")).schema)
     return out.where("score < 0.5").select("row.*")
