@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -112,53 +113,67 @@ def fewest(lengths: list[int], size: int) -> int:
     return best
 
 
-def improve(bins: list[list[int]], lengths: list[int], size: int, least: int) -> list[list[int]]:
-    """Local search from the emptiest bin on: moves, one-for-one and two-for-one exchanges into fuller bins.
+class Search:
+    """Local search over bins: moves, one-for-one and two-for-one exchanges out of a bin into a bin at least as full.
 
-    Each step raises the sum of squared fills, so the search ends; it stops early at ``least`` bins,
-    the fewest that the total length allows.
+    Every step raises the sum of squared fills. Bins with room are kept in order of it, the roomiest first:
+    no bin can gain more than its room, so a scan ends as soon as the best gain found is the next one's room.
     """
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    live = len(bins)
-    stuck: set[int] = set()
-    while live > least:
-        at = min((i for i in range(len(bins)) if bins[i] and fill[i] < size and i not in stuck), key=fill.__getitem__, default=None)
-        if at is None:
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.bins, self.lengths, self.size = [list(b) for b in bins], lengths, size
+        self.fill = [sum(lengths[k] for k in b) for b in bins]
+        self.open = sorted((self.fill[i] - size, i) for i in range(len(bins)) if 0 < self.fill[i] < size)
+
+    def _refill(self, at: int, by: int) -> None:
+        old = (self.fill[at] - self.size, at)
+        k = bisect.bisect_left(self.open, old)
+        if k < len(self.open) and self.open[k] == old:
+            del self.open[k]
+        self.fill[at] += by
+        if 0 < self.fill[at] < self.size:
+            bisect.insort(self.open, (self.fill[at] - self.size, at))
+
+    def step(self, at: int) -> bool:
+        """The exchange out of bin ``at`` with the greatest gain; false if there is none."""
+        own, lengths = self.bins[at], self.lengths
+        outs = [(lengths[k], (k,)) for k in own] + [(lengths[a] + lengths[b], (a, b)) for i, a in enumerate(own) for b in own[i + 1 :]]
+        best, found = 0, None
+        for short, to in self.open:
+            room = -short
+            if room <= best:
+                break
+            if to == at or self.fill[to] < self.fill[at]:
+                continue
+            for total, out in outs:
+                if len(out) == 1 and best < total <= room:
+                    best, found = total, (out, to, None)
+                for k in self.bins[to]:
+                    if best < total - lengths[k] <= room:
+                        best, found = total - lengths[k], (out, to, k)
+        if found is None:
+            return False
+        out, to, back = found
+        self.bins[at] = [k for k in own if k not in out] + ([] if back is None else [back])
+        self.bins[to] = [k for k in self.bins[to] if k != back] + list(out)
+        self._refill(at, -best)
+        self._refill(to, best)
+        return True
+
+
+def improve(bins: list[list[int]], lengths: list[int], size: int, least: int) -> list[list[int]]:
+    """Passes of local search from the emptiest bin on, until bins are as few as ``least`` or three passes in a row empty none."""
+    search, live, idle = Search(bins, lengths, size), len(bins), 0
+    while live > least and idle < 3:
+        before, moved = live, False
+        for at in [i for _, i in search.open]:
+            while live > least and search.bins[at] and search.fill[at] < size and search.step(at):
+                moved = True
+                live -= not search.bins[at]
+        idle = 0 if live < before else idle + 1
+        if not moved:
             break
-        step = _exchange(at, bins, fill, lengths, size)
-        if step is None:
-            stuck.add(at)
-            continue
-        out, to, back = step
-        bins[at] = [k for k in bins[at] if k not in out] + back
-        bins[to] = [k for k in bins[to] if k not in back] + list(out)
-        moved = sum(lengths[k] for k in out) - sum(lengths[k] for k in back)
-        fill[at] -= moved
-        fill[to] += moved
-        if not bins[at]:
-            live -= 1
-        stuck.clear()
-    return [b for b in bins if b]
-
-
-def _exchange(at: int, bins: list[list[int]], fill: list[int], lengths: list[int], size: int):
-    """The exchange out of bin ``at`` that fills another, at least as full bin the most."""
-    own = bins[at]
-    outs = sorted(((lengths[k], (k,)) for k in own), reverse=True)
-    outs += [(lengths[a] + lengths[b], (a, b)) for i, a in enumerate(own) for b in own[i + 1 :]]
-    best, found = 0, None
-    for to, items in enumerate(bins):
-        room = size - fill[to]
-        if to == at or not items or room <= best or fill[to] < fill[at]:
-            continue
-        for total, out in outs:
-            if len(out) == 1 and best < total <= room:
-                best, found = total, (out, to, [])
-            for k in items:
-                gain = total - lengths[k]
-                if best < gain <= room:
-                    best, found = gain, (out, to, [k])
-    return found
+    return [b for b in search.bins if b]
 
 
 def pack(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
