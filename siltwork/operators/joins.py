@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
@@ -46,20 +46,19 @@ def topic_column(terms: Column, text: Column) -> Column:
 def containment(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(item_id, label, first_exact): exact, normalised or absent, and the first document that holds the item as it is.
 
-    Texts are sought by their first three words in lower case, which an inverted index of the documents'
-    three-word runs gives; only documents that share them are compared.
+    Texts are sought by three of their first words in lower case among the documents' three-word runs, which
+    are zipped from shifted words without a shuffle; only documents that share them are compared.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), "\\s+", " ")
     i = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("it")).withColumn("w", F.filter(F.split(norm("it"), " "), lambda x: x != ""))
     # whole words between the item's ends, which may be parts of words
     i = i.withColumn("key", F.when(F.size("w") >= 5, F.array_join(F.slice("w", 2, 3), " ")))
     d = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("dt"))
-    words = F.filter(F.split(norm("dt"), " "), lambda x: x != "")
-    own = d.select("id", F.posexplode(words).alias("p", "x"))
-    w = Window.partitionBy("id").orderBy("p")
-    grams = own.select("id", F.concat_ws(" ", "x", F.lead("x", 1).over(w), F.lead("x", 2).over(w)).alias("key"))
+    words = d.select("id", F.filter(F.split(norm("dt"), " "), lambda x: x != "").alias("w"))
+    runs = F.arrays_zip(*(F.slice("w", k + 1, F.greatest(F.size("w") - 2, F.lit(1))).alias(f"w{k}") for k in range(3)))
+    grams = words.where("size(w) >= 3").select("id", F.explode(F.array_distinct(F.transform(runs, lambda x: F.concat_ws(" ", x["w0"], x["w1"], x["w2"])))).alias("key"))
     keys = i.select("key").distinct()
-    cand = grams.join(keys, "key", "left_semi").distinct().join(i.where("key is not null").select("item_id", "key", "it"), "key").select("item_id", "id", "it")
+    cand = grams.join(keys, "key", "left_semi").join(i.where("key is not null").select("item_id", "key", "it"), "key").select("item_id", "id", "it")
     short = i.where("key is null").select("item_id", "it")
     pairs = cand.join(d, "id")
     pairs = pairs.unionByName(retrieval.against(d, short, norm("dt").contains(norm("it"))).select("id", "item_id", "it", "dt"))
