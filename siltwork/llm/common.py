@@ -20,6 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
+FILES_A_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +68,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
+    """Write to the shared folder and read again: lineage ends here and a lost executor costs nothing.
+
+    A table has at most FILES_A_CORE files for each core of the cluster: small files cost more than they save.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltwork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
