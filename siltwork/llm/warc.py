@@ -12,7 +12,7 @@ SLICE_SECONDS = 3600
 _URL_RULES = (
     (r"^[A-Za-z][A-Za-z0-9+.-]*://", ""),
     (r"#.*$", ""),
-    (r"^(www[0-9]?|m)\.", ""),
+    (r"(?i)^(www[0-9]?|m)\.", ""),
     (r"^([^/?]*):(80|443)", r"\1"),
     (r"([?&])(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*", r"\1"),
     (r"&&+", "&"),

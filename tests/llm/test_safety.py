@@ -81,12 +81,6 @@ def brute_secrets(text):
     return [sum(s[3] == k[0] for s in spans) for k in KINDS], hashlib.sha256(said.encode()).hexdigest(), said
 
 
-def check_secrets(rows, got):
-    for (i, t), r in zip(sorted(rows, key=repr), sorted(got, key=lambda r: repr((r.doc_id, t)) if False else repr(r.doc_id)), strict=True):
-        n, sha, _ = brute_secrets(t)
-        assert [r.n_assign, r.n_access, r.n_hex] == n and r.base_sha256 == sha, i
-
-
 def test_secrets_of_the_table(spark):
     rows = fx.texts(spark)
     got = {r.doc_id: r for r in S.secret_scan(fx.table(spark, "documents")).collect()}
