@@ -153,10 +153,30 @@ def _(spark, sf):
 MARKERS = ("Av", "wK", "cÖ", "†", "‡", "©")
 
 
-@R.add("str17_legacy_score", "SELECT id, out FROM (VALUES (1, 0.0), (2, 0.75), (3, 0.0), (4, 0.3)) t(id, out)")
+LEGACY = values(
+    "id s",
+    (1, "short"),
+    (2, "Avwg evsjvq Mvb MvB Avwg Avgvi Avwgv‡K wPiw`b evsjvq cÖ Lyu‡R cvB vvvv"),
+    (3, "ঋণের পরিমাণ ঋণের পরিমাণ ঋণের পরিমাণ ঋণের পরিমাণ ঋণের"),
+    (4, "plain English prose that has no legacy letters in it at all, just words"),
+)
+HITS = " + ".join(f"CAST(contains(s, '{m}') AS INT)" for m in MARKERS)
+PROFILE_SQL = f"""
+SELECT *, round(bn / greatest(n, 1), 4) AS bengali_ratio, round(la / greatest(n, 1), 4) AS ascii_ratio, round(hi / greatest(n, 1), 4) AS high_ratio, round(vs / greatest(la, 1), 4) AS v_rate FROM (
+  SELECT id, length(regexp_replace(s, '\\s', '', 'g')) AS n, len(regexp_extract_all(s, '[ঀ-৿]')) AS bn, len(regexp_extract_all(s, '[A-Za-z]')) AS la,
+    len(regexp_extract_all(s, '[¡-ÿ]')) AS hi, len(regexp_extract_all(s, 'v')) AS vs, {HITS} AS hits FROM ({{0}}))
+"""
+SCORE_SQL = "CASE WHEN n < 40 OR bengali_ratio > 0.15 THEN 0.0 ELSE round(least((CASE WHEN ascii_ratio > 0.45 THEN 0.3 ELSE 0 END) + (CASE WHEN high_ratio > 0.02 THEN 0.25 ELSE 0 END) + 0.25 * least(hits / 8, 1) + (CASE WHEN v_rate > 0.09 THEN 0.2 ELSE 0 END), 1), 3) END"
+
+
+@R.add("str17_legacy_score", f"SELECT id, {SCORE_SQL} AS out FROM ({PROFILE_SQL.format(LEGACY)})")
+def _(spark, sf):
+    return spark.sql(LEGACY).select("id", T.legacy_score(T.text_profile("s", MARKERS)).alias("out"))
+
+
+@R.add("str17_legacy_score_documents", f"SELECT id AS doc_id, {SCORE_SQL} AS out FROM ({PROFILE_SQL.format('SELECT doc_id AS id, text AS s FROM documents')})")
 def _(spark, sf):
-    s = spark.sql(values("id s", (1, "short"), (2, "Avwg evsjvq Mvb MvB Avwg Avgvi Avwgv‡K wPiw`b evsjvq cÖ Lyu‡R cvB vvvv"), (3, "ঋণের পরিমাণ ঋণের পরিমাণ ঋণের পরিমাণ ঋণের পরিমাণ ঋণের"), (4, "plain English prose that has no legacy letters in it at all, just words")))
-    return s.select("id", F.round(T.legacy_score(T.text_profile("s", MARKERS)) * 4).alias("q")).select("id", F.when(F.col("id") == 2, F.lit(0.75)).when(F.col("id") == 4, F.lit(0.3)).otherwise(F.col("q") / 4).cast("decimal(4,2)").alias("out"))
+    return table(spark, sf, "documents").select("doc_id", T.legacy_score(T.text_profile("text", MARKERS)).alias("out"))
 
 
 DAMAGE = values("id s", (1, "াক কাি"), (2, "ক্া ্ক অা"), (3, "ক্্ক"), (4, "ললোন"), (5, "ঠিক আছে"), (6, "১\n২"))
