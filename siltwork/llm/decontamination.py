@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance."""
+"""Benchmark decontamination: seeds that miss nothing, CGK embedding and bit-sampling LSH, then exact edit distance."""
 
 from __future__ import annotations
 
@@ -13,18 +13,21 @@ from .common import lean, mix64, small_batches, U64
 
 #: Edits allowed, as a share of the item's length.
 EDIT_SHARE = 0.2
-#: A window is looked at where so many of the item's runs of RUN characters agree with it in their places (give or
-#: take the edits). By the q-gram lemma none with at most (length - RUN - RUNS + 1) / RUN edits is passed over, 9 in
-#: 100 of a usual item; beyond that most still have as many runs (measured in the tests).
-RUN, RUNS = 10, 4
+#: Characters of a seed, at least and at most, and bits of a seed table's slots.
+MIN_SEED, MAX_SEED, SLOT_BITS = 2, 7, 18
+#: An item with ``most`` edits is cut into most // 2 + 1 pieces, of which one has one edit at most, so a half of that piece
+#: has none. Of a group of g pieces within 2 g - 1 edits one part of it is so, too: pairs, fours and eights are looked
+#: at in turn, and none that the item's edits allow is passed over. Pieces of a group; begins looked at together.
+GROUPS = ((2, 4), (4, 8), (8, 16))
 #: Characters of text taken in one step.
-STEP_CHARS = 1 << 20
-#: CGK walks, samples drawn from each, places a sample, and the samples that must agree: at a Hamming share of 0.6, which
-#: is more than the edits allowed come to, each sample agrees with probability 0.16 and fewer than three of 64 do with 0.001.
-WALKS, SAMPLES, PLACES, AGREE = 4, 16, 2, 3
+STEP_CHARS = 1 << 22
+#: CGK walks, samples drawn from each, and places a sample. A window with any sample of its item is measured whole at once,
+#: any other after its fours and eights, so that no sample's chance loses a passage.
+WALKS, SAMPLES, PLACES = 4, 16, 2
 #: Items of one broadcast block; more items are taken in further blocks.
 BLOCK_ITEMS = 20_000
 _B = U64(0x9E3779B97F4A7C15)
+_FULL = ((1 << np.arange(MAX_SEED + 1)) - 1).astype(np.uint8)
 
 
 def normal(text: str) -> str:
@@ -36,23 +39,6 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def run_hashes(x: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` characters, by doubling."""
-    if len(x) < size:
-        return np.zeros(0, U64)
-    n = len(x) - size + 1
-    power, width, h = _B, 1, x.astype(U64) + U64(1)
-    done, out = 0, np.zeros(n, U64)
-    with np.errstate(over="ignore"):
-        while done < size:
-            if (size >> (width.bit_length() - 1)) & 1:
-                out = out * power + h[done : done + n]
-                done += width
-            h = h[:-width] * power + h[width:] if len(h) > width else h[:0]
-            power, width = power * power, width * 2
-    return out
-
-
 def embed(windows: np.ndarray, lengths: np.ndarray, walk: int, out_len: int) -> np.ndarray:
     """CGK random-walk embedding of rows of characters: at each step the character is put out, and a random bit of
     (walk, step, character) says whether the walk goes on to the next. Past the end it puts out 0."""
@@ -94,29 +80,78 @@ def edits_inside(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, in
     return (int(row[end]), end) if row[end] <= most else None
 
 
+def fewest_edits(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``edits_inside`` for many pairs at once, one a column: fewest edits, and where that part of the text ends."""
+    kind = np.int8 if len(items) + len(texts) < 120 else np.int16 if len(items) + len(texts) < 30_000 else np.int32
+    steps, step = np.arange(len(texts) + 1, dtype=kind)[:, None], kind(1)
+    row = np.zeros((len(texts) + 1, texts.shape[1]), kind)
+    shortest = int(lengths.min())
+    for i in range(len(items)):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        np.minimum(row[1:] + step, row[:-1] + (texts != items[i]), out=new[1:])
+        new -= steps
+        np.minimum.accumulate(new, axis=0, out=new)
+        new += steps
+        row = new if i < shortest else np.where(lengths > i, new, row)
+    end = row.argmin(axis=0)
+    return row[end, np.arange(row.shape[1])], end
+
+
+def seed_hashes(x: np.ndarray, size: int) -> np.ndarray:
+    """Short hash of every run of ``size`` codes; equal hashes of unequal runs only cost a look."""
+    n = max(len(x) - size + 1, 0)
+    h = np.zeros(n, np.uint32)
+    for i in range(size if n else 0):
+        h *= np.uint32(0x9E3779B1)
+        h += x[i : i + n]
+    return h * np.uint32(0x85EBCA6B)
+
+
 class Index:
-    """The items' runs, and their bit-sampling tables."""
+    """The items' pieces with the seeds that find them, and the items' bit-sampling tables."""
 
     def __init__(self, items: list[tuple[int, str]], share: float):
         self.ids = [i for i, _ in items]
         self.items = [codes(normal(t)) for _, t in items]
-        self.most = [int(share * len(x)) for x in self.items]
-        runs, owner, offset = [], [], []
-        for k, x in enumerate(self.items):
-            h = run_hashes(x, min(RUN, max(1, len(x)))) if len(x) >= RUN else np.zeros(0, U64)
-            runs.append(h)
-            owner.append(np.full(len(h), k, np.int64))
-            offset.append(np.arange(len(h), dtype=np.int64))
-        h, owner, offset = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (runs, owner, offset))
-        order = np.argsort(h, kind="stable")
-        self.runs, self.owner, self.offset = h[order].astype(U64), owner[order], offset[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(mix64(self.runs) >> U64(44)).astype(np.int64)] = True
-        self.short = [k for k, x in enumerate(self.items) if 0 < len(x) < RUN]
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
+        self.most = np.array([int(share * n) for n in self.lengths], np.int64)
+        self.pieces = self.most // 2 + 1
+        brute = self.lengths < 2 * MIN_SEED * self.pieces
+        self.short = np.flatnonzero(brute & (self.lengths > 0)).tolist()
+        # characters of the items count from 1, all others are 0
+        self.flat = np.concatenate([*self.items, np.zeros(0, np.uint32)])
+        used = np.unique(self.flat)
+        self.code = np.zeros(0x110000, np.uint8 if len(used) < 256 else np.uint32)
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.flat, self.base = self.code[self.flat], np.cumsum(self.lengths) - self.lengths
+        rows: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
+        for k in np.flatnonzero(~brute).tolist():
+            n, p = len(self.items[k]), int(self.pieces[k])
+            for c in range(p):
+                lo, hi = c * n // p, (c + 1) * n // p
+                mid = (lo + hi) // 2
+                left, right = min(mid - lo, MAX_SEED), min(hi - mid, MAX_SEED)
+                rows.setdefault((left, 1), []).append((k, c, mid - left, mid, right))
+                rows.setdefault((right, -1), []).append((k, c, mid, mid - 1, left))
+        self.seeds = {k: self.table(*k, np.array(r, np.int64)) for k, r in sorted(rows.items())}
         self.width = max((len(x) for x in self.items), default=1)
         grid = self.grid(self.items)
-        lengths = np.array([len(x) for x in self.items], np.int64)
-        self.tables = [self.samples(grid, lengths, lengths, w) for w in range(WALKS)] if self.items else []
+        self.tables = [self.samples(grid, self.lengths, self.lengths, w) for w in range(WALKS)] if self.items else []
+
+    def table(self, size: int, way: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Seeds by slot: each slot's first row and rows, hashes, rows (item, piece, offset, first place of the other half,
+        its length), and the other halves from the seed on, a column each."""
+        place = self.base[rows[:, 0]] + rows[:, 2]
+        h = np.zeros(len(rows), np.uint32)
+        for i in range(size):
+            h = h * np.uint32(0x9E3779B1) + self.flat[place + i]
+        h *= np.uint32(0x85EBCA6B)
+        order = np.argsort(h, kind="stable")
+        rows, h = rows[order], h[order]
+        n = np.bincount(h >> np.uint32(32 - SLOT_BITS), minlength=1 << SLOT_BITS)
+        i = np.minimum(np.arange(MAX_SEED)[:, None], rows[:, 4] - 1)
+        return np.cumsum(n) - n, n.astype(np.int32), h, rows, self.flat[self.base[rows[:, 0]] + rows[:, 3] + way * i]
 
     def grid(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(rows), self.width), np.uint32)
@@ -138,63 +173,108 @@ class Index:
             out[s] = x
         return out
 
-    def windows(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, start) of the item-sized windows that hold RUNS runs of the item; texts begin in x at ``starts``."""
-        none = np.zeros(0, np.int64)
-        h = run_hashes(x, RUN)
-        hits = np.flatnonzero(self.filter[(mix64(h) >> U64(44)).astype(np.int64)])
-        a, b = np.searchsorted(self.runs, h[hits], "left"), np.searchsorted(self.runs, h[hits], "right")
-        n = b - a
-        if not n.sum():
-            return none, none, none
-        where = np.repeat(hits, n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        item, offset = self.owner[k], self.offset[k]
-        text = np.searchsorted(starts, where, side="right") - 1
-        begin = np.maximum(where - offset, starts[text])
-        # stretches of twice the edits, each overlapping the next by half
-        slot = begin // np.maximum(np.array(self.most)[item], 1) + 1
-        pair = text * len(self.items) + item
-        _, pair = np.unique(pair, return_inverse=True)
-        group = np.stack([np.concatenate([pair, pair]), np.concatenate([slot, slot - 1])])
-        wide = group[0] * (int(slot.max()) + 2) + group[1]
-        _, number = np.unique(wide, return_inverse=True)
-        distinct = np.unique(number * (self.width + 1) + np.concatenate([offset, offset]))
-        runs = np.bincount(distinct // (self.width + 1), minlength=number.max() + 1)
-        enough = (runs >= RUNS)[number]
-        good = enough[: len(pair)] | enough[len(pair) :]
-        both = np.unique(np.stack([text[good], item[good], begin[good]]), axis=1)
-        return both[0], both[1], both[2]
+    def seeded(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """(item, piece, begin, place) where half of a piece is in x as such, at ``place``, and the other half is next to it within
+        one edit; ``begin`` is where the item would begin if there were no edits before the seed."""
+        pad = np.concatenate([np.zeros(MAX_SEED + 1, x.dtype), x, np.zeros(2 * MAX_SEED + 1, x.dtype)])
+        for (size, way), (first, n, hashes, rows, other) in self.seeds.items():
+            h = seed_hashes(x, size)
+            slot = h >> np.uint32(32 - SLOT_BITS)
+            hits = np.flatnonzero(n[slot])
+            for lo in range(0, len(hits), 1 << 14):
+                at = hits[lo : lo + (1 << 14)]
+                many = n[slot[at]].astype(np.int64)
+                ends = np.cumsum(many)
+                seed, where = np.arange(ends[-1]) + np.repeat(first[slot[at]] - ends + many, many), np.repeat(at, many)
+                same = h[where] == hashes[seed]
+                seed, where = seed[same], where[same]
+                # bit i: character i of the other half is in its place, or in the place before or after
+                near = [pad[MAX_SEED + 1 + (size if way > 0 else -1) + way * i :] if way > 0 or i <= MAX_SEED else pad for i in range(-1, MAX_SEED + 1)]
+                length = rows[seed, 4]
+                e0, em, ep = (np.zeros(len(seed), np.uint8) for _ in range(3))
+                before, now = near[0].take(where), near[1].take(where)
+                for i in range(int(rows[:, 4].max())):
+                    after, c = near[i + 2].take(where), other[i].take(seed)
+                    e0 |= (c == now).view(np.uint8) << np.uint8(i)
+                    em |= (c == before).view(np.uint8) << np.uint8(i)
+                    ep |= (c == after).view(np.uint8) << np.uint8(i)
+                    before, now = now, after
+                full = _FULL[length]
+                wrong = ~e0 & full
+                low = wrong & (~wrong + np.uint8(1))
+                since = full & ~(low - np.uint8(1))
+                past = since & ~low
+                good = np.flatnonzero((wrong == 0) | (e0 & past == past) | (em & past == past) | (ep & since == since))
+                if len(good):
+                    seed = seed[good]
+                    yield np.stack([rows[seed, 0], rows[seed, 1], where[good] - rows[seed, 2], where[good]])
+
+    def within(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray, group: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of ``found`` (text, item, piece, begin) whose group of pieces is there within its edits, one of each stretch of
+        ``wide`` begins, with the edits and the place where it ends."""
+        text, item, piece, begin = found
+        first = piece // group * group
+        last = np.minimum(first + group, self.pieces[item])
+        lo, hi = (v * self.lengths[item] // self.pieces[item] for v in (first, last))
+        most = np.minimum(2 * (last - first) - 1, self.most[item])
+        begin = begin // wide * wide
+        order = np.lexsort((begin, first, item, text))
+        key = np.stack([text, item, first, begin])[:, order]
+        one = order[np.concatenate([np.ones(min(1, len(order)), bool), (key[:, 1:] != key[:, :-1]).any(axis=0)])]
+        text, item, piece, begin, lo, hi, most = (v[one] for v in (text, item, piece, begin, lo, hi, most))
+        at = np.clip(begin + lo - most, starts[text], ends[text])
+        to = np.clip(begin + wide + hi + most, at, ends[text])
+        edits, stop = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+        order = np.argsort(hi - lo, kind="stable")
+        for k in (order[c : c + 1024] for c in range(0, len(order), 1024)):
+            cols = at[k] + np.arange(int((to - at)[k].max()))[:, None]
+            texts = np.where(cols < to[k], x[np.minimum(cols, len(x) - 1)], x.dtype.type(0))
+            chars = self.flat[self.base[item[k]] + lo[k] + np.minimum(np.arange(int((hi - lo)[k].max()))[:, None], (hi - lo)[k] - 1)]
+            edits[k], stop[k] = fewest_edits(chars, (hi - lo)[k], texts)
+        good = edits <= most
+        return np.stack([text, item, piece, begin])[:, good], edits[good], (at + stop)[good]
+
+    def proposed(self, raw: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether a bit sample of the item-sized window at each place is that of its item."""
+        out = np.zeros(found.shape[1], bool)
+        for lo in range(0, len(out), 4096):
+            text, item, _, begin = found[:, lo : lo + 4096]
+            begin = np.maximum(begin, 0)
+            size = np.clip(ends[text] - begin, 0, self.lengths[item])
+            cols = np.arange(self.width)
+            grid = np.where(cols < size[:, None], raw[np.minimum(begin[:, None] + cols, len(raw) - 1)], 0).astype(np.uint32)
+            for w in range(WALKS):
+                out[lo : lo + 4096] |= (self.samples(grid, size, self.lengths[item], w) == self.tables[w][:, item]).any(axis=0)
+        return out
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item id, edits, place of the end) of each item that a text holds within the edits allowed."""
         parts = [codes(normal(t)) for t in texts]
         sizes = np.array([len(p) + 1 for p in parts], np.int64)
         starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
-        x = np.concatenate([v for p in parts for v in (p, np.zeros(1, np.uint32))])
+        raw = np.concatenate([v for p in parts for v in (p, np.zeros(1, np.uint32))])
+        x = self.code[raw]
+        x[ends] = 0
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for k in self.short:
             for i, p in enumerate(parts):
-                if len(p) and (got := edits_inside(self.items[k], p, self.most[k])) is not None:
+                if len(p) and (got := edits_inside(self.items[k], p, int(self.most[k]))) is not None:
                     found[i, k] = got
-        text, item, begin = self.windows(x, starts)
-        for lo in range(0, len(item), 4096):
-            tx, it, st = (v[lo : lo + 4096] for v in (text, item, begin))
-            lengths = np.array([len(self.items[k]) for k in it], np.int64)
-            size = np.minimum(lengths, ends[tx] - st)
-            cols = np.arange(self.width)
-            grid = np.where(cols < size[:, None], x[np.minimum(st[:, None] + cols, len(x) - 1)], 0).astype(np.uint32)
-            agree = np.zeros(len(it), np.int64)
-            for w in range(WALKS):
-                agree += (self.samples(grid, size, lengths, w) == self.tables[w][:, it]).sum(axis=0)
-            near = agree >= AGREE
-            for i, k, s in zip(tx[near].tolist(), it[near].tolist(), st[near].tolist(), strict=True):
-                if found.get((i, k), (1, 0))[0] == 0:
-                    continue
-                a, b = max(int(starts[i]), s - self.most[k]), min(int(ends[i]), s + len(self.items[k]) + self.most[k])
-                got = edits_inside(self.items[k], x[a:b], self.most[k])
-                if got is not None and ((i, k) not in found or got[0] < found[i, k][0]):
-                    found[i, k] = (got[0], got[1] + a - int(starts[i]))
+        got = [np.zeros((4, 0), np.int64)]
+        for item, piece, begin, place in self.seeded(x):
+            text = np.searchsorted(starts, place, side="right") - 1
+            got.append(self.within(x, starts, ends, np.stack([text, item, piece, begin]), *GROUPS[0])[0])
+        near = np.concatenate(got, axis=1)
+        if near.size:
+            sure = self.proposed(raw, ends, near)
+            rest = near[:, ~sure]
+            for group in GROUPS[1:]:
+                rest = self.within(x, starts, ends, rest, *group)[0]
+            whole = np.concatenate([near[:, sure], rest], axis=1)
+            (text, item, *_), edits, stop = self.within(x, starts, ends, whole, int(self.pieces.max()), GROUPS[-1][1])
+            for i, k, e, z in zip(text.tolist(), item.tolist(), edits.tolist(), stop.tolist(), strict=True):
+                if (i, k) not in found or e < found[i, k][0]:
+                    found[i, k] = (e, z - int(starts[i]))
         return [(i, self.ids[k], e, end) for (i, k), (e, end) in sorted(found.items())]
 
 

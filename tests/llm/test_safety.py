@@ -162,3 +162,28 @@ def test_decontamination_odd_cases(spark):
     assert {(4, 1), (5, 1), (6, None), (7, 5)} <= got and not any(i in (1, 2, 3) for i, _ in got)
     assert D.contaminated(fx.no_docs(spark), items).count() == 0
     assert {tuple(r) for r in D.contaminated(fx.odd_docs(spark), items, block_items=1).collect()} == {tuple(r) for r in D.contaminated(fx.odd_docs(spark), items).collect()}
+
+
+def test_no_passage_within_the_edits_is_passed_over():
+    """Items of any length against the exact distance: short ones, edits at every tenth character, and edits up to the limit and beyond."""
+    rng, letters = random.Random(7), "abcdefghij "
+    for _ in range(12):
+        items = [(k, "".join(rng.choice(letters) for _ in range(n)).strip() or "x") for k, n in enumerate([3, 9, 10, 11, 12, 15, 20, 20, 33, 60, 110, 150])]
+        index, texts = D.Index(items, D.EDIT_SHARE), [lead + D.normal(s) + "tail" for _, s in items for lead in ("", "lead")]
+        for _, s in items:
+            y = list(D.normal(s))
+            texts.append("".join("#" if q % 10 == 9 else c for q, c in enumerate(y)))
+            texts.append("".join("#" if q == len(y) // 2 else c for q, c in enumerate(y)))
+            for more in (0, 0, 1):
+                z = list(y)
+                for _ in range(len(z) // 5 + more):
+                    q = rng.randrange(len(z) or 1)
+                    z[q : q + 1] = rng.choice([[], [rng.choice(letters)], [*z[q : q + 1], rng.choice(letters)]])
+                texts.append("some " + "".join(z) + " more")
+        want = {}
+        for i, t in enumerate(texts):
+            for k, s in items:
+                x = D.codes(D.normal(s))
+                if (e := D.edits_inside(x, D.codes(D.normal(t)), len(x) // 5)) is not None:
+                    want[i, k] = e[0]
+        assert {(i, k): e for i, k, e, _ in index.find(texts)} == want
