@@ -187,3 +187,18 @@ def test_no_passage_within_the_edits_is_passed_over():
                 if (e := D.edits_inside(x, D.codes(D.normal(t)), len(x) // 5)) is not None:
                     want[i, k] = e[0]
         assert {(i, k): e for i, k, e, _ in index.find(texts)} == want
+
+
+def test_edits_at_the_limit_lose_no_passage(spark):
+    """Whatever the bit samples say: they only spare a window the steps before the exact distance."""
+    rng, items = random.Random(9), [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    index, texts = D.Index(items, D.EDIT_SHARE), []
+    for _, s in items:
+        y = list(D.normal(s))
+        for q in rng.sample(range(len(y)), len(y) // 5):
+            y[q] = "#"
+        texts.append("".join(y))
+    got = index.find(texts)
+    assert {(i, items[i][0]) for i in range(len(texts))} <= {r[:2] for r in got}
+    index.proposed = lambda raw, ends, found: found[0] < 0
+    assert index.find(texts) == got
