@@ -15,8 +15,11 @@ KINDS = (
 )
 #: The same matches as the entries above, without those that the length drops: a run is matched whole or not at all.
 _QUICK = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-#: Candidates of the battery: whole runs of characters that encodings use.
+#: Candidates of the battery: runs of characters that encodings use, first without the names or path before them, then whole,
+#: then their parts between signs that separate as well as encode. Of those that overlap, the first that is random is reported.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+NAMES = r"^(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]?[=/_-]+)+"
+PARTS = (r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+_=-]{20,}", r"[A-Za-z0-9+/=]{20,}", r"[A-Za-z0-9]{20,}")
 #: Share of false discoveries among added spans; the least probability that each random string is passed over with.
 FDR, ALPHA = 0.01, 0.001
 #: Evidence is counted in bins of a quarter nat; more than this is this.
@@ -51,6 +54,22 @@ def _matches(t: str, pattern: str, group: int, least: int) -> Column:
     return F.when(text.rlike(pattern), _walk(hits, F.split(text, pattern, -1), value, lambda v: F.length(v) >= least)).otherwise(none)
 
 
+def _candidates(runs: Column) -> Column:
+    """Structs (start, end, value) of the runs and their parts, in the order in which they are reported."""
+
+    def of(run: Column) -> Column:
+        val, moved = run["val"], lambda at: lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["val"].alias("val"))
+        bare = F.regexp_replace(val, NAMES, "")
+        rest = F.struct((run["end"] - F.length(bare)).alias("start"), run["end"].alias("end"), bare.alias("val"))
+        parts = []
+        for p in PARTS:
+            hits = F.regexp_extract_all(val, F.lit(p), F.lit(0))
+            parts.append(F.transform(_walk(hits, F.split(val, p, -1), hits, lambda v: F.lit(True)), moved(run["start"])))
+        return F.concat(F.filter(F.array(rest, run), lambda x: F.length(x["val"]) >= 20), *parts)
+
+    return F.array_distinct(F.flatten(F.transform(runs, of)))
+
+
 def _phi(z: Column) -> Column:
     """Upper tail of the normal distribution (logistic approximation, error under 2e-4)."""
     return 1 / (1 + F.exp(1.5976 * z + 0.070565988 * z * z * z))
@@ -129,7 +148,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, assign, access, hex, tried) with the spans of each kind and the verdicts of the battery's candidates."""
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text(F.col(text_col)).alias("t"))
     found = t.select("doc_id", *(_matches("t", _QUICK.get(k, p), g, n).alias(k) for k, p, g, n in KINDS), _matches("t", CANDIDATE, 0, 0).alias("runs"))
-    tried = found.withColumn("sums", F.transform("runs", _battery)).withColumn("tried", F.transform("sums", _verdict))
+    tried = found.withColumn("sums", F.transform(_candidates(F.col("runs")), _battery)).withColumn("tried", F.transform("sums", _verdict))
     return tried.select("doc_id", "assign", "access", "hex", "tried")
 
 
@@ -160,8 +179,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [k for k, *_ in KINDS]
     rank = lambda k, name, c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), F.lit(name).alias("kind")))
     base = F.array_sort(F.concat(*(rank(k, name, F.col(name)) for k, name in enumerate(kinds))))
-    new = F.filter("tried", lambda x: x["random"] & (x["evidence"] >= bound))
-    alone = F.filter(rank(len(kinds), "random", new), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    new = rank(len(kinds), "random", F.filter("tried", lambda x: x["random"] & (x["evidence"] >= bound)))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+    first = F.aggregate(new, none, lambda acc, x: F.when(F.exists(acc, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])), acc).otherwise(F.concat(acc, F.array(x))))
+    alone = F.filter(first, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     out = own.withColumn("base", base).withColumn("alone", alone)
     return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(said("base"), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", "alone"))).alias("spans"), F.size("alone").cast("long").alias("n_random"))

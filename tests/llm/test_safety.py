@@ -202,3 +202,16 @@ def test_edits_at_the_limit_lose_no_passage(spark):
     assert {(i, items[i][0]) for i in range(len(texts))} <= {r[:2] for r in got}
     index.proposed = lambda raw, ends, found: found[0] < 0
     assert index.find(texts) == got
+
+
+def test_secrets_behind_names_and_paths(spark):
+    """The span is the secret alone, and a name or path before it hides none."""
+    rng, b64 = random.Random(3), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows, want = [], {}
+    for i in range(120):
+        before = ("export AWS_SECRET_ACCESS_KEY=", "see deadbeef/user/profile/", "it is ")[i % 3]
+        rows.append((i, before + "".join(rng.choice(b64) for _ in range(40)) + " and more"))
+        want[i] = f"random:{len(before)}:{len(before) + 40}"
+    got = {r.doc_id: r.spans for r in S.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(3):
+        assert sum(got[i] == want[i] for i in want if i % 3 == k) >= 37
