@@ -162,17 +162,15 @@ class Search:
 
 
 def improve(bins: list[list[int]], lengths: list[int], size: int, least: int) -> list[list[int]]:
-    """Passes of local search from the emptiest bin on, until bins are as few as ``least`` or three passes in a row empty none."""
-    search, live, idle = Search(bins, lengths, size), len(bins), 0
-    while live > least and idle < 3:
-        before, moved = live, False
+    """Passes of local search from the emptiest bin on, until bins are as few as ``least`` or no step is left. Each step raises
+    the sum of squared fills, so it ends."""
+    search, live, moved = Search(bins, lengths, size), len(bins), True
+    while live > least and moved:
+        moved = False
         for at in [i for _, i in search.open]:
             while live > least and search.bins[at] and search.fill[at] < size and search.step(at):
                 moved = True
                 live -= not search.bins[at]
-        idle = 0 if live < before else idle + 1
-        if not moved:
-            break
     return [b for b in search.bins if b]
 
 

@@ -72,6 +72,18 @@ def test_local_search_empties_bins():
         assert math.ceil(sum(lengths) / 100) <= P.fewest(lengths, 100) <= len(bins) <= P.fewest(lengths, 100) * 1.1 + 1
 
 
+def test_local_search_goes_on_until_no_step_is_left():
+    rng = random.Random(14)
+    lengths, bins = [rng.randrange(120, 520) for _ in range(150)], P.Bins(1000)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        bins.best_fit(k, lengths[k])
+    least = P.fewest(lengths, 1000)
+    got = P.improve(bins.items, lengths, 1000, least)
+    search = P.Search(got, lengths, 1000)
+    assert len(got) == least or not any(search.step(at) for _, at in list(search.open))
+
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies, a lot.</p></div><article><h1>Head &amp; line</h1><p>First   paragraph, with <b>bold<br>text</b>. &eacute;<p>Second one, unclosed.
 <ul><li>item one, yes<li>item two, no</ul><aside><p>Aside, not text.</p></aside><div class="ad">Buy, now.</div><form><p>Name?</p><input></form><script>var a="<p>no</p>";</script>
