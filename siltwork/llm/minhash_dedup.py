@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,9 @@ from .components import components
 
 #: 32 bands of 4 coordinates: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 BANDS, ROWS = 32, 4
-_SKETCH = "id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+#: Members of a star (of each of two kinds) that the others are compared with in a round, and the share of members apart that must find a link for another round.
+LEADS, ROUND_SHARE = 8, 0.05
+_SKETCH = "id long, n_shingles long, digest binary, bands array<long>"
 
 
 def _permute(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -51,18 +54,16 @@ def _sketcher(k: int, bands: int, rows: int):
     def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(sizes)
-        fp1, fp2 = np.zeros(len(sets), U64), np.zeros(len(sets), U64)
         counts, keys = np.zeros(len(sets), np.int64), np.zeros(0, np.int64)
         if len(full):
             allh = np.concatenate(sets)
             starts = (np.cumsum(sizes) - sizes)[full]
-            fp1[full] = np.add.reduceat(allh, starts)
-            fp2[full] = np.bitwise_xor.reduceat(mix64(allh ^ U64(0x5851F42D4C957F2D)), starts)
             keys = band_keys(circulant_signatures(allh, starts, bands * rows), bands, rows).reshape(-1)
             counts[full] = bands
         at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        cols = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))]
-        return pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "fp1", "fp2", "bands"])
+        digests = [hashlib.sha256(x.tobytes()).digest() for x in sets]  # of the whole sorted set
+        cols = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "digest", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +92,7 @@ def _jaccard(k: int, diffs: bool):
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
@@ -107,8 +108,8 @@ def _jaccard(k: int, diffs: bool):
                 inter[r] = len(np.intersect1d(mine, s, assume_unique=True))
                 na[r], nb[r] = len(mine), len(s)
                 if diffs:
-                    lacks.append(np.setdiff1d(mine, s, assume_unique=True).astype(np.uint32).view(np.int32))
-                    adds.append(np.setdiff1d(s, mine, assume_unique=True).astype(np.uint32).view(np.int32))
+                    lacks.append(np.setdiff1d(mine, s, assume_unique=True).view(np.int64))
+                    adds.append(np.setdiff1d(s, mine, assume_unique=True).view(np.int64))
             last = a[-1] if len(a) else last
             cols = [pa.array(x) for x in (a, b, inter, na, nb)] + ([lists(lacks), lists(adds)] if diffs else [])
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -119,33 +120,78 @@ def _jaccard(k: int, diffs: bool):
 def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, diffs: bool = False) -> DataFrame:
     """pairs (a, b) with the sizes of their whole sets and of the intersection; a pair's texts meet by two joins on the id.
 
-    diffs: also 32 bits of each shingle of a that b lacks and that b adds.
+    diffs: also the hashes of the shingles of a that b lacks and of those that b adds.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     one = pairs.join(texts, pairs.b == texts.id).select("a", "b", F.col("t").alias("tb"))
     two = one.join(texts, one.a == texts.id).select("a", "b", "t", "tb")
-    return two.mapInArrow(lean(_jaccard(k, diffs)), "a long, b long, inter long, na long, nb long" + ", lacks array<int>, adds array<int>" * diffs)
+    return two.mapInArrow(lean(_jaccard(k, diffs)), "a long, b long, inter long, na long, nb long" + ", lacks array<long>, adds array<long>" * diffs)
 
 
 def _linked(percent: int):
     return F.col("inter") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("inter"))
 
 
-def _unlinked(seen: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one star that reach the similarity although their components differ."""
+def _members(seen: DataFrame, label: DataFrame) -> DataFrame:
+    """The stars' members with their components; apart: not of the component of the star's smallest member."""
     comp = seen.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("comp", F.coalesce("label", "b")).drop("label")
     comp = comp.join(label.select(F.col("node").alias("a"), F.col("label").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
-    comp = cut(comp.select("a", "b", "na", "nb", "lacks", "adds", "comp", (F.col("comp") != F.col("main")).alias("apart")))
-    x = comp.where("apart").select("a", *(F.col(c).alias("x_" + c) for c in ("b", "nb", "lacks", "adds", "comp")))
-    # joining with x leaves the stars that have a member apart; both sides are read straight from their exchange, so a hot star is split
-    y = comp.select("a", "na", *(F.col(c).alias("y_" + c) for c in ("b", "nb", "lacks", "adds", "comp", "apart")))
+    return cut(comp.select("a", "b", "na", "nb", "lacks", "adds", "comp", (F.col("comp") != F.col("main")).alias("apart")))
+
+
+def _reaching(apart: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Links between members apart and other members of their stars whose components differ.
+
+    A member's set is its star's smallest member less what it lacks and with what it adds, so the
+    intersection of two members follows from these differences, and the cheap bound goes first.
+    """
+    x = apart.select("a", *(F.col(c).alias("x_" + c) for c in ("b", "nb", "lacks", "adds", "comp")))
+    y = others.select("a", "na", *(F.col(c).alias("y_" + c) for c in ("b", "nb", "lacks", "adds", "comp", "apart")))
     reach = lambda inter: inter * 100 >= F.lit(percent) * (F.col("x_nb") + F.col("y_nb") - inter)
     lx, ly, ax, ay = (F.size(c).cast("long") for c in ("x_lacks", "y_lacks", "x_adds", "y_adds"))
     bound = F.col("na") - F.greatest(lx, ly) + F.least(ax, ay)
     inter = F.col("na") - lx - ly + F.size(F.array_intersect("x_lacks", "y_lacks")) + F.size(F.array_intersect("x_adds", "y_adds"))
-    # two that are both apart from the star's component meet once
-    once = ~F.col("y_apart") | (F.col("x_b") < F.col("y_b"))
-    return x.join(y, "a").where((F.col("x_comp") != F.col("y_comp")) & once & reach(bound) & reach(inter + 1)).select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+    met = x.join(y, "a").where((F.col("x_comp") != F.col("y_comp")) & reach(bound) & reach(inter))
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"), "y_apart", (F.col("x_b") < F.col("y_b")).alias("first"))
+
+
+def _leads(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each star up to LEADS members near to its smallest one and up to LEADS members apart, others in each turn."""
+    row = ["b", "na", "nb", "lacks", "adds", "comp", "apart"]
+    drawn = F.xxhash64("b", F.lit(turn))
+    dealt = members.withColumn("g", F.pmod(drawn, F.lit(LEADS)))
+    near = dealt.groupBy("a", "g").agg(F.min(F.struct(F.size("lacks") * 100 + F.size("adds") * percent, *row)).alias("m"))
+    some = dealt.where("apart").groupBy("a", "g").agg(F.min(F.struct(drawn, *row)).alias("m"))
+    pick = [F.col(f"m.{c}").alias(c) for c in row]
+    return cut(near.select("a", *pick).unionByName(some.select("a", *pick)).distinct())
+
+
+def _grown(seen: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Labels of all nodes with links, those between members of one star included that its smallest member doesn't link.
+
+    Members apart are first compared with a few leads of their star, round after round while many find a
+    link, so that families within a star merge by links in proportion to their members. Then the few
+    components left are compared with all members, which loses nothing.
+    """
+    label, turn = components(links), 0
+    while True:
+        members = _members(seen, label)
+        apart = members.where("apart")
+        n = apart.count()
+        if not n:
+            return label
+        turn += 1
+        new = cut(_reaching(apart, _leads(members, percent, turn), percent).select("a", "b").distinct())
+        found = new.count()
+        if found:
+            links = links.unionByName(new)
+            label = components(links)
+        if found < ROUND_SHARE * n:
+            break
+    members = _members(seen, label) if found else members
+    # two that are both apart meet once
+    last = cut(_reaching(members.where("apart"), members, percent).where("not y_apart or first").select("a", "b").distinct())
+    return label if last.isEmpty() else components(links.unionByName(last))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -158,16 +204,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set and are linked with nothing; a row with a null id has a null component and stays. Repeated rows
     are in one class. Other columns are ignored, an empty table gives an empty result.
 
-    Equal sets meet first and only the class's representative is banded. In each bucket all members are
-    verified against its smallest one (a star, never all pairs). Then two members of the same stars are
-    still unlinked if their components differ. A member's set is its star's smallest member less what it
-    lacks and with what it adds, so the intersection of two of them follows from these short
-    differences; the join gives out only pairs that reach the similarity by 32 bits of each shingle
-    (which can only overrate them), and these are verified on whole sets.
+    Equal sets meet first (by SHA-256 over the whole sorted set) and only the class's representative is
+    banded. In each bucket all members are verified against its smallest one on whole sets (a star, never
+    all pairs). Members of a star that are still in different components are compared by their differences
+    from its smallest member, see ``_grown``: exact, and short.
     """
     sk = cut(sketch(docs, id_col, text_col, k))
     full = sk.where("n_shingles > 0 and id is not null")
-    key = ["n_shingles", "fp1", "fp2"]
+    key = ["n_shingles", "digest"]
     classes = cut(full.groupBy(*key).agg(F.min("id").alias("rep")))
     # a repeated id is one node; its rows are alike
     reps = full.join(classes.select("rep"), full.id == F.col("rep"), "left_semi")
@@ -175,11 +219,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = member.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most").select("key", "lead")
     stars = member.join(leads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     seen = cut(verified(docs, stars, id_col, text_col, k, diffs=True))
-    links = seen.where(_linked(percent)).select("a", "b")
-    label = components(links)
-    more = cut(verified(docs, _unlinked(seen, label, percent), id_col, text_col, k).where(_linked(percent)).select("a", "b"))
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    label = _grown(seen, seen.where(_linked(percent)).select("a", "b"), percent)
     owner = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.col("rep"), F.coalesce("label", "rep").alias("comp"))
     done = sk.select("id", *key).join(owner, key, "left")
     comp = F.coalesce("comp", "id")

@@ -109,3 +109,25 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
     assert set(got.values()) == {0, 1000} and len(got) == 203
+
+
+def test_links_inside_a_star_grow_in_proportion(spark, monkeypatch):
+    """One hot group of near copies, many of which its smallest member doesn't link: links are never listed by pairs."""
+    rng, rows, counts = random.Random(3), [], []
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    for i in range(480):
+        w = list(base)
+        for _ in range(rng.randrange(2, 30)):
+            w[rng.randrange(400)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    whole = M.components
+    monkeypatch.setattr(M, "components", lambda links: counts.append(links.count()) or whole(links))
+    most = []
+    for n in (240, 480):
+        counts.clear()
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in M.near_components(docs, k=2).collect()}
+        assert got == fx.components(rows[:n], 2, 80)[1]
+        most.append(max(counts))
+    pairs = fx.components(rows, 2, 80)[0]
+    assert most[1] < 3 * most[0] and most[1] < pairs / 4
