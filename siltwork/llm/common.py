@@ -20,7 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
-FILES_A_CORE = 4
+#: Size of a cut table's files, by the plan's estimate, and files a core that are never merged further.
+CUT_BYTES, FILES_A_CORE = 16 << 20, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +57,14 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on one machine."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         sc = spark.sparkContext
         got = sc.getCheckpointDir()
         if not got:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltwork-"))
             got = sc.getCheckpointDir()
     return got.rstrip("/")
@@ -70,11 +73,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here and a lost executor costs nothing.
 
-    A table has at most FILES_A_CORE files for each core of the cluster: small files cost more than they save.
+    Small files cost more than they save, so a table has no more files than one for each CUT_BYTES of the plan's
+    estimate, or FILES_A_CORE for each core where that is more; both tasks and files grow with the data.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltwork-{uuid.uuid4().hex}"
-    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    files = min(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, size // CUT_BYTES), 1 << 24)
+    df.coalesce(files).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
