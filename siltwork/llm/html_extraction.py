@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, small_batches
 
+# a quote opens a value only after "="; one that is never closed is part of the tag up to the next ">"
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -33,43 +35,88 @@ CLOSES = {
 }
 #: What an open element must not be closed across.
 _WALLS = frozenset("ul ol dl table body html article section main div blockquote td th aside nav footer header form".split())
-#: Elements, roles and words in class or id that are never part of an article.
+#: Elements whose text is never shown as prose.
 NOT_TEXT = frozenset("head script style template noscript iframe svg math canvas object audio video select button textarea".split())
+#: The prior: elements, roles and names that speak against an article, and how much each of them weighs.
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|footer|masthead|"
-    r"topbar|site-?header|page-?header|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|widget|toolbar|search)(?:$|[\s_-])",
-    re.I,
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adbox sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice alert menu nav navbar navigation breadcrumb "
+    "breadcrumbs sidebar side aside footer masthead topbar siteheader pageheader comment comments commentlist respond replies disqus share sharing social related recommended newsletter subscribe signup "
+    "login popup modal overlay pagination pager widget toolbar search".split()
 )
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre caption figcaption span b i em strong a".split())
+AGAINST, DOUBT, OUTSIDE, HEADER = 0.001, 0.3, 0.001, 0.01
 _PUNCT = re.compile(r"[.,;:!?…。！？،؛।]")
-#: Neighbouring blocks that smoothing reaches on either side, its width, the weight of an article element, and the share of the page's level that a block needs.
-REACH, SIGMA, SEMANTIC, SHARE = 2, 1.0, 4.0, 0.1
+#: Ratios beyond which a path is prose in full: characters and punctuation a block.
+FULL_LENGTH, FULL_PUNCT = 1000, 10
+#: Neighbouring blocks that smoothing reaches on either side, its width, and the share of the best path's value that a path needs.
+REACH, SIGMA, SHARE = 2, 1.0, 0.15
+#: Share of the content that the content node holds, and of the best path's value that any block in it needs.
+CORE, SOME = 0.75, 0.02
 #: A path whose text is links to this share is no content.
 LINKS = 0.6
 
 
 @dataclass
 class Leaf:
-    path: str
+    """A block of text: its path's number, its text, characters in links, the prior, whether an article holds it, and where
+    the element around the block begins and ends."""
+
+    path: int
     text: str
     linked: int
+    prior: float
     inside: bool
+    around: _Element
 
 
 class _Element:
-    __slots__ = ("tag", "path", "banned", "inside", "link")
+    __slots__ = ("tag", "path", "banned", "prior", "inside", "link", "block", "around", "start", "end", "first", "last")
+
+    def __init__(self, tag: str, path: int, start: int, first: int, above: _Element | None):
+        self.tag, self.path, self.start, self.end, self.first, self.last = tag, path, start, 1 << 62, first, 1 << 62
+        self.banned, self.prior, self.inside, self.link = (above.banned, above.prior, above.inside, above.link) if above else (False, 1.0, False, False)
+        own = above is None or tag in BLOCK
+        self.block = self if own else above.block
+        self.around = (above.block if above else self) if own else above.around
+
+    def holds(self, other: _Element) -> bool:
+        return self.start <= other.start < self.end
+
+
+def _against(tag: str, rest: str, inside: bool) -> float:
+    """Weight of an element by its name, role, class and id; 1 where they say nothing."""
+    if tag in NOT_ARTICLE:
+        return AGAINST
+    weight = HEADER if tag == "header" and not inside else 1.0
+    if tag in ("html", "body", "main", "article") or not rest.strip():
+        return weight
+    attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(rest)}
+    if attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return AGAINST
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        whole = name.replace("-", "").replace("_", "")
+        if name in _NAMES or whole in _NAMES:
+            # a name of a paragraph of an article says little
+            weight = min(weight, DOUBT if tag in _PROSE and inside else AGAINST)
+        elif not _NAMES.isdisjoint(re.split("[-_]", name)):
+            weight = min(weight, DOUBT if inside else AGAINST)
+    return weight
 
-    def __init__(self, tag: str, path: str, banned: bool, inside: bool, link: bool):
-        self.tag, self.path, self.banned, self.inside, self.link = tag, path, banned, inside, link
 
+def leaves(page: str, prior: bool = True) -> list[Leaf]:
+    """Blocks of text in page order with their root-to-leaf tag path; unclosed and crossing elements are mended.
 
-def leaves(page: str) -> list[Leaf]:
-    """Blocks of text in page order with their root-to-leaf tag path; unclosed and crossing elements are mended."""
+    A path has a number, so that any depth costs the same. Without ``prior`` the names of elements,
+    classes, ids and roles say nothing.
+    """
     out: list[Leaf] = []
-    stack = [_Element("", "", False, False, False)]
+    paths: dict[tuple[int, str], int] = {}
+    stack = [_Element("", 0, 0, 0, None)]
+    held: dict[str, int] = {}
     parts: list[str] = []
-    linked, at, low = 0, 0, None
+    linked, at, low, begun = 0, 0, None, 0
     home = stack[0]
 
     def put(raw: str) -> None:
@@ -77,7 +124,7 @@ def leaves(page: str) -> list[Leaf]:
         top = stack[-1]
         if raw and not top.banned:
             if not parts:
-                home = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0])
+                home = top
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if top.link:
@@ -88,10 +135,16 @@ def leaves(page: str) -> list[Leaf]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Leaf(home.path, text, linked, home.inside))
+                out.append(Leaf(home.block.path, text, linked, home.block.prior, home.block.inside, home.around))
             parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            e.end, e.last = begun + 1, len(out)
+            held[e.tag] -= 1
+        del stack[k:]
+
     while m := _MARKUP.search(page, at):
         put(page[at : m.start()])
         at = m.end()
@@ -106,9 +159,9 @@ def leaves(page: str) -> list[Leaf]:
                 flush()
             if tag == "br":
                 put(" ")
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _WALLS and tag not in BLOCK:
                     break
@@ -117,27 +170,29 @@ def leaves(page: str) -> list[Leaf]:
             flush()
         elif tag == "br":
             put(" ")
-        if shut := CLOSES.get(tag):
+        shut = CLOSES.get(tag)
+        if shut and any(held.get(t) for t in shut):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut:
-                    del stack[k:]
+                    close(k)
                     if tag in ("p", "div", "ul", "ol", "table") or "p" in shut:
                         break
                 elif stack[k].tag in _WALLS:
                     break
         if tag in VOID or m["rest"].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        above, label, banned = stack[-1], tag, tag in NOT_TEXT or tag in NOT_ARTICLE
-        if m["rest"].strip():
-            attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m["rest"])}
-            names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-            if attrs.get("class"):
-                label += "." + ".".join(sorted(attrs["class"].split()))
-            if tag not in ("html", "body", "main", "article"):
-                banned |= bool(names and _WORDS.search(names)) or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        inside = above.inside or tag in ("article", "main")
-        banned |= above.banned or tag == "header" and not above.inside
-        stack.append(_Element(tag, f"{above.path}/{label}", banned, inside, above.link or tag == "a"))
+        above, label, begun = stack[-1], tag, begun + 1
+        if "class" in m["rest"]:
+            names = next((b or c or d for a, b, c, d in _ATTR.findall(m["rest"]) if a.lower() == "class"), "")
+            label = ".".join([tag, *sorted(names.split())])
+        e = _Element(tag, paths.setdefault((above.path, label), len(paths) + 1), begun, len(out), above)
+        e.banned |= tag in NOT_TEXT
+        e.link |= tag == "a"
+        if prior:
+            e.prior *= _against(tag, m["rest"], above.inside)
+            e.inside |= tag in ("article", "main")
+        stack.append(e)
+        held[tag] = held.get(tag, 0) + 1
         if tag in RAW:  # no markup in it
             low = page.lower() if low is None or len(low) != len(page) else low
             end = low.find(f"</{tag}", at)
@@ -154,34 +209,48 @@ def select(blocks: list[Leaf]) -> list[Leaf]:
     """Blocks of content by tag-path ratios.
 
     For each path the text length and the punctuation of its blocks are summed and divided by their
-    number; the two ratios are fused by product (less the share of link text), weighted where an
-    article or main element holds the path, smoothed along the page by a Gaussian, and compared with a
-    share of the page's length-weighted level.
+    number; the two ratios, each up to what prose has, are fused by product with the path's share of the
+    page's text and of its own text that is not in links.
+    The values are smoothed along the page by a Gaussian; a block takes from neighbours in the element
+    around it or further out, so headings and lists take from the prose that they stand in, while
+    what stands outside takes nothing from it. A path's value is that of its best block times the
+    prior; paths of at least a share of the best path's value are content. The content node is the
+    smallest element around the best block with most of that content: its other blocks (of some value, unless in an article)
+    belong to it, what lies outside it doesn't.
     """
-    sums: dict[str, list[float]] = {}
+    if not blocks:
+        return []
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         for k, v in enumerate((len(b.text), len(_PUNCT.findall(b.text)), b.linked, 1)):
             s[k] += v
-    fused = {p: (n / c) * (1 + q / c) * (1 - link / n) * (link < LINKS * n) for p, (n, q, link, c) in sums.items()}
-    raw = [fused[b.path] * (SEMANTIC if b.inside else 1.0) for b in blocks]
-    kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(REACH + 1)]
-    smooth = []
-    for i in range(len(raw)):
-        near = [(kernel[abs(j - i)], raw[j]) for j in range(max(0, i - REACH), min(len(raw), i + REACH + 1)) if blocks[j].inside == blocks[i].inside]
-        smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
     total = sum(len(b.text) for b in blocks)
-    level = sum(v * len(b.text) for v, b in zip(smooth, blocks, strict=True)) / total if total else 0.0
-    # a path stands or falls as one, by its best block; links alone are no content
-    best: dict[str, float] = {}
-    for v, b in zip(smooth, blocks, strict=True):
-        best[b.path] = max(best.get(b.path, 0.0), v)
+    fused = {p: n / total * min(n / c / FULL_LENGTH, 1.0) * (1 + min(q / c, FULL_PUNCT)) / (1 + FULL_PUNCT) * (1 - link / n) * (link < LINKS * n) for p, (n, q, link, c) in sums.items()}
+    raw = [fused[b.path] for b in blocks]
+    kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(REACH + 1)]
     some = any(b.inside for b in blocks)
-    return [b for b in blocks if best[b.path] >= SHARE * level and fused[b.path] > 0 and (b.inside or not some)]
+    value, best = [], {}
+    for i, b in enumerate(blocks):
+        near = [(kernel[abs(j - i)], raw[j]) for j in range(max(0, i - REACH), min(len(raw), i + REACH + 1)) if blocks[j].around.holds(b.around) and blocks[j].prior >= b.prior]
+        smooth = sum(w * v for w, v in near) / sum(w for w, _ in near)
+        value.append(smooth * b.prior * (1.0 if b.inside or not some else OUTSIDE))
+        best[b.path] = max(best.get(b.path, 0.0), value[-1])
+    most = max(best.values())
+    chosen = [best[b.path] >= SHARE * most and fused[b.path] > 0 for b in blocks]
+    mass = [0.0, *itertools.accumulate(v * len(b.text) * c for v, b, c in zip(value, blocks, chosen, strict=True))]
+    held = lambda e: mass[min(e.last, len(blocks))] - mass[e.first]
+    node = blocks[max(range(len(blocks)), key=lambda i: mass[i + 1] - mass[i])].around
+    while node.around is not node and held(node) < CORE * mass[-1]:
+        node = node.around
+    lo, hi = node.first, min(node.last, len(blocks))
+    if node.tag not in ("", "html", "body"):
+        chosen = [c or fused[b.path] > 0 and (b.inside and b.prior == 1 or best[b.path] >= SOME * most) for c, b in zip(chosen, blocks, strict=True)]
+    return [b for b, c in zip(blocks[lo:hi], chosen[lo:hi], strict=True) if c]
 
 
-def main_text(page: str) -> str:
-    return "\n".join(b.text for b in select(leaves(page)))
+def main_text(page: str, prior: bool = True) -> str:
+    return "\n".join(b.text for b in select(leaves(page, prior)))
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,16 +99,48 @@ def test_main_text():
     assert H.main_text("text only") == "text only"
 
 
-def test_pages_of_the_table(spark):
-    """The generated pages hold their text in one article: all of its blocks and nothing else."""
+def article(page):
+    """The blocks of a generated page's article."""
     import html
     import re
 
+    inner = re.search("<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+    blocks = [" ".join(html.unescape(re.sub("</?b>", "", b)).split()) for b in re.split("</?(?:h1|p)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_paths_decide_without_names(spark):
+    """All names gone - neutral elements, no class, id or role - the ratios alone find nearly every article."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:nav|aside|footer|article|header|section|main)\b", r"<\1div", p)) for p in pages]
+    assert sum(H.main_text(q) == article(p) for p, q in zip(pages, plain, strict=True)) >= 0.95 * len(pages)
+    assert sum(H.main_text(p, prior=False) == article(p) for p in pages) >= 0.95 * len(pages)
+    assert all(H.main_text(p) == article(p) for p in pages)
+
+
+def test_main_text_of_odd_markup():
+    prose = "Words go on here, and then some more of them follow. " * 5
+    assert H.main_text('<p title="x>Text') == "Text"
+    assert H.main_text("<p>one <a href=x'y>z</a> two, three</p>") == "one z two, three"
+    assert H.main_text('<p title="a > b">Text, of it.</p>') == "Text, of it."
+    named = f"<article><p class=search>One, two. Three.</p><p class='related-work side'>Some more, of it.</p><p>{prose}</p></article>"
+    assert H.main_text(named) == f"One, two. Three.\nSome more, of it.\n{prose.strip()}"
+    whole = f"<body><form id=f><div><h1>Title</h1><p>{prose}</p></div></form></body>"
+    assert H.main_text(whole) == f"Title\n{prose.strip()}"
+    short = "<body><nav><a href=/a>menu</a></nav><div class=ad>Buy this now, friends. It is cheap.</div><article><h1>Hi</h1><p>Yo</p></article><footer>All rights. Reserved, really.</footer></body>"
+    assert H.main_text(short) == "Hi\nYo"
+    comments = f"<article><h1>Title</h1><p>{prose}</p><ul><li>one<li>two</ul><section class='comments'><p>{prose}</p></section></article><aside><p>{prose}</p></aside>"
+    assert H.main_text(comments) == f"Title\n{prose.strip()}\none\ntwo"
+    assert H.main_text("<div>" * 20_000 + "deep text" + "<b>" * 20_000 + "x</b>") == "deep textx"
+
+
+def test_pages_of_the_table(spark):
+    """The generated pages hold their text in one article: all of its blocks and nothing else."""
     pages = {r.page_id: r.html for r in fx.table(spark, "pages").collect()}
     for r in H.extract_text(fx.table(spark, "pages")).collect():
-        inner = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1].replace("<br>", " ")
-        blocks = [" ".join(html.unescape(re.sub("</?b>", "", b)).split()) for b in re.split("</?(?:h1|p)>", inner)]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == article(pages[r.page_id]) and r.n_chars == len(r.text)
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in H.extract_text(odd).collect()] == [("", 0)] * 3
     assert H.extract_text(odd.where("false")).count() == 0
