@@ -78,7 +78,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltwork-{uuid.uuid4().hex}"
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     files = min(max(FILES_A_CORE * spark.sparkContext.defaultParallelism, size // CUT_BYTES), 1 << 24)
     df.coalesce(files).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
