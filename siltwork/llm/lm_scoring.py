@@ -1,14 +1,15 @@
-"""Language-model scores by logistic context mixing over the bits of words, with corpus-wide word counts and a match model."""
+"""Language-model scores by online logistic context mixing over the bits of a text, beside corpus-wide word counts."""
 
 from __future__ import annotations
 
+import heapq
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,37 +20,23 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 HELD_WORDS = 500_000
 #: The most frequent words travel to every task; all others are joined.
 HEAD_WORDS = 50_000
-#: Words (by least hash) that the mixing weights are fitted on.
-SAMPLE_WORDS = 20_000
-#: Contexts: the bytes before in the word (none, 1, 2, 3, 4, 5) and the whole beginning of the word; bits of each one's table.
-ORDERS = (0, 1, 2, 3, 4, 5, -1)
-BITS = (8, 16, 18, 19, 19, 19, 19)
-DELTA, DISCOUNT, END = 0.4, 0.75, b""
-_BASE = np.cumsum([0, *(1 << b for b in BITS)])
-_SIZE = int(_BASE[-1])
-_STEP = 1 << 19
-#: Match model: prior (hits, misses) by how often the prediction has just held.
-MATCH = ((0.05, 1.0), (0.5, 0.5), (1.0, 0.3), (2.0, 0.1))
-
-
-#: Texts are of one of so many classes, by the letter outside a-z that they use most; a text's class is sent first.
-CLASSES = 16
-#: Chance that a text repeats one of its own words as such.
-REPEAT = 0.03
-_LN10 = math.log(10)
-_OTHER = re.compile("[^\\x00-\\x7f]")
-
-
-def class_of(text: bytes) -> int:
-    """0 without letters outside ASCII, or with fewer than one in 500 characters; else by the commonest of them."""
-    if text.isascii():
-        return 0
-    said = text.decode("utf-8", "replace")
-    found = _OTHER.findall(said)
-    if len(found) * 500 < len(said):
-        return 0
-    top = max(Counter(found).items(), key=lambda x: (x[1], x[0]))[0]
-    return 1 + ord(top) * 2654435761 % (1 << 32) % (CLASSES - 1)
+END = b""
+#: Bytes before the one predicted that a predictor knows; 0 stands for the word before and the beginning of this one.
+ORDERS = (1, 2, 3, 4, 6, 0)
+#: Bits of the predictors' tables, at most: each has a slot for every byte of training text up to that bound, which keeps what is
+#: broadcast under 16 MB. Short contexts have fewer values.
+BITS, MIN_BITS = (16, 18, 21, 22, 22, 22), 12
+#: Training text of a counting task: as little as SMALL_TASK while cores are free, else LARGE_TASK. Partial counts added at once.
+SMALL_TASK, LARGE_TASK, FAN = 32 << 20, 256 << 20, 64
+#: Added to both counts of a bit; a predictor says log-odds in steps of 1 / SCALE, and is sure from SURE on.
+DELTA, SCALE, SURE = 0.1, 16.0, 2.0
+#: First weight of a predictor, and learning rates of weights and of refined probabilities. Both begin anew after SEGMENT bytes of
+#: a text, so that long texts are mixed in parallel.
+FIRST, RATE, REFINE, SEGMENT = 0.3, 0.015, 0.02, 2048
+GATES, CELLS = len(ORDERS) + 1, 33
+#: Bytes of text that are mixed together.
+_STEP, _TRAIN_STEP = 1 << 21, 1 << 20
+_CHUNK = 1 << 16
 
 
 def words(text: bytes) -> list[bytes]:
@@ -57,336 +44,359 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class Symbols:
-    """Bytes of words, each word followed by a blank, and for each byte the hashes of its contexts."""
-
-    def __init__(self, group: list[bytes]):
-        data = np.frombuffer(b" ".join(group) + b" ", np.uint8)
-        sizes = np.array([len(w) + 1 for w in group], np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        self.data = data
-        first = np.zeros(len(data), bool)
-        first[self.starts] = True
-        history, h = data.astype(np.uint32) + np.uint32(1), np.zeros(len(data), np.uint32)
-        self.hashes = [h]
-        for _ in range(5):
-            before = np.empty_like(history)
-            before[0], before[1:] = 0, history[:-1]
-            before[first] = 0
-            history = before
-            h = (h ^ before) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
-            self.hashes.append(h)
-        p, q = _powers(len(data) + 1)
-        c = np.empty(len(data), U64)
-        c[0] = 0
-        np.cumsum(((data[:-1].astype(U64) + U64(1)) * p[: len(data) - 1]), out=c[1:])
-        own = np.repeat(self.starts, sizes)
-        self.hashes.append((mix64((c - c[own]) * q[own] + U64(1)) >> U64(32)).astype(np.uint32))
-
-    def bits(self):
-        """(bit, slot of each context's predictor) for the eight bits of every byte, the highest first."""
-        node = np.ones(len(self.data), np.uint32)
-        for shift in range(7, -1, -1):
-            bit = (self.data >> np.uint8(shift)) & np.uint8(1)
-            slots = [node.astype(np.int64), (self.hashes[1] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64) * 256 + node]
-            turn = node * np.uint32(0x9E3779B1)
-            for h, b in zip(self.hashes[2:], BITS[2:], strict=True):
-                x = (h ^ (h >> np.uint32(15))) + turn
-                x *= np.uint32(0x85EBCA6B)
-                slots.append((x >> np.uint32(32 - b)).astype(np.int64))
-            yield bit, slots
-            node = node * np.uint32(2) + bit
-
-
-def _groups(ws: list[bytes]) -> Iterator[list[bytes]]:
-    group, size = [], 0
-    for w in ws:
-        group.append(w)
-        size += len(w) + 1
-        if size >= _STEP:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-def count_bits(ws: list[bytes]) -> np.ndarray:
-    """(2, slots) counts of the bit 0 and the bit 1 under each predictor; every word counts once."""
-    out = np.zeros((2, _SIZE), np.float32)
-    for group in _groups(ws):
-        for bit, slots in Symbols(group).bits():
-            for k, s in enumerate(slots):
-                size = 1 << BITS[k]
-                both = np.bincount(s * 2 + bit, minlength=2 * size)
-                out[0, _BASE[k] : _BASE[k + 1]] += both[0::2]
-                out[1, _BASE[k] : _BASE[k + 1]] += both[1::2]
-    return out
+def stream(tokens: list[bytes]) -> bytes:
+    """What the mixer reads of a text: its words with one blank between them, and the end."""
+    return b" ".join(tokens) + b"\n"
 
 
-class Mixer:
-    """Logistic mixing of the predictors. Weights are chosen by the number of contexts with a history (the gate) and
-    learned online; a table of refined probabilities by gate and mixed probability is adapted along with them."""
+class Code:
+    """Bytes as paths of a binary tree: a Huffman code by the training texts' bytes, so that frequent bytes take few decisions.
 
-    GATES, CELLS = len(ORDERS) + 1, 33
+    A byte that never came counts as one, so every text has a path.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.weights = np.full((self.GATES, len(ORDERS)), 0.3, np.float32)
-        grid = (np.arange(self.CELLS) - self.CELLS // 2) / 2.0
-        self.refined = np.tile(1 / (1 + np.exp(-grid)), (self.GATES, 1)).astype(np.float32)
-        self.stretch = np.log((counts[1] + DELTA) / (counts[0] + DELTA)).astype(np.float32)
-
-    def _mix(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        gate = (x != 0).sum(axis=0)
-        dot = np.clip((self.weights[gate].T * x).sum(axis=0), -7.9, 7.9)
-        p = 1 / (1 + np.exp(-dot))
-        cell = np.rint(dot * 2).astype(np.int64) + self.CELLS // 2
-        return gate, dot, p, cell
-
-    def fit(self, ws: list[bytes], passes: int = 3) -> None:
-        """Online passes over sample words, each word's own share taken out of the counts."""
-        for turn in range(passes):
-            rate = 0.02 / (1 + turn)
-            for lo in range(0, len(ws), 64):
-                for bit, slots in Symbols(ws[lo : lo + 64]).bits():
-                    at = np.stack([s + _BASE[k] for k, s in enumerate(slots)])
-                    n1 = np.maximum(self.counts[1][at] - bit, 0)
-                    n0 = np.maximum(self.counts[0][at] - (1 - bit.astype(np.int8)), 0)
-                    x = np.log((n1 + DELTA) / (n0 + DELTA))
-                    gate, _, p, cell = self._mix(x)
-                    err = bit - p
-                    for g in np.unique(gate):
-                        m = gate == g
-                        self.weights[g] += rate * (x[:, m] * err[m]).sum(axis=1) / math.sqrt(m.sum())
-                    flat = gate * self.CELLS + cell
-                    n = np.bincount(flat, minlength=self.refined.size)
-                    mean = np.bincount(flat, weights=bit, minlength=self.refined.size) / np.maximum(n, 1)
-                    pull = np.minimum(0.02 * n, 0.5).reshape(self.refined.shape)
-                    self.refined += (pull * (mean.reshape(self.refined.shape) - self.refined)).astype(np.float32)
-        self.refined = np.clip(self.refined, 1e-4, 1 - 1e-4)
-
-    def log10(self, ws: list[bytes]) -> np.ndarray:
-        """log10 of the probability that a word and its end are spelled out."""
-        out = []
-        for group in _groups(ws):
-            sym = Symbols(group)
-            cost = np.zeros(len(sym.data), np.float64)
-            x = np.empty((len(ORDERS), len(sym.data)), np.float32)
-            for bit, slots in sym.bits():
-                for k, s in enumerate(slots):
-                    np.take(self.stretch[_BASE[k] : _BASE[k + 1]], s, out=x[k])
-                gate, _, p, cell = self._mix(x)
-                p = 0.5 * (p + self.refined[gate, cell])
-                cost += np.log10(np.where(bit == 1, p, 1 - p))
-            out.append(np.add.reduceat(cost, sym.starts))
+        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        sons: dict[int, tuple[int, int]] = {}
+        for node in range(256, 511):
+            (x, _, a), (y, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            sons[node] = (a, b)
+            heapq.heappush(heap, (x + y, node, node))
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+        todo = [(510, [])]
+        while todo:
+            node, path = todo.pop()
+            if node < 256:
+                paths[node] = path
+            else:
+                todo += [(son, [*path, (node - 255, bit)]) for bit, son in enumerate(sons[node])]
+        self.size = np.array([len(p) for p in paths], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.node = np.array([n for p in paths for n, _ in p], np.uint32)
+        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+
+
+class Decisions:
+    """The binary decisions of some streams, one after the other, and the slots of their predictors."""
+
+    def __init__(self, streams: list[bytes], code: Code, bits: tuple[int, ...]):
+        self.data = data = np.frombuffer(b"".join(streams), np.uint8)
+        self.bits = bits
+        ends = np.cumsum([len(s) for s in streams])
+        self.texts = ends - [len(s) for s in streams]
+        size = code.size[data]
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        pick = np.arange(self.at[-1]) + np.repeat(code.first[data] - self.at[:-1], size)
+        self.turn = code.node[pick] * np.uint32(0x9E3779B1)
+        self.bit = code.bit[pick]
+        self.size = size
+
+    def _words(self) -> np.ndarray:
+        """Hash of the word before and of the beginning of the current one, at each byte."""
+        data, n = self.data, len(self.data)
+        gap = (data == 32) | (data == 10)
+        first = np.zeros(n + 1, bool)
+        first[1:] = gap
+        first[self.texts] = True
+        starts = np.flatnonzero(first[:n])
+        ends = np.append(starts[1:], n)
+        sizes = ends - starts
+        p, q = _powers(n + 1)
+        c = np.zeros(n + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * p[:n], out=c[1:])
+        whole = mix64((c[ends - gap[ends - 1]] - c[starts]) * q[starts] + U64(7))
+        before = np.concatenate([np.zeros(1, U64), whole[:-1]])
+        before[np.searchsorted(starts, self.texts)] = 0
+        own = np.repeat(starts, sizes)
+        return (mix64((c[:n] - c[own]) * q[own] ^ np.repeat(before, sizes)) >> U64(32)).astype(np.uint32)
+
+    def slots(self) -> Iterator[np.ndarray]:
+        """For each predictor the slot of every decision."""
+        history = self.data.astype(np.uint32) + np.uint32(1)
+        h, known = np.zeros(len(self.data), np.uint32), 0
+        for order, bits in zip(ORDERS, self.bits, strict=True):
+            if order:
+                while known < order:
+                    last = history
+                    history = np.empty_like(last)
+                    history[0], history[1:] = 0, last[:-1]
+                    history[self.texts] = 0
+                    h, known = (h ^ history) * np.uint32(0x01000193) + np.uint32(0x9E3779B9), known + 1
+                x = h
+            else:
+                x = self._words()
+            x = np.repeat((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D), self.size)
+            x += self.turn
+            x ^= x >> np.uint32(16)
+            x *= np.uint32(0x85EBCA6B)
+            x >>= np.uint32(32 - bits)
+            yield x
+
+
+class Mixer:
+    """Bit predictors' log-odds by slot, mixed by gated weights that learn as a text goes on.
+
+    The gate is the number of predictors that are sure. A table of refined probabilities by gate
+    and mixed probability learns along; the mean of mixed and refined probability is the decision's.
+    """
+
+    def __init__(self, code: Code, bits: tuple[int, ...], tables: list[np.ndarray]):
+        self.code, self.bits, self.tables = code, bits, tables
+        grid = (np.arange(CELLS) - CELLS // 2) / 2.0
+        self.refined = np.tile(1 / (1 + np.exp(-grid)), GATES).astype(np.float32)
+        self.weights = np.zeros((GATES, 8), np.float32)
+        self.weights[:, : len(ORDERS)] = FIRST / SCALE
+
+    def log10(self, streams: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each stream."""
+        out, lo = [], 0
+        while lo < len(streams):
+            hi, size = lo, 0
+            while hi < len(streams) and (hi == lo or size + len(streams[hi]) <= _STEP):
+                size += len(streams[hi])
+                hi += 1
+            out.append(self._log10(streams[lo:hi]))
+            lo = hi
         return np.concatenate(out) if out else np.zeros(0)
 
+    def _log10(self, streams: list[bytes]) -> np.ndarray:
+        d = Decisions(streams, self.code, self.bits)
+        rows = np.zeros((len(d.bit), 8), np.int8)
+        for k, slot in enumerate(d.slots()):
+            np.take(self.tables[k], slot, out=rows[:, k], mode="clip")
+            rows[:, 6] += np.abs(rows[:, k]) >= SURE * SCALE
+        rows[:, 7] = d.bit
+        rows = rows.view(np.int64)[:, 0]
+        # lanes: stretches of SEGMENT bytes of one text, longest first
+        text = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(d.texts, [*d.texts[1:], len(d.data)], strict=True)])
+        stop = np.minimum(np.append(text[1:], len(d.data)), len(d.data))
+        owner = np.searchsorted(d.texts, text, side="right") - 1
+        first, count = d.at[text], d.at[stop] - d.at[text]
+        order = np.argsort(-count, kind="stable")
+        first, count, owner = first[order], count[order], owner[order]
+        lanes = len(first)
+        weights = np.tile(self.weights, (lanes, 1))
+        refined = np.tile(self.refined, lanes)
+        cost = np.zeros(lanes)
+        mask = np.zeros(8, np.float32)
+        mask[: len(ORDERS)] = 1
+        active = np.searchsorted(-count, -np.arange(count[0]), side="left")
+        at, w0, r0 = first.copy(), np.arange(lanes) * GATES, np.arange(lanes) * (GATES * CELLS) + CELLS // 2
+        for n in active.tolist():
+            got = rows.take(at[:n]).view(np.int8).reshape(n, 8)
+            at[:n] += 1
+            gate = got[:, 6].astype(np.int64)
+            bit = got[:, 7].astype(np.float32)
+            x = got * mask
+            pick = w0[:n] + gate
+            w = weights.take(pick, axis=0)
+            dot = np.einsum("ij,ij->i", w, x)
+            np.clip(dot, -7.9, 7.9, out=dot)
+            p = 1 / (1 + np.exp(-dot))
+            cell = r0[:n] + gate * CELLS + np.rint(dot * 2).astype(np.int64)
+            r = refined.take(cell)
+            q = 0.5 * (p + r)
+            cost[:n] += np.log10(np.abs(q + bit - 1))
+            refined[cell] = r + (bit - r) * REFINE
+            x *= ((bit - p) * (RATE / SCALE**2))[:, None]
+            w += x
+            weights[pick] = w
+        return np.bincount(owner, cost, len(streams))
+
 
 def _raw(col: pa.Array) -> pa.Array:
     return col.cast(pa.binary())
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the batches with their number in training texts by class; partial counts leave whenever there are many."""
-    got: dict[int, Counter] = {}
+    """Words of training texts with their number; partial counts leave whenever there are many."""
+    got: Counter = Counter()
 
-    def out(cls: int) -> pa.RecordBatch:
-        g = got.pop(cls)
-        return pa.RecordBatch.from_arrays([pa.array(list(g), pa.binary()).cast(pa.string()), pa.array([cls] * len(g), pa.int32()), pa.array(list(g.values()), pa.int64())], ["word", "cls", "c"])
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()).cast(pa.string()), pa.array(list(got.values()), pa.int64())], ["word", "c"])
 
     for batch in batches:
-        for text, train in zip(_raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            text = text.as_py()
-            g = got.setdefault(class_of(text), Counter())
-            if train:
-                g.update(words(text))
-                g[END] += 1
-            else:
-                for w in {*words(text), END}:
-                    g[w] += 0
-        while sum(map(len, got.values())) > HELD_WORDS:
-            yield out(max(got, key=lambda k: len(got[k])))
-    for cls in list(got):
-        yield out(cls)
+        for text in _raw(batch.column(0)):
+            got.update(words(text.as_py()))
+            got[END] += 1
+        if len(got) > HELD_WORDS:
+            yield out()
+            got.clear()
+    if got:
+        yield out()
+
+
+def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the training streams, from their words' counts."""
+    total = np.zeros(256, np.int64)
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        col = _raw(batch.column(0))
+        size = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])
+        data = np.frombuffer(b"".join(w.as_py() for w in col), np.uint8)
+        total += np.bincount(data, np.repeat(n, size), 256).astype(np.int64)
+        total[32] += int(n[size > 0].sum())
+        total[10] += int(n[size == 0].sum())
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
 
 
-def _train_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, ws, size = np.zeros((2, _SIZE), np.float32), [], 0
-    for batch in batches:
-        for w in _raw(batch.column(0)):
-            ws.append(w.as_py())
-            size += len(ws[-1]) + 1
-        if size > 4 * _STEP:
-            total += count_bits(ws)
-            ws, size = [], 0
-    total += count_bits(ws)
-    for lo in range(0, _SIZE, 1 << 16):
-        part = total[:, lo : lo + (1 << 16)]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["lo", "part"])
+def count_bits(streams: list[bytes], code: Code, bits: tuple[int, ...], total: list[np.ndarray]) -> None:
+    """Add the decisions of the streams to ``total``, each predictor's (slots, 2) counts of the bit 0 and the bit 1."""
+    d = Decisions(streams, code, bits)
+    for k, slot in enumerate(d.slots()):
+        total[k] += np.bincount(slot * np.uint32(2) + d.bit, minlength=2 << bits[k]).astype(np.uint32).reshape(-1, 2)
 
 
-def _add_parts(key, parts):
-    """The sum of the partial counts of one stretch of slots."""
-    total = None
-    for raw in parts["part"]:
-        part = np.frombuffer(raw.as_py(), np.float32)
-        total = part.copy() if total is None else total + part
-    return pa.table({"lo": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
+def stretch(total: np.ndarray) -> np.ndarray:
+    """Log-odds of the counts (..., 2) in steps of 1 / SCALE; 0 where nothing was counted."""
+    odds = np.log((total[..., 1] + DELTA) / (total[..., 0] + DELTA))
+    said = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)
+    seen = total.any(axis=-1)
+    return np.where(seen & (said == 0), np.int8(1), said)
 
 
-def _spelling(model):
+def _train(code: Code, bits: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = model.value
+        total, held, size = [np.zeros((1 << b, 2), np.uint32) for b in bits], [], 0
         for batch in batches:
-            spelled = mixer.log10([w.as_py() or b" " for w in _raw(batch.column("word"))])
-            yield batch.append_column("spell", pa.array(spelled, pa.float64()))
+            for text in _raw(batch.column(0)):
+                held.append(stream(words(text.as_py())))
+                size += len(held[-1])
+                if size > _TRAIN_STEP:
+                    count_bits(held, code, bits, total)
+                    held, size = [], 0
+        if held:
+            count_bits(held, code, bits, total)
+        task = TaskContext.get().partitionId()
+        for k, counts in enumerate(total):
+            for lo in range(0, len(counts), _CHUNK):
+                part = counts[lo : lo + _CHUNK].astype(np.int64)
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lo], pa.int64()), pa.array([task], pa.int32()), pa.array([_packed(part)], pa.binary())], _PART)
 
     return run
 
 
-def match_counts(tokens: list[bytes]) -> tuple[list[int], list[int], Counter]:
-    """Hits and misses of the match model by its state, and the tokens that it hit.
+_PART = ["predictor", "lo", "task", "part"]
+_PART_TYPE = "predictor int, lo long, task int, part binary"
 
-    It predicts the word that followed the last use of the word before, in this text.
-    """
-    after: dict[bytes | None, bytes] = {}
-    get = after.get
-    hits, misses, hit = [0] * len(MATCH), [0] * len(MATCH), []
-    last, run, top = None, 0, len(MATCH) - 1
-    for w in tokens:
-        said = get(last)
-        if said == w:
-            hits[run] += 1
-            hit.append(w)
-            if run < top:
-                run += 1
-        else:
-            if said is not None:
-                misses[run] += 1
-                run = 0
-            after[last] = w
-        last = w
-    return hits, misses, Counter(hit)
-
-
-def _match_cost(hits: list[int], misses: list[int]) -> float:
-    """log10 of the probability of all hits and misses when each state's chance is learned as the text goes on."""
-    g, total = math.lgamma, 0.0
-    for (a, b), h, m in zip(MATCH, hits, misses, strict=True):
-        if h or m:
-            total += g(a + h) + g(b + m) - g(a + b + h + m) - g(a) - g(b) + g(a + b)
-    return total / math.log(10)
-
-
-def _read(head, novel: dict[int, float]):
-    once, again, log = math.log10(1 - REPEAT), math.log10(REPEAT), math.log10
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class: dict[int, dict[bytes, tuple[float, float]]] = {}
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by planes of bytes; the high ones, mostly 0, lie together and shrink to nothing on the way."""
+    return np.ascontiguousarray(counts.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1, 2)
+
+
+def _add_parts(key, parts):
+    """The sum of at most FAN partial counts of one stretch of slots."""
+    total = sum(_unpacked(raw.as_py()) for raw in parts["part"])
+    cols = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([key[2].as_py()], pa.int32()), pa.array([_packed(total)], pa.binary())]
+    return pa.Table.from_arrays(cols, _PART)
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        said = [stretch(_unpacked(raw.as_py())).tobytes() for raw in batch.column("part")]
+        yield pa.RecordBatch.from_arrays([batch.column("predictor"), batch.column("lo"), batch.column("task"), pa.array(said, pa.binary())], _PART)
 
-        def prices(cls: int) -> dict[bytes, tuple[float, float]]:
-            if cls not in by_class:
-                left = novel.get(cls, 0.0)
-                by_class[cls] = {w: (base, (own[cls] if cls in own else price + left) + once) for w, (base, own, price) in head.value.items()}
-            return by_class[cls]
 
+def _read(head, model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, mixer = head.value, model.value
+        get = known.get
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            tail_words, tail_n, ends = [], [], [0]
+            out: list[list] = [[] for _ in range(3)]
+            tail_words, tail_n, ends, streams = [], [], [0], []
             for text in _raw(batch.column("t")):
-                text = text.as_py()
-                cls, tokens = class_of(text), words(text)
-                known = prices(cls)
-                hits, misses, hit = match_counts(tokens)
-                size = len(tokens) + 1
-                copy = again - log(size)
-                base, score, seen = 0.0, _match_cost(hits, misses) - log(CLASSES), 0
+                tokens = words(text.as_py())
+                streams.append(stream(tokens))
+                base, seen = 0.0, 0
                 tf = Counter(tokens)
                 tf[END] = 1
                 for w, n in tf.items():
-                    entry = known.get(w)
-                    r = n - hit[w] if w in hit else n
-                    if entry is not None:
-                        base += n * entry[0]
+                    price = get(w)
+                    if price is not None:
+                        base += n * price
                         seen += n
-                        if r == 1:
-                            score += entry[1]
-                        elif r:
-                            score += entry[1] + max((r - 1) * copy + math.lgamma(r) / _LN10, (r - 1) * entry[1])
                     else:
                         tail_words.append(w)
                         tail_n.append(n)
-                        score += once if r <= 1 else once + (r - 1) * copy + math.lgamma(r) / _LN10
                 ends.append(len(tail_words))
-                for c, v in zip(out, (cls, size, base, score, seen), strict=True):
+                for c, v in zip(out, (len(tokens) + 1, base, seen), strict=True):
                     c.append(v)
             tail = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_n, pa.int32())], ["word", "tf"])
-            cols = [pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+            cols = [pa.array(c, k) for c, k in zip((*out, mixer.log10(streams)), (pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)]
             keep = ["rid", "doc_id", "held_out", "n_bytes"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], [*keep, "cls", "n_tokens", "base", "score", "n_known", "tail"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], [*keep, "n_tokens", "base", "n_known", "score", "tail"])
 
     return run
 
 
+def table_bits(size: int) -> tuple[int, ...]:
+    """Bits of each table for so many bytes of training text."""
+    return tuple(min(b, max(size.bit_length(), MIN_BITS)) for b in BITS)
+
+
+def fitted(train: DataFrame, known: DataFrame) -> Mixer:
+    """The mixer with the bit counts of all training texts. The byte code follows their words' counts."""
+    spark, counts = train.sparkSession, np.zeros(256, np.int64)
+    for r in known.select("word", "c").mapInArrow(lean(_count_bytes), "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        counts[r.byte] = r.n
+    code, size = Code(counts), int(counts.sum())
+    bits = table_bits(size)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-size // SMALL_TASK)), -(-size // LARGE_TASK))
+    parts = train.coalesce(tasks).mapInArrow(lean(_train(code, bits)), _PART_TYPE)
+    while True:  # sums of sums, so that no group holds more than FAN parts
+        parts = parts.groupBy("predictor", "lo", F.floor(F.col("task") / FAN).cast("int").alias("g")).applyInArrow(_add_parts, _PART_TYPE)
+        tasks = -(-tasks // FAN)
+        if tasks == 1:
+            break
+    tables = [np.zeros(1 << b, np.int8) for b in bits]
+    for r in parts.mapInArrow(lean(_said), _PART_TYPE).toLocalIterator():
+        said = np.frombuffer(r.part, np.int8)
+        tables[r.predictor][r.lo : r.lo + len(said)] = said
+    return Mixer(code, bits, tables)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 10, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Tokens are the words of the text after lower-casing A-Z, then one end. Texts whose id's CRC-32 leaves
     0 modulo ``parts`` are not learned from; nor are rows with a null id, whose held_out is null. A null
     text is an empty one: its only token is the end. Without training texts base_score is 0 for every
-    token. Repeated rows are scored, and learned from, as often as they come. Other columns are ignored.
+    token and the predictors say nothing. Repeated rows are scored, and learned from, as often as they
+    come. Other columns are ignored, an empty table gives an empty result.
 
-    A word's probability is its discounted share of the training tokens, and the discount's share goes to
-    its spelling: bit predictors over hashed contexts of its bytes, combined by a gated logistic mixer. In
-    a text the word that followed before is predicted first, with a chance learned as the text goes on.
+    ``score`` is the sum of the mixed log10 probabilities of all bits of the words, blanks and the end.
+    Each predictor hashes the last bytes, or the word before and the beginning of this one, and the place in the
+    byte's code to a slot with the log-odds of all training texts; contexts cross words. Weights by gate
+    and refined probabilities learn with every bit, anew in each SEGMENT bytes of a text.
     """
     spark = docs.sparkSession
     small_batches(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 0
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("held_out", held)
-    got = src.select("t", F.coalesce(~F.col("held_out"), F.lit(False)).alias("train")).mapInArrow(lean(_count_words), "word string, cls int, c long")
-    by_class = got.groupBy("word", "cls").agg(F.sum("c").alias("c"))
-    own = F.map_from_entries(F.collect_list(F.when(F.col("c") > 0, F.struct("cls", "c"))))  # at most CLASSES entries
-    spelled_in = cut(by_class.groupBy("word").agg(F.sum("c").alias("c"), own.alias("by")))
-    known = spelled_in.where("c > 0")
+    train = src.where(F.coalesce(~F.col("held_out"), F.lit(False)))
+    got = train.select("t").mapInArrow(lean(_count_words), "word string, c long")
+    known = cut(got.groupBy("word").agg(F.sum("c").alias("c")))
     n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sizes = {r.cls: (r.n, r.v) for r in known.select(F.explode("by").alias("cls", "k")).groupBy("cls").agg(F.sum("k").alias("n"), F.count("*").alias("v")).collect()}
-    # the tables have a fixed size, so their sum and the broadcast do too
-    counts = np.zeros((2, _SIZE), np.float32)
-    summed = known.where(F.col("word") != "").select("word").mapInArrow(lean(_train_bits), "lo long, part binary").groupBy("lo").applyInArrow(_add_parts, "lo long, part binary")
-    for r in summed.toLocalIterator():
-        part = np.frombuffer(r.part, np.float32).reshape(2, -1)
-        counts[:, r.lo : r.lo + part.shape[1]] = part
-    mixer = Mixer(counts)
-    sample = known.where((F.col("word") != "") & (F.length("word") < 200)).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word").collect()
-    mixer.fit([r.word.encode() for r in sample])
-    mixer.counts = None
-    model = spark.sparkContext.broadcast(mixer)
-    priced = spelled_in.select("word", "c", "by").mapInArrow(lean(_spelling(model)), "word string, c long, by map<int,bigint>, spell double")
-    # log10 of the word's chance in any text; far spellings underflow as numbers, not as logarithms
-    if n:
-        seen = F.log10(F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / n + DISCOUNT * v / n * F.pow(F.lit(10.0), F.greatest("spell", F.lit(-290.0))))
-        price = F.when(F.col("word") == "", F.log10(F.greatest(F.col("c"), F.lit(0.5)) / n)).when(F.col("c") > 0, seen).otherwise(math.log10(DISCOUNT * v / n) + F.col("spell"))
-    else:
-        price = math.log10(0.5) + F.when(F.col("word") == "", 0.0).otherwise(F.col("spell"))
+    model = spark.sparkContext.broadcast(fitted(train.select("t"), known))
     base = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
-    novel = {k: math.log10(DISCOUNT * b / a) for k, (a, b) in sizes.items()}  # log10 of what a class leaves to all texts' words
-    totals = F.create_map(*(F.lit(x) for k, (a, _) in sizes.items() for x in (k, float(a)))) if sizes else F.lit(None).cast("map<int,double>")
-    left = F.create_map(*(F.lit(x) for k, y in novel.items() for x in (k, y))) if sizes else F.lit(None).cast("map<int,double>")
-    inside = F.transform_values("by", lambda k, c: F.log10(F.greatest(c - DISCOUNT, F.lit(1e-9)) / F.element_at(totals, k) + F.pow(F.lit(10.0), F.element_at(left, k) + F.col("price"))))
-    prices = cut(priced.select("word", "c", base.alias("base"), price.alias("price"), "by").withColumn("by", inside))
-    top = prices.where("c > 0").orderBy(F.desc("c"), "word").limit(head_words).collect()
-    head = spark.sparkContext.broadcast({r.word.encode(): (r.base, r["by"], r.price) for r in top})
+    unknown = math.log10(0.1 / (n + 0.1 * (v + 1)))
+    top = known.orderBy(F.desc("c"), "word").limit(head_words).select("word", base.alias("base")).collect()
+    head = spark.sparkContext.broadcast({r.word.encode(): r.base for r in top})
     texts = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", F.octet_length("t").cast("long").alias("n_bytes"), "t")
-    per = cut(texts.mapInArrow(lean(_read(head, novel)), "rid long, doc_id long, held_out boolean, n_bytes long, cls int, n_tokens long, base double, score double, n_known long, tail array<struct<word:string,tf:int>>"))
-    tail = per.select("rid", "cls", F.explode("tail").alias("x")).select("rid", "cls", "x.*")
-    inner = F.coalesce(F.element_at("by", F.col("cls")), F.col("price") + F.coalesce(F.element_at(left, F.col("cls")), F.lit(0.0)))
-    found = tail.join(prices, "word").groupBy("rid").agg(F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(inner).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"))
+    per = cut(texts.mapInArrow(lean(_read(head, model)), "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, base double, n_known long, score double, tail array<struct<word:string,tf:int>>"))
+    tail = per.select("rid", F.explode("tail").alias("x")).select("rid", "x.*")
+    c = F.coalesce("c", F.lit(0))
+    price = F.when(c > 0, base).otherwise(F.lit(unknown))
+    found = tail.join(known, "word", "left").groupBy("rid").agg(F.sum(F.col("tf") * price).alias("b"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k"))
     j = per.drop("tail").join(found, "rid", "left")
-    zero = F.lit(0.0)
-    score = F.col("score") + F.coalesce("s", zero)
     return j.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), score.alias("score"),
-        (-score * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score",
+        (-F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
