@@ -33,6 +33,8 @@ DELTA, SCALE, SURE = 0.1, 16.0, 2.0
 #: First weight of a predictor, and learning rates of weights and of refined probabilities. Both begin anew after SEGMENT bytes of
 #: a text, so that long texts are mixed in parallel.
 FIRST, RATE, REFINE, SEGMENT = 0.3, 0.015, 0.02, 2048
+#: Decisions after which the weights learn; a refined probability then learns from the last of them that it was used for.
+SPAN = 8
 GATES, CELLS = len(ORDERS) + 1, 33
 #: Bytes of text that are mixed together.
 _STEP, _TRAIN_STEP = 1 << 21, 1 << 20
@@ -87,7 +89,7 @@ class Decisions:
         self.texts = ends - [len(s) for s in streams]
         size = code.size[data]
         self.at = np.concatenate([[0], np.cumsum(size)])
-        pick = np.arange(self.at[-1]) + np.repeat(code.first[data] - self.at[:-1], size)
+        pick = np.arange(self.at[-1], dtype=np.int32) + np.repeat((code.first[data] - self.at[:-1]).astype(np.int32), size)
         self.turn = code.node[pick] * np.uint32(0x9E3779B1)
         self.bit = code.bit[pick]
         self.size = size
@@ -111,33 +113,41 @@ class Decisions:
         own = np.repeat(starts, sizes)
         return (mix64((c[:n] - c[own]) * q[own] ^ np.repeat(before, sizes)) >> U64(32)).astype(np.uint32)
 
-    def slots(self) -> Iterator[np.ndarray]:
-        """For each predictor the slot of every decision."""
+    def contexts(self) -> list[np.ndarray]:
+        """For each predictor the hash of its context at every byte."""
         history = self.data.astype(np.uint32) + np.uint32(1)
-        h, known = np.zeros(len(self.data), np.uint32), 0
-        for order, bits in zip(ORDERS, self.bits, strict=True):
-            if order:
-                while known < order:
-                    last = history
-                    history = np.empty_like(last)
-                    history[0], history[1:] = 0, last[:-1]
-                    history[self.texts] = 0
-                    h, known = (h ^ history) * np.uint32(0x01000193) + np.uint32(0x9E3779B9), known + 1
-                x = h
-            else:
-                x = self._words()
-            x = np.repeat((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D), self.size)
-            x += self.turn
-            x ^= x >> np.uint32(16)
-            x *= np.uint32(0x85EBCA6B)
-            x >>= np.uint32(32 - bits)
-            yield x
+        h, known, out = np.zeros(len(self.data), np.uint32), 0, []
+        for order in ORDERS:
+            while known < order:
+                last = history
+                history = np.empty_like(last)
+                history[0], history[1:] = 0, last[:-1]
+                history[self.texts] = 0
+                h, known = (h ^ history) * np.uint32(0x01000193) + np.uint32(0x9E3779B9), known + 1
+            x = h if order else self._words()
+            out.append((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D))
+        return out
+
+    def slots(self, block: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """(predictor, decisions, their slots), in blocks of bytes whose arrays stay in a core's cache."""
+        hashes = self.contexts()
+        for lo in range(0, len(self.data), block):
+            hi = min(lo + block, len(self.data))
+            here, size = slice(int(self.at[lo]), int(self.at[hi])), self.size[lo:hi]
+            for k, (h, bits) in enumerate(zip(hashes, self.bits, strict=True)):
+                x = np.repeat(h[lo:hi], size)
+                x += self.turn[here]
+                x ^= x >> np.uint32(16)
+                x *= np.uint32(0x85EBCA6B)
+                x >>= np.uint32(32 - bits)
+                yield k, here, x
 
 
 class Mixer:
     """Bit predictors' log-odds by slot, mixed by gated weights that learn as a text goes on.
 
-    The gate is the number of predictors that are sure. A table of refined probabilities by gate
+    Every SPAN decisions the weights learn from them all. The gate is the number of predictors that are
+    sure of the first of these. A table of refined probabilities by gate
     and mixed probability learns along; the mean of mixed and refined probability is the decision's.
     """
 
@@ -162,46 +172,39 @@ class Mixer:
 
     def _log10(self, streams: list[bytes]) -> np.ndarray:
         d = Decisions(streams, self.code, self.bits)
-        rows = np.zeros((len(d.bit), 8), np.int8)
-        for k, slot in enumerate(d.slots()):
-            np.take(self.tables[k], slot, out=rows[:, k], mode="clip")
-            rows[:, 6] += np.abs(rows[:, k]) >= SURE * SCALE
-        rows[:, 7] = d.bit
-        rows = rows.view(np.int64)[:, 0]
+        rows, gates = np.zeros((len(d.bit), 8), np.int8), np.zeros(len(d.bit), np.uint8)
+        for k, here, slot in d.slots(1 << 12):
+            said = self.tables[k].take(slot)
+            gates[here] += np.abs(said) >= SURE * SCALE
+            rows[here, k] = said
+        rows, gates = rows.view(np.int64)[:, 0], gates * np.uint8(2) + d.bit
         # lanes: stretches of SEGMENT bytes of one text, longest first
         text = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(d.texts, [*d.texts[1:], len(d.data)], strict=True)])
-        stop = np.minimum(np.append(text[1:], len(d.data)), len(d.data))
+        stop = np.append(text[1:], len(d.data))
         owner = np.searchsorted(d.texts, text, side="right") - 1
         first, count = d.at[text], d.at[stop] - d.at[text]
         order = np.argsort(-count, kind="stable")
         first, count, owner = first[order], count[order], owner[order]
-        lanes = len(first)
-        weights = np.tile(self.weights, (lanes, 1))
-        refined = np.tile(self.refined, lanes)
-        cost = np.zeros(lanes)
-        mask = np.zeros(8, np.float32)
-        mask[: len(ORDERS)] = 1
-        active = np.searchsorted(-count, -np.arange(count[0]), side="left")
-        at, w0, r0 = first.copy(), np.arange(lanes) * GATES, np.arange(lanes) * (GATES * CELLS) + CELLS // 2
-        for n in active.tolist():
-            got = rows.take(at[:n]).view(np.int8).reshape(n, 8)
-            at[:n] += 1
-            gate = got[:, 6].astype(np.int64)
-            bit = got[:, 7].astype(np.float32)
-            x = got * mask
+        lanes, span = len(first), np.arange(SPAN)
+        weights, refined = np.tile(self.weights, (lanes, 1)), np.append(np.tile(self.refined, lanes), np.float32(0.5))
+        cost, w0, r0 = np.zeros(lanes), np.arange(lanes) * GATES, np.arange(lanes) * (GATES * CELLS) + CELLS // 2
+        for done in range(0, int(count[0]), SPAN):
+            n = int(np.searchsorted(-count, -done, side="left"))
+            at = first[:n, None] + (done + span)
+            real = done + span < count[:n, None]
+            x = rows.take(at, mode="clip").view(np.int8).reshape(n, SPAN, 8).astype(np.float32)
+            got = gates.take(at, mode="clip")
+            gate, bit = (got[:, 0] >> np.uint8(1)).astype(np.int64), (got & np.uint8(1)).astype(np.float32)
             pick = w0[:n] + gate
             w = weights.take(pick, axis=0)
-            dot = np.einsum("ij,ij->i", w, x)
+            dot = np.einsum("nsk,nk->ns", x, w)
             np.clip(dot, -7.9, 7.9, out=dot)
             p = 1 / (1 + np.exp(-dot))
-            cell = r0[:n] + gate * CELLS + np.rint(dot * 2).astype(np.int64)
+            cell = np.where(real, (r0[:n] + gate * CELLS)[:, None] + np.rint(dot * 2).astype(np.int64), len(refined) - 1)
             r = refined.take(cell)
-            q = 0.5 * (p + r)
-            cost[:n] += np.log10(np.abs(q + bit - 1))
+            cost[:n] += (np.log10(np.abs(0.5 * (p + r) + bit - 1)) * real).sum(axis=1, dtype=np.float64)
             refined[cell] = r + (bit - r) * REFINE
-            x *= ((bit - p) * (RATE / SCALE**2))[:, None]
-            w += x
-            weights[pick] = w
+            weights[pick] = w + np.einsum("ns,nsk->nk", (bit - p) * real, x) * (RATE / SCALE**2)
         return np.bincount(owner, cost, len(streams))
 
 
@@ -244,8 +247,12 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_bits(streams: list[bytes], code: Code, bits: tuple[int, ...], total: list[np.ndarray]) -> None:
     """Add the decisions of the streams to ``total``, each predictor's (slots, 2) counts of the bit 0 and the bit 1."""
     d = Decisions(streams, code, bits)
-    for k, slot in enumerate(d.slots()):
-        total[k] += np.bincount(slot * np.uint32(2) + d.bit, minlength=2 << bits[k]).astype(np.uint32).reshape(-1, 2)
+    for k, here, slot in d.slots(1 << 20):
+        slot *= np.uint32(2)
+        slot += d.bit[here]
+        slot.sort()
+        last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True))
+        total[k].reshape(-1)[slot[last]] += np.diff(last, prepend=-1).astype(np.uint32)
 
 
 def stretch(total: np.ndarray) -> np.ndarray:
@@ -374,7 +381,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ``score`` is the sum of the mixed log10 probabilities of all bits of the words, blanks and the end.
     Each predictor hashes the last bytes, or the word before and the beginning of this one, and the place in the
     byte's code to a slot with the log-odds of all training texts; contexts cross words. Weights by gate
-    and refined probabilities learn with every bit, anew in each SEGMENT bytes of a text.
+    and refined probabilities learn with the bits as they come, anew in each SEGMENT bytes of a text.
     """
     spark = docs.sparkSession
     small_batches(spark)

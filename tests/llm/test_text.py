@@ -244,22 +244,31 @@ def trained(streams):
 def plain_log10(mixer, text):
     """The mixer one decision at a time, in plain floats."""
     d = LM.Decisions([text], mixer.code, mixer.bits)
-    slots = list(d.slots())
+    slots = [[] for _ in LM.ORDERS]
+    for k, _, x in d.slots(100):
+        slots[k] += x.tolist()
     score = 0.0
     for lo in range(0, len(text), LM.SEGMENT):
         weights = [[float(x) for x in row] for row in mixer.weights]
         refined = [float(x) for x in mixer.refined]
-        for i in range(d.at[lo], d.at[min(lo + LM.SEGMENT, len(text))]):
-            x, bit = [int(mixer.tables[k][slots[k][i]]) for k in range(len(LM.ORDERS))], int(d.bit[i])
-            gate = sum(abs(v) >= LM.SURE * LM.SCALE for v in x)
-            dot = min(max(sum(w * v for w, v in zip(weights[gate], x)), -7.9), 7.9)
-            p = 1 / (1 + math.exp(-dot))
-            cell = gate * LM.CELLS + LM.CELLS // 2 + int(np.rint(np.float32(dot) * 2))
-            q = (p + refined[cell]) / 2
-            score += math.log10(q if bit else 1 - q)
-            refined[cell] += (bit - refined[cell]) * LM.REFINE
-            for k, v in enumerate(x):
-                weights[gate][k] += (bit - p) * LM.RATE / LM.SCALE**2 * v
+        end = int(d.at[min(lo + LM.SEGMENT, len(text))])
+        for begin in range(int(d.at[lo]), end, LM.SPAN):
+            step, cells, gate = [0.0] * 8, {}, None
+            for i in range(begin, min(begin + LM.SPAN, end)):
+                x, bit = [int(mixer.tables[k][slots[k][i]]) for k in range(len(LM.ORDERS))], int(d.bit[i])
+                if gate is None:
+                    gate = sum(abs(v) >= LM.SURE * LM.SCALE for v in x)
+                dot = min(max(sum(w * v for w, v in zip(weights[gate], x)), -7.9), 7.9)
+                p = 1 / (1 + math.exp(-dot))
+                cell = gate * LM.CELLS + LM.CELLS // 2 + int(np.rint(np.float32(dot) * 2))
+                q = (p + refined[cell]) / 2
+                score += math.log10(q if bit else 1 - q)
+                cells[cell] = refined[cell] + (bit - refined[cell]) * LM.REFINE
+                for k, v in enumerate(x):
+                    step[k] += (bit - p) * v
+            for cell, v in cells.items():
+                refined[cell] = v
+            weights[gate] = [w + u * LM.RATE / LM.SCALE**2 for w, u in zip(weights[gate], step)]
     return score
 
 
