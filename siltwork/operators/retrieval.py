@@ -13,6 +13,8 @@ TOPIC, FIGURE = (0.8, 0.2), (0.4, 0.6)
 SCORE_FLOOR = 0.4044
 #: Query rows that are broadcast at once.
 QUERY_BLOCK = 2000
+#: Distinct query terms that are broadcast.
+TERM_LIMIT = 200_000
 
 
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
@@ -36,14 +38,34 @@ def query_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """(qid, id, score). Query terms are few, so they are joined with the index before frequencies are; postings of no query are left where they are."""
-    post = postings(chunks, key, text)
-    hits = post.join(terms, "term")
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    """(qid, id, score).
+
+    Tokens are compared with the query terms before anything is shuffled: up to TERM_LIMIT distinct terms
+    go to the chunks' tasks, which is counted first; more of them are joined. Then only hits are grouped.
+    """
+    wanted = terms.select("term").distinct()
+    few = wanted.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT
+    t = chunks.select(F.col(key).alias("id"), T.index_tokens(text).alias("toks"))
+    hits = t.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
+    post = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = document_frequency(post)
     stats = corpus_stats(chunks, text)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("qid", "id").agg(F.sum(part).alias("score"))  # stats is one row
+    return post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats)).groupBy("qid", "id").agg(F.sum(part).alias("score"))  # stats is one row
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, sparse: DataFrame) -> DataFrame:
+    """(qid, id, dense, sparse, score): dense and lexical scores of every chunk for every query, fused.
+
+    chunks: id, embedding. queries: qid, qv, figure (whether it asks for a figure). sparse: qid, id, score of BM25; chunks
+    without a query term have 0. The sparse side is scaled over the whole corpus, before any filter.
+    """
+    s = against(chunks.select("id", "embedding"), queries, F.col("id") != F.col("qid")).select("qid", "id", "figure", dot(F.col("qv"), F.col("embedding")).alias("dense"))
+    s = s.join(sparse.withColumnRenamed("score", "sparse"), ["qid", "id"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
+    m = s.groupBy("qid").agg(F.min("sparse").alias("lo"), F.max("sparse").alias("hi"))
+    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("sparse") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    return s.join(m, "qid").select("qid", "id", "dense", scaled.alias("sparse"), fuse(F.col("dense"), scaled, F.col("figure")).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,12 +96,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def min_max(value: Column, over: Window) -> Column:
-    """Scaled into 0..1 over the whole corpus of a query; 0 where all values are equal."""
-    lo, hi = F.min(value).over(over), F.max(value).over(over)
-    return F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(0.0)
-
-
 def fuse(dense: Column, sparse_scaled: Column, figure: Column) -> Column:
     return F.when(figure, FIGURE[0] * dense + FIGURE[1] * sparse_scaled).otherwise(TOPIC[0] * dense + TOPIC[1] * sparse_scaled)
 
@@ -99,3 +115,33 @@ def random_baseline(n: Column, g: Column, k: int) -> Column:
     i = F.sequence(F.lit(0), F.lit(k - 1))
     miss = F.aggregate(i, F.lit(1.0), lambda p, x: p * F.greatest(n - g - x, F.lit(0)) / F.greatest(n - x, F.lit(1)))
     return 1 - miss
+
+
+def faq_candidates(asks: DataFrame, answers: DataFrame) -> DataFrame:
+    """asks with their nearest answer: its columns, score and missing, the words of the question that it doesn't contain.
+
+    asks: qid, qv, words; answers: id, embedding, answer.
+    """
+    q = asks.select("qid", "qv")
+    near = against(answers.select("id", "embedding"), q, F.lit(True)).select("qid", "id", F.round(dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
+    best = near.groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
+    j = best.join(asks.drop("qv"), "qid").join(answers.drop("embedding"), "id")
+    return j.withColumn("missing", F.filter("words", lambda w: ~F.col("answer").contains(w)))
+
+
+def faq_threshold(candidates: DataFrame, step: float = 0.005) -> DataFrame:
+    """One row (threshold, leaks, kept): just above the best covered candidate that isn't right, and the right ones that stay.
+
+    candidates: score, uncovered, right.
+    """
+    covered = candidates.where("uncovered = 0")
+    t = covered.agg(F.round(F.coalesce(F.max(F.when(~F.col("right"), F.col("score"))), F.lit(0.0)) + step, 3).alias("threshold"))
+    j = covered.crossJoin(F.broadcast(t))  # one row
+    n = j.agg(F.count_if(~F.col("right")).alias("leaks"), F.count_if(F.col("right") & (F.col("score") >= F.col("threshold"))).alias("kept"))
+    return t.crossJoin(n)  # one row each
+
+
+def faq_match(candidates: DataFrame, threshold: float) -> DataFrame:
+    """candidates with reason (below threshold, not covered, matched) and hit, the id of a match."""
+    reason = F.when(F.col("score") < threshold, "below threshold").when(F.col("uncovered") > 0, "not covered").otherwise("matched")
+    return candidates.withColumn("reason", reason).withColumn("hit", F.when(F.col("reason") == "matched", F.col("id")))

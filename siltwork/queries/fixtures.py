@@ -49,7 +49,7 @@ def _question(i: int) -> tuple:
     seg = {"figure": _r.choice((f"the limit is {correct}.", f"from {correct} - 90 month in all", f"see {_figure()} and {correct}", "6 x 5 = 30 taka", _figure())), "role": _r.choice((f"the {correct} signs it", f"the {correct}s signs it", f"papers of {correct} is checked by others", f"sub{correct} signs it", f"{_r.choice(ROLES)} and {correct} sign"))}[kind]
     asks = _r.choice(("what is the limit?", "who signs it?", f"is {correct} right?", "", "the manager of the area signs?"))
     text = f"{seg} and also {_figure()} with {pick()}" if _r.random() < 0.8 else "another text"
-    return (i, kind, asks, correct, ";".join(options), seg, text, f"c{_r.randint(0, 80)}", _r.choice(CLAUSES), ";".join(_r.sample(("p1", "p2", "p3", "p4"), _r.randint(1, 2))), _r.choice(("fees", "worked example", "limits")), _r.random() < 0.1)
+    return (i, kind, asks, correct, ";".join(options), seg, text, f"c{_r.randint(0, 80)}", _r.choice(CLAUSES), ";".join(_r.sample(("p1", "p2", "p3", "p4"), _r.randint(1, 2))), _r.choice(("fees", "worked example", "limits", "farm loan")), _r.random() < 0.1)
 
 
 BANK = values("id kind question correct options explanation chunk_text chunk_id clause products heading excluded", *(_question(i) for i in range(500)))

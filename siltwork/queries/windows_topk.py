@@ -168,11 +168,12 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat_ws("_", "source", F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("chunk_id"))
 
 
-BM_SQL = f"""
-WITH p AS (SELECT doc_id AS id, dl, term, count(*) AS tf FROM (SELECT doc_id, len({INDEX}) AS dl, unnest({INDEX}) AS term FROM documents) GROUP BY ALL),
-q AS (SELECT DISTINCT item_id AS qid, unnest({INDEX}) AS term FROM benchmark),
-df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT count(*) AS n, avg(len({INDEX})) AS avgdl FROM documents),
-s AS (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN df USING (term), st GROUP BY qid, id)
+def bm_sql(chunks: str, queries: str) -> str:
+    """SQL of BM25 scores s(qid, id, score); tokens are made once."""
+    return f"""
+WITH c AS MATERIALIZED (SELECT id, toks, len(toks) AS dl FROM (SELECT id, {INDEX} AS toks FROM ({chunks}))), q AS MATERIALIZED (SELECT DISTINCT qid, unnest({INDEX}) AS term FROM ({queries})),
+p AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(toks) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM c),
+s AS MATERIALIZED (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN df USING (term), st GROUP BY qid, id)
 """
 
 
@@ -181,7 +182,7 @@ def bm25(spark, sf):
     return retrieval.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), terms)
 
 
-@R.add("top01_bm25", BM_SQL + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INT) AS rnk FROM s) WHERE rnk <= 10")
+@R.add("top01_bm25", bm_sql("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS qid, text FROM benchmark") + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INT) AS rnk FROM s) WHERE rnk <= 10")
 def _(spark, sf):
     return retrieval.top_k(bm25(spark, sf).withColumn("score", F.round("score", 9)), 10).select("qid", "rnk", "id", F.round("score", 6).alias("score"))
 
@@ -191,32 +192,35 @@ def _(spark, sf):
     return ranked(spark, sf).where("rnk <= 10").select("qid", "rnk", "id", F.round("score", 6).alias("score"))
 
 
-HYBRID = """
-WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
-s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS dense, CASE WHEN q.label = e.label THEN 2.0 ELSE 0.0 END + d.n_chars / 1000.0 AS sparse FROM q JOIN embeddings e ON q.vec_id <> e.vec_id JOIN documents d ON d.doc_id = e.vec_id),
-m AS (SELECT *, (sparse - min(sparse) OVER (PARTITION BY qid)) / (max(sparse) OVER (PARTITION BY qid) - min(sparse) OVER (PARTITION BY qid)) AS sn FROM s)
+_FUSED = "CASE WHEN figure THEN 0.4 * dense + 0.6 * sn ELSE 0.8 * dense + 0.2 * sn END"
+HYBRID = (
+    bm_sql("SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)", "SELECT doc_id AS qid, substr(text, 1, 60) AS text FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 100 = 0")
+    + f"""
+, v AS (SELECT vec_id AS id, embedding, label FROM embeddings JOIN documents ON doc_id = vec_id), qs AS (SELECT vec_id AS qid, embedding AS qv, regexp_matches(substr(text, 1, 60), '[0-9]') AS figure FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+a AS MATERIALIZED (SELECT qid, id, label, figure, list_dot_product(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS dense, coalesce(score, 0) AS sparse FROM qs JOIN v ON qid <> id LEFT JOIN s USING (qid, id)),
+m AS (SELECT *, CASE WHEN max(sparse) OVER w > min(sparse) OVER w THEN (sparse - min(sparse) OVER w) / (max(sparse) OVER w - min(sparse) OVER w) ELSE 0 END AS sn FROM a WINDOW w AS (PARTITION BY qid)),
+h AS MATERIALIZED (SELECT qid, id, label, dense, {_FUSED} AS score FROM m)
 """
+)
 
 
 def hybrid(spark, sf):
-    """Scores of every hundredth vector against all others; the sparse side is scaled over the whole corpus before any filter."""
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars")
-    sparse = F.when(F.col("label") == F.col("ql"), 2.0).otherwise(0.0) + F.col("n_chars") / 1000.0
-    s = retrieval.against(e.join(d, "vec_id"), q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), "label", retrieval.dot(F.col("qv"), F.col("embedding")).alias("dense"), sparse.alias("sparse"))
-    m = s.groupBy("qid").agg(F.min("sparse").alias("lo"), F.max("sparse").alias("hi"))
-    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("sparse") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return s.join(m, "qid").select("qid", "id", "label", retrieval.fuse(F.col("dense"), scaled, F.col("qid") % 200 == 0).alias("score"))
+    """Every hundredth vector with the beginning of its text as a query against all others."""
+    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
+    v = e.join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "embedding", "label", "text")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.substring("text", 1, 60).alias("text"))
+    sparse = retrieval.bm25(v, "id", F.col("text"), retrieval.query_terms(q, "qid", F.col("text")))
+    h = retrieval.hybrid(v, q.select("qid", "qv", T.is_figure_query("text").alias("figure")), sparse)
+    return h.join(v.select("id", "label"), "id")
 
 
-@R.add("top03_hybrid", HYBRID + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INT) AS rnk FROM (SELECT qid, id, CASE WHEN qid % 200 = 0 THEN 0.4 * dense + 0.6 * sn ELSE 0.8 * dense + 0.2 * sn END AS score FROM m)) WHERE rnk <= 10")
+@R.add("top03_hybrid", HYBRID + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INT) AS rnk FROM h) WHERE rnk <= 10")
 def _(spark, sf):
     s = hybrid(spark, sf).withColumn("score", F.round("score", 9))
     return retrieval.top_k(s, 10).select("qid", "rnk", "id", F.round("score", 6).alias("score"))
 
 
-@R.add("top04_filtered_top_k", HYBRID + ", f AS (SELECT qid, id, label, CASE WHEN qid % 200 = 0 THEN 0.4 * dense + 0.6 * sn ELSE 0.8 * dense + 0.2 * sn END AS score FROM m WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rnk FROM f), g AS (SELECT qid, min(rnk) AS best, arg_min(id, rnk) AS id FROM r WHERE rnk <= 25 GROUP BY qid, label) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY best) AS INT) AS rnk, id FROM g QUALIFY rnk <= 5")
+@R.add("top04_filtered_top_k", HYBRID + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rnk FROM h WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), g AS (SELECT qid, min(rnk) AS best, arg_min(id, rnk) AS id FROM r WHERE rnk <= 25 GROUP BY qid, label) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY best) AS INT) AS rnk, id FROM g QUALIFY rnk <= 5")
 def _(spark, sf):
     """Exclusion, ranking, over-fetch, collapse by group, and only then the cut to five."""
     out = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
@@ -230,24 +234,44 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(14)
 
 
-@R.add("top06_model_grid", HYBRID + ", g AS (SELECT 'dense' AS mode, qid, id, dense AS score FROM m UNION ALL SELECT 'hybrid', qid, id, CASE WHEN qid % 200 = 0 THEN 0.4 * dense + 0.6 * sn ELSE 0.8 * dense + 0.2 * sn END FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY mode, qid ORDER BY round(score, 9) DESC, id) AS rnk FROM g), j AS (SELECT r.*, a.label = b.label AS gold FROM r JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = id) SELECT mode, k, count(*) FILTER (WHERE hit) AS hits FROM (SELECT mode, qid, k, bool_or(gold AND rnk <= k) AS hit FROM j, (VALUES (1), (5)) t(k) GROUP BY ALL) GROUP BY ALL")
+@R.add("top06_model_grid", HYBRID + ", g AS (SELECT 'dense' AS mode, qid, id, label, dense AS score FROM h UNION ALL SELECT 'hybrid', qid, id, label, score FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY mode, qid ORDER BY round(score, 9) DESC, id) AS rnk FROM g), j AS (SELECT r.*, r.label = b.label AS gold FROM r JOIN embeddings b ON b.vec_id = qid) SELECT mode, k, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM (SELECT mode, qid, k, bool_or(gold AND rnk <= k) AS hit FROM j, (VALUES (1), (3), (5), (10), (30)) t(k) GROUP BY ALL) GROUP BY ALL")
 def _(spark, sf):
+    """Dense and fused ranking side by side: at each k the queries with a chunk of their label."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"))
-    h = hybrid(spark, sf).select(F.lit("hybrid").alias("mode"), "qid", "id", "label", "score")
-    d = ranked(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    both = h.unionByName(d.select(F.lit("dense").alias("mode"), "qid", "id", "label", "score")).join(e, "qid")
+    modes = F.explode(F.array(F.struct(F.lit("dense").alias("mode"), F.col("dense").alias("score")), F.struct(F.lit("hybrid").alias("mode"), F.col("score").alias("score"))))
+    both = hybrid(spark, sf).select("qid", "id", "label", modes.alias("x")).select("qid", "id", "label", "x.*").join(e, "qid")
     r = both.withColumn("rnk", F.row_number().over(Window.partitionBy("mode", "qid").orderBy(F.desc(F.round("score", 9)), "id")))
     first = r.groupBy("mode", "qid").agg(F.min(F.when(F.col("label") == F.col("ql"), F.col("rnk"))).alias("first"))
-    return first.select("mode", F.explode(F.array(F.lit(1), F.lit(5))).alias("k"), "first").groupBy("mode", "k").agg(F.count_if(F.col("first") <= F.col("k")).alias("hits"))
+    return first.select("mode", F.explode(F.array(*map(F.lit, (1, 3, 5, 10, 30)))).alias("k"), "first").groupBy("mode", "k").agg(F.count("*").alias("n"), F.count_if(F.col("first") <= F.col("k")).alias("hits"))
 
 
-MATCHES = values("id score uncovered", (1, 0.9, 0), (2, 0.9, 2), (3, 0.5, 0), (4, None, 0))
+FAQ_SQL = """
+WITH q AS (SELECT vec_id AS qid, embedding AS qv, label AS ql, list_distinct(list_filter(string_split(lower(substr(text, 1, 40)), ' '), lambda w: length(w) >= 2)) AS words FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
+f AS (SELECT vec_id AS id, embedding, label, lower(text) AS answer FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 <> 0),
+s AS (SELECT qid, ql, words, id, label, answer, round(list_dot_product(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q, f), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1),
+c AS (SELECT qid, id, score, ql = label AS fits, len(list_filter(words, lambda w: NOT contains(answer, w))) AS missing FROM b), t AS (SELECT round(coalesce(max(score) FILTER (WHERE missing <= 3 AND NOT fits), 0) + 0.005, 3) AS threshold FROM c)
+"""
+
+
+def faq(spark, sf):
+    """Every fiftieth vector asks, all others are approved answers; a match is right where the labels agree."""
+    v = table(spark, sf, "embeddings").join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id"))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 40)), " "), lambda w: F.length(w) >= 2))
+    asks = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), words.alias("words"), F.col("label").alias("expect"))
+    answers = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), "embedding", F.lower("text").alias("answer"), F.col("label").alias("gives"))
+    return retrieval.faq_candidates(asks, answers).withColumn("right", F.col("expect") == F.col("gives"))
+
+
+@R.add("top07_faq_threshold", FAQ_SQL + "SELECT threshold, (SELECT count(*) FROM c WHERE missing <= 3 AND NOT fits) AS leaks, (SELECT count(*) FROM c WHERE missing <= 3 AND fits AND score >= threshold) AS kept FROM t")
+def _(spark, sf):
+    """The threshold is just above the best score that coverage lets through wrongly."""
+    return retrieval.faq_threshold(faq(spark, sf).withColumn("uncovered", F.greatest(F.size("missing") - 3, F.lit(0))))
 
 
-@R.add("top07_faq_match", "SELECT * FROM (VALUES (1, 'matched'), (2, 'words not covered'), (3, 'below threshold'), (4, 'no candidate')) t(id, reason)")
+@R.add("top07_faq_match", FAQ_SQL + "SELECT qid, CASE WHEN score < 0.3 THEN 'below threshold' WHEN missing > 3 THEN 'not covered' ELSE 'matched' END AS reason, CASE WHEN score >= 0.3 AND missing <= 3 THEN id END AS id, missing FROM c")
 def _(spark, sf):
-    r = F.when(F.col("score").isNull(), "no candidate").when(F.col("score") < 0.848, "below threshold").when(F.col("uncovered") > 0, "words not covered").otherwise("matched")
-    return spark.sql(MATCHES).select("id", r.alias("reason"))
+    c = faq(spark, sf).withColumn("uncovered", F.greatest(F.size("missing") - 3, F.lit(0)))
+    return retrieval.faq_match(c, 0.3).select("qid", "reason", F.col("hit").alias("id"), F.size("missing").cast("long").alias("missing"))
 
 
 @R.add("set01_union", "SELECT 'documents' AS src, count(*) AS n FROM documents UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
