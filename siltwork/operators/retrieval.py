@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.session import cut
 
 #: BM25 constants, dense and sparse weights of topic and of figure queries, score floor.
 K1, B = 1.5, 0.75
@@ -43,13 +44,13 @@ def bm25(chunks: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFra
     Tokens are compared with the query terms before anything is shuffled: up to TERM_LIMIT distinct terms
     go to the chunks' tasks, which is counted first; more of them are joined. Then only hits are grouped.
     """
-    wanted = terms.select("term").distinct()
+    mark = ""  # a term of every chunk, so that one pass over the texts gives their lengths too
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([(mark,)], "term string")).distinct()
     few = wanted.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT
-    t = chunks.select(F.col(key).alias("id"), T.index_tokens(text).alias("toks"))
-    hits = t.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
-    post = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    t = chunks.select(F.col(key).alias("id"), T.index_tokens(text).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode(F.concat("toks", F.array(F.lit(mark)))).alias("term"))
+    post = cut(t.join(F.broadcast(wanted) if few else wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    stats = post.where(F.col("term") == mark).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = document_frequency(post)
-    stats = corpus_stats(chunks, text)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats)).groupBy("qid", "id").agg(F.sum(part).alias("score"))  # stats is one row
