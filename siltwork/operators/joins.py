@@ -120,3 +120,22 @@ def swallowed(vocabulary: DataFrame, col: str) -> DataFrame:
     subs = v.join(F.broadcast(sizes), F.col("n") < F.length("w"))  # as many rows as there are lengths
     parts = subs.select("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring(F.col("w"), i, F.col("n"))))).alias("term"))
     return parts.join(v.select(F.col("w").alias("term")), "term").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def near_miss(chunks: DataFrame, gold: DataFrame, key: str, family: str, path: str) -> DataFrame:
+    """(qid, key): chunks of the gold clause's family with any heading that begins with the clause. gold, a stated set: qid, clause, family."""
+    g = gold.select("qid", "clause", F.col("family").alias("gold_family"))
+    on = F.startswith(F.col(family), F.col("gold_family")) & F.exists(path, lambda x: F.startswith(x, F.col("clause")))
+    return retrieval.against(chunks.select(key, family, path), g, on).select("qid", key).distinct()
+
+
+def section(clause: Column, depth: int = 2) -> Column:
+    """The first numbers of a dotted clause."""
+    return F.array_join(F.slice(F.split(clause, "\\."), 1, depth), ".")
+
+
+def related(chunks: DataFrame, products: DataFrame) -> DataFrame:
+    """Chunks (clause, scope, others) with the products (product, clause, scope) of their section whose scope covers them."""
+    p = products.select("product", section(F.col("clause")).alias("section"), F.col("scope").alias("product_scope"))
+    c = chunks.withColumn("section", section(F.col("clause")))
+    return c.join(p, "section").where((F.col("product_scope") == "both") | F.startswith("scope", "product_scope"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup, retrieval
 from .base import Registry, table, values
-from .filters_joins import SH_SQL, near_pairs
+from .filters_joins import SH_SQL, near_classes
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -335,13 +335,16 @@ def _(spark, sf):
 @R.add("agg38_twin_crowding", SH_SQL + ", p2 AS (SELECT a, b FROM j WHERE jaccard >= 0.75) SELECT id, count(*) AS twins FROM (SELECT a AS id FROM p2 UNION ALL SELECT b FROM p2) GROUP BY id ORDER BY twins DESC, id LIMIT 8")
 def _(spark, sf):
     """The eight chunks with the most twins: a top-k report."""
-    p = near_pairs(spark, sf)
-    return p.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("twins")).orderBy(F.desc("twins"), "id").limit(8)
+    return dedup.twins(*near_classes(spark, sf)).where("links > 0").select("id", F.col("links").alias("twins")).orderBy(F.desc("twins"), "id").limit(8)
 
 
 @R.add("agg39_jaccard_histogram", SH_SQL + "SELECT CASE WHEN jaccard >= 1.0 THEN '1.00' WHEN jaccard >= 0.95 THEN '0.95-0.99' WHEN jaccard >= 0.90 THEN '0.90-0.94' WHEN jaccard >= 0.80 THEN '0.80-0.89' ELSE '0.75-0.79' END AS bucket, count(*) AS n FROM j WHERE jaccard >= 0.75 GROUP BY 1")
 def _(spark, sf):
-    return near_pairs(spark, sf).groupBy(dedup.jaccard_bucket(F.col("jaccard")).alias("bucket")).agg(F.count("*").alias("n"))
+    """Pairs of all chunks, counted by the sizes of their classes."""
+    members, pairs = near_classes(spark, sf)
+    own = members.where("id = class_id and size > 1").select(F.lit(1.0).alias("jaccard"), (F.col("size") * (F.col("size") - 1) / 2).cast("long").alias("n"))
+    every = pairs.select("jaccard", (F.col("size_a") * F.col("size_b")).alias("n")).unionByName(own)
+    return every.groupBy(dedup.jaccard_bucket(F.col("jaccard")).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 @R.add("agg40_stat_cards", "SELECT count(*) AS docs, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")

@@ -167,22 +167,34 @@ j AS (SELECT a, b, inter, x.n AS na, y.n AS nb, inter / (x.n + y.n - inter) AS j
 """
 
 
-def near_pairs(spark, sf, threshold=0.75):
-    return dedup.jaccard_pairs(dedup.shingles(docs(spark, sf), "doc_id"), threshold)
+REP_SQL = SH_SQL + """, c AS (SELECT id, min(id) OVER (PARTITION BY CASE WHEN w = [] THEN 'blank ' || id ELSE array_to_string(w, ' ') END) AS class_id FROM t),
+z AS (SELECT class_id, count(*) AS size FROM c GROUP BY class_id), k AS (SELECT j.*, x.size AS size_a, y.size AS size_b FROM j JOIN z x ON x.class_id = a JOIN z y ON y.class_id = b WHERE jaccard >= 0.75)
+"""
+
+
+def near_classes(spark, sf, threshold=0.75):
+    return dedup.near_classes(docs(spark, sf), "doc_id", threshold)
+
+
+@R.add("jn03_shingle_jaccard_pairs", REP_SQL + "SELECT a, b, inter, na, nb, round(jaccard, 6) AS jaccard, size_a, size_b FROM k")
+def _(spark, sf):
+    """Pairs between the least chunks of each body; jn03_shingle_classes says who belongs to them."""
+    return near_classes(spark, sf)[1].withColumn("jaccard", F.round("jaccard", 6))
 
 
-@R.add("jn03_shingle_jaccard_pairs", SH_SQL + "SELECT a, b, inter, na, nb, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.75")
+@R.add("jn03_shingle_classes", REP_SQL + "SELECT c.id, class_id, coalesce(n, 0) AS links FROM c LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT a AS id FROM j WHERE jaccard >= 0.75 UNION ALL SELECT b FROM j WHERE jaccard >= 0.75) GROUP BY id) l ON l.id = c.id")
 def _(spark, sf):
-    return near_pairs(spark, sf).withColumn("jaccard", F.round("jaccard", 6))
+    """Every chunk with its class and the number of its links."""
+    return dedup.twins(*near_classes(spark, sf))
 
 
 FIG = "list_sort(list_distinct(regexp_extract_all({0}, '[0-9]+')))"
 
 
-@R.add("jn04_divergent_pairs", SH_SQL + f", f AS (SELECT doc_id, {FIG.format('text')} AS nums FROM documents) SELECT a, b, array_to_string(list_filter(x.nums, lambda v: NOT list_contains(y.nums, v)), ';') AS only_a, array_to_string(list_filter(y.nums, lambda v: NOT list_contains(x.nums, v)), ';') AS only_b FROM j JOIN f x ON x.doc_id = a JOIN f y ON y.doc_id = b WHERE jaccard >= 0.75 AND x.nums <> y.nums")
+@R.add("jn04_divergent_pairs", REP_SQL + f", f AS (SELECT doc_id, {FIG.format('text')} AS nums FROM documents) SELECT a, b, array_to_string(list_filter(x.nums, lambda v: NOT list_contains(y.nums, v)), ';') AS only_a, array_to_string(list_filter(y.nums, lambda v: NOT list_contains(x.nums, v)), ';') AS only_b FROM k JOIN f x ON x.doc_id = a JOIN f y ON y.doc_id = b WHERE x.nums <> y.nums")
 def _(spark, sf):
     nums = docs(spark, sf).select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("nums"))
-    p = near_pairs(spark, sf).select("a", "b")
+    p = near_classes(spark, sf)[1].select("a", "b")
     j = p.join(nums.select(F.col("doc_id").alias("a"), F.col("nums").alias("x")), "a").join(nums.select(F.col("doc_id").alias("b"), F.col("nums").alias("y")), "b")
     return j.where("x <> y").select("a", "b", F.array_join(F.array_except("x", "y"), ";").alias("only_a"), F.array_join(F.array_except("y", "x"), ";").alias("only_b"))
 
@@ -232,31 +244,6 @@ def _(spark, sf):
     return joins.cache_diff(*versions(spark, sf)).groupBy("state").agg(F.count("*").alias("n"))
 
 
-RULES = values("rule_id clauses manual terms verdict", ("R1", "2.1;2.2", "man", "fee", "stale"), ("R2", "3.1", "man", "", "stale"), ("R3", "2.1", "other", "fee", "stale"), ("R4", "2.1", "man", "limit+loan|credit", "stale"))
-CHUNKS = values("chunk_id manual clause question", ("c1", "manual_a", "2.1", "what fee?"), ("c2", "manual_a", "3.1", "what fee?"), ("c3", "manual_b", "2.2", "loan limit"), ("c4", "manual_a", "2.1", "credit limit"))
-
-
-@R.add("jn10_stale_rules", "SELECT * FROM (VALUES ('c1', 'R1'), ('c4', 'R4')) t(chunk_id, rule_id)")
-def _(spark, sf):
-    r = spark.sql(RULES).withColumn("clause", F.explode(F.split("clauses", ";"))).withColumnRenamed("manual", "scope")
-    j = spark.sql(CHUNKS).join(F.broadcast(r), "clause").where(F.startswith("manual", "scope") & joins.topic_column(F.col("terms"), F.col("question")))
-    return j.select("chunk_id", "rule_id")
-
-
-WITHHELD = values("item clause topic_terms", ("W1", "5.1", "animal insurance"), ("W2", "5.1", "animal"), ("W3", "", "telephone list"), ("W4", "6.1;6.2", "audit"))
-ASKED = values("qid clause q", (1, "5.1", "animal insurance claim"), (2, "", "telephone list please"), (3, "6.2", "audit plan"), (4, "7.1", "loan"))
-
-
-@R.add("jn11_withheld", "SELECT * FROM (VALUES (1, 'W1'), (2, 'W3'), (3, 'W4')) t(qid, item)")
-def _(spark, sf):
-    """By clause where the clause is listed, else by subject; of rules on the same clause those with the most term hits stay, ties too."""
-    w = spark.sql(WITHHELD).withColumn("on", F.explode(F.split("clause", ";"))).select("item", "on", "topic_terms")
-    j = spark.sql(ASKED).crossJoin(F.broadcast(w))  # a literal rule table
-    hits = F.size(F.filter(F.split("topic_terms", " "), lambda t: F.col("q").contains(t)))
-    j = j.withColumn("hits", hits).where(((F.col("on") != "") & (F.col("on") == F.col("clause"))) | ((F.col("on") == "") & (F.col("hits") == F.size(F.split("topic_terms", " "))))).where("hits > 0")
-    return j.withColumn("r", F.rank().over(Window.partitionBy("qid", "on").orderBy(F.desc("hits")))).where("r = 1").select("qid", "item").distinct()
-
-
 @R.add("jn12_exact_or_children", "SELECT q.want, p.p_brand, count(*) AS n FROM (VALUES ('Brand#1'), ('Brand#11'), ('Brand#5')) q(want) JOIN part p ON p.p_brand = q.want OR (starts_with(p.p_brand, q.want) AND NOT EXISTS (SELECT 1 FROM part x WHERE x.p_brand = q.want)) GROUP BY 1, 2")
 def _(spark, sf):
     want = spark.sql(values("want", ("Brand#1",), ("Brand#11",), ("Brand#5",)))
@@ -266,10 +253,18 @@ def _(spark, sf):
     return j.withColumn("same", F.max((F.col("p_brand") == F.col("want")).cast("int")).over(w)).where((F.col("same") == 0) | (F.col("p_brand") == F.col("want"))).select("want", "p_brand", "n")
 
 
-@R.add("jn13_near_miss", "SELECT page_id FROM pages WHERE EXISTS (SELECT 1 FROM (VALUES ('The'), ('Of')) s(p) WHERE starts_with(regexp_extract(html, '<h1>([^<]*)', 1), s.p))")
+HEADINGS = "list_filter(list_transform(regexp_extract_all(html, '<(?:h1|p|title)[^>]*>([^<]*)', 1), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@R.add("jn13_near_miss", f"WITH p AS (SELECT page_id, split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 1) AS host, {HEADINGS} AS path FROM pages), g AS (SELECT DISTINCT page_id % 7 AS qid, split_part(path[1], ' ', 1) AS clause, regexp_extract(host, '^[a-z]+') AS family FROM p WHERE page_id % 25 = 0 AND len(path) > 0) SELECT DISTINCT g.qid, p.page_id FROM g JOIN p ON starts_with(p.host, g.family) AND len(list_filter(p.path, lambda x: starts_with(x, g.clause))) > 0")
 def _(spark, sf):
-    path = F.array(F.regexp_extract("html", "<h1>([^<]*)", 1))
-    return table(spark, sf, "pages").where(F.exists(path, lambda x: F.startswith(x, F.lit("The")) | F.startswith(x, F.lit("Of")))).select("page_id")
+    """Pages of the family with any heading that begins with a gold clause: near misses of a question."""
+    found = F.regexp_extract_all("html", F.lit("<(?:h1|p|title)[^>]*>([^<]*)"), F.lit(1))
+    path = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
+    host = F.split(F.replace(F.replace("url", F.lit("https://"), F.lit("")), F.lit("http://"), F.lit("")), "/")[0]
+    p = table(spark, sf, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    gold = p.where("page_id % 25 = 0 and size(path) > 0").select((F.col("page_id") % 7).alias("qid"), F.split(F.col("path")[0], " ")[0].alias("clause"), F.regexp_extract("host", "^[a-z]+", 0).alias("family")).distinct()
+    return joins.near_miss(p, gold, "page_id", "host", "path")
 
 
 @R.add("jn14_citation_orphans", "SELECT * FROM (VALUES (1, 'a §1.2', 'c1'), (1, 'z §9', NULL), (2, 'b §3.1', 'c2')) t(id, cite, chunk_id)")
@@ -311,12 +306,17 @@ def _(spark, sf):
     return joins.swallowed(v, "w")
 
 
-@R.add("jn19_related_sections", "SELECT * FROM (VALUES ('c1', 'p1'), ('c2', 'p1')) t(chunk_id, product)")
+SECTIONS = "WITH c AS (SELECT p_partkey AS id, p_size % 5 || '.' || p_partkey % 4 || '.' || p_size AS clause, p_brand AS scope FROM part), p AS (SELECT s_suppkey AS product, s_nationkey % 5 || '.' || s_suppkey % 4 || '.1' AS clause, CASE WHEN s_suppkey % 3 = 0 THEN 'both' ELSE 'Brand#' || (s_suppkey % 5 + 1) END AS scope FROM supplier) "
+
+
+@R.add("jn19_related_sections", SECTIONS + "SELECT id, product FROM c JOIN p ON split_part(c.clause, '.', 1) = split_part(p.clause, '.', 1) AND split_part(c.clause, '.', 2) = split_part(p.clause, '.', 2) WHERE p.scope = 'both' OR starts_with(c.scope, p.scope)")
 def _(spark, sf):
-    sec = lambda c: F.array_join(F.slice(F.split(c, "\\."), 1, 2), ".")
-    c = spark.sql(values("chunk_id clause", ("c1", "2.1.3"), ("c2", "2.1"), ("c3", "2.2.1"))).withColumn("sec", sec(F.col("clause")))
-    p = spark.sql(values("product clause", ("p1", "2.1.1"), ("p2", "5.4"))).select("product", sec(F.col("clause")).alias("sec"))
-    return c.join(F.broadcast(p), "sec").select("chunk_id", "product")
+    """Products whose first two clause numbers are the chunk's and whose scope covers it."""
+    dotted = lambda *c: F.concat_ws(".", *(x.cast("string") for x in c))
+    c = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), dotted(F.col("p_size") % 5, F.col("p_partkey") % 4, F.col("p_size")).alias("clause"), F.col("p_brand").alias("scope"))
+    n = F.col("s_suppkey")
+    p = table(spark, sf, "supplier").select(n.alias("product"), dotted(F.col("s_nationkey") % 5, n % 4, F.lit(1)).alias("clause"), F.when(n % 3 == 0, "both").otherwise(F.concat(F.lit("Brand#"), (n % 5 + 1).cast("string"))).alias("scope"))
+    return joins.related(c, p).select("id", "product")
 
 
 @R.add("jn20_twin_headings", "WITH d AS (SELECT doc_id, source, md5(text) AS g FROM documents), t AS (SELECT g, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources FROM d GROUP BY g HAVING count(*) > 1) SELECT d.doc_id, t.sources FROM d JOIN t USING (g)")

@@ -88,6 +88,17 @@ SELECT qid, CASE WHEN no_name AND NOT listed THEN '6:unknown_product' WHEN said
 """
 
 
+@R.add("jn10_stale_rules", TABLES + STALE_SQL.rstrip().rstrip(",") + " SELECT qid, rule_id, hits, fit FROM stale")
+def _(spark, sf):
+    return overlay.stale_rules(asks(spark), spark.sql(fx.RULES)).select("qid", "rule_id", "hits", "fit")
+
+
+@R.add("jn11_withheld", TABLES + WITHHELD_SQL.rstrip().rstrip(",") + " SELECT qid, item, why, hits FROM wh")
+def _(spark, sf):
+    """By clause, by subject, or by a general question; on shared clauses the most term hits, ties too."""
+    return overlay.withheld(asks(spark), spark.sql(fx.HELD), names(spark)).select("qid", "item", "why", "hits")
+
+
 @R.add("rul01_precedence", TABLES + STALE_SQL + WITHHELD_SQL + PHRASE_SQL + OVERLAY_SQL)
 def _(spark, sf):
     """All flags come from the tables: stale and withheld rules, names in full, short and unknown ones, old terms."""
