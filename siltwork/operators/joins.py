@@ -122,6 +122,18 @@ def swallowed(vocabulary: DataFrame, col: str) -> DataFrame:
     return parts.join(v.select(F.col("w").alias("term")), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
+def leaks(written: DataFrame, key: str, excluded: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, column, what): what must not be in a written table: excluded ids, and withheld spans in any text column.
+
+    excluded: ``key``. spans, a stated set: span. An empty result is a pass; ``sinks.gate`` stops on any other.
+    """
+    texts = [f.name for f in written.schema.fields if f.dataType.simpleString() == "string"]
+    ids = written.join(excluded.select(key).distinct(), key, "left_semi").select(key, F.lit(key).alias("column"), F.lit("excluded id").alias("what"))
+    long = written.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("said")) for c in texts))).alias("x")).select(key, "x.*")
+    held = retrieval.against(long, spans.select("span"), F.col("said").contains(F.col("span")))
+    return ids.unionByName(held.select(key, "column", F.concat(F.lit("span: "), "span").alias("what")))
+
+
 def near_miss(chunks: DataFrame, gold: DataFrame, key: str, family: str, path: str) -> DataFrame:
     """(qid, key): chunks of the gold clause's family with any heading that begins with the clause. gold, a stated set: qid, clause, family."""
     g = gold.select("qid", "clause", F.col("family").alias("gold_family"))

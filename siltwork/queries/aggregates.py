@@ -52,11 +52,11 @@ def _(spark, sf):
     return groups(spark, sf).groupBy("size").agg(F.count("*").alias("n"))
 
 
-@R.add("agg03_group_integrity", "SELECT 0 AS broken")
+@R.add("agg03_group_integrity", "WITH d AS (SELECT left(text, 25) AS g, source, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9,.]*'), lambda x: replace(regexp_replace(x, '\\.+$', ''), ',', '')))) AS f FROM documents) SELECT g, count(*) AS size, count(DISTINCT f) AS figures, count(DISTINCT source) AS clauses FROM d GROUP BY g HAVING count(DISTINCT f) > 1 OR count(DISTINCT source) > 1")
 def _(spark, sf):
-    """Groups of one body whose members disagree on their figures: none, by construction."""
-    d = docs(spark, sf).select(F.sha1(T.norm_body("text").cast("binary")).alias("g"), F.array_sort(F.array_distinct(T.numbers_in(T.canon("text")))).alias("nums"))
-    return d.groupBy("g").agg(F.countDistinct("nums").alias("k")).where("k > 1").agg(F.count("*").cast("int").alias("broken"))
+    """Groups by their beginning, so that copies with edits are in one: those with several sets of figures or several sources."""
+    d = docs(spark, sf).withColumn("g", F.substring("text", 1, 25))
+    return dedup.integrity(d, "g", T.numbers_in("text"), F.col("source"))
 
 
 @R.add("agg04_document_frequency", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({INDEX}) AS term FROM documents) GROUP BY ALL) GROUP BY term")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, joins
+from ..sources import sinks
 from .base import Registry, table, values
 
 R = Registry()
@@ -58,11 +59,24 @@ def _(spark, sf):
     return d.join(out, "doc_id", "left_semi").withColumn("excluded", F.lit(True)).unionByName(d.join(out, "doc_id", "left_anti").withColumn("excluded", F.lit(False)))
 
 
-@R.add("flt07_sink_assertion", "SELECT 0 AS leaks")
+SPANS = values("span", ("heat",), ("zzqq",), ("en/1",))
+
+
+@R.add("flt07_sink_assertion", f"WITH w AS (SELECT page_id, url, html FROM pages WHERE page_id % 10 <> 3), x AS (SELECT doc_id AS page_id FROM labels WHERE toxic = 1), t AS (SELECT page_id, 'url' AS c, url AS said FROM w UNION ALL SELECT page_id, 'html', html FROM w) SELECT page_id, 'page_id' AS \"column\", 'excluded id' AS what FROM w WHERE page_id IN (SELECT page_id FROM x) UNION ALL SELECT page_id, c, 'span: ' || span FROM t JOIN ({SPANS}) s ON contains(said, span)")
 def _(spark, sf):
-    out = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    kept = docs(spark, sf).join(out, "doc_id", "left_anti")
-    return kept.join(out, "doc_id", "left_semi").agg(F.count("*").cast("int").alias("leaks"))
+    """Leaks of a table that was written without its filter: excluded ids and withheld spans, column by column."""
+    written = table(spark, sf, "pages").where("page_id % 10 <> 3")
+    return joins.leaks(written, "page_id", table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id")), spark.sql(SPANS))
+
+
+@R.add("flt07_sink_clean", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND NOT contains(html, 'heat') AND NOT contains(url, 'heat') AND NOT contains(html, 'en/1') AND NOT contains(url, 'en/1') AND NOT contains(html, 'zzqq') AND NOT contains(url, 'zzqq')")
+def _(spark, sf):
+    """What is left when everything that leaks goes; the gate passes on it."""
+    out, spans = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id")), spark.sql(SPANS)
+    pages = table(spark, sf, "pages")
+    kept = pages.join(joins.leaks(pages, "page_id", out, spans).select("page_id").distinct(), "page_id", "left_anti")
+    sinks.gate([("sink", lambda: joins.leaks(kept, "page_id", out, spans))])
+    return kept.select("page_id")
 
 
 @R.add(

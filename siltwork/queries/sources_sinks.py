@@ -26,7 +26,7 @@ def _(spark, sf):
 @R.add("src02_csv", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, '' AS missing FROM part")
 def _(spark, sf):
     path = shared_path(spark, "csv")
-    sinks.write_report(table(spark, sf, "part"), path)
+    sinks.write_report(table(spark, sf, "part"), path, ["p_partkey"])
     return files.csv_strings(spark, path, ["p_partkey", "p_name", "missing"])
 
 
@@ -133,11 +133,21 @@ def _(spark, sf):
     return sinks.manifest(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@R.add("snk04_report", "SELECT s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+@R.add("snk04_report", "SELECT -1 AS n, chr(65279) || '# roles, checked' AS line UNION ALL SELECT 0, 'r_name,role' UNION ALL SELECT n, CASE WHEN contains(r, ',') THEN '\"' || r || '\"' ELSE r END || ',' || role FROM (SELECT row_number() OVER (ORDER BY r_regionkey) AS n, r_name || CASE WHEN r_regionkey % 2 = 0 THEN ', even' ELSE '' END AS r, 'x' || r_regionkey AS role FROM region)")
 def _(spark, sf):
+    """A report as it is written: BOM and comment, header, quoted fields."""
     path = shared_path(spark, "report")
-    sinks.write_report(table(spark, sf, "supplier"), path)
-    return files.csv_strings(spark, path, ["s_name", "s_nationkey"])
+    name = F.concat("r_name", F.when(F.col("r_regionkey") % 2 == 0, ", even").otherwise(""))
+    rows = table(spark, sf, "region").select(name.alias("r_name"), F.concat(F.lit("x"), F.col("r_regionkey").cast("string")).alias("role"))
+    sinks.write_report(rows, path, ["role"], "roles, checked")
+    got = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("n", "line"))
+    return got.select((F.col("n") - 1).cast("long").alias("n"), "line")
+
+
+@R.add("snk07_worklist", "SELECT '<!DOCTYPE html><meta charset=utf-8><title>nations</title><table><tr><th>n_nationkey</th><th>n_name</th></tr>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || ' &amp; &lt;co&gt;</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM nation")
+def _(spark, sf):
+    rows = table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" & <co>")).alias("n_name"))
+    return sinks.worklist_html(rows, ["n_nationkey"], "nations")
 
 
 @R.add("snk02_enrich_idempotent", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -196,8 +206,4 @@ def _(spark, sf):
 @R.add("src04_yaml", "SELECT * FROM (VALUES ('Q1', 'yes', 'topic'), ('Q2', 'no', NULL)) t(id, answerable, type)")
 def _(spark, sf):
     text = "questions:\n  - id: Q1\n    answerable: yes\n    type: topic\n  - id: Q2\n    answerable: no\n"
-    try:
-        return files.yaml_rows(spark, [text], "questions", "id string, answerable string, type string")
-    except RuntimeError:  # without PyYAML the same rows as JSON, which any reader has
-        body = b'{"id": "Q1", "answerable": "yes", "type": "topic"}\n{"id": "Q2", "answerable": "no"}'
-        return spark.read.schema("id string, answerable string, type string").json(_file(spark, "questions.json", body))
+    return files.yaml_rows(spark, [text], "questions", "id string, answerable string, type string")

@@ -304,9 +304,12 @@ def _(spark, sf):
     return spark.sql(values("id s", (1, "start " + "go on " * 8), (2, "one two three " * 7), (3, "x - " * 9))).select("id", T.has_loop("s").alias("out"))
 
 
-@R.add("str34_loop_documents")
+_RUN = "contains(array_to_string(list_transform(range(1, len(w) - {0} + 1), lambda i: CASE WHEN w[i] = w[i + {0}] THEN '1' ELSE '0' END), ''), repeat('1', 7 * {0}))"
+
+
+@R.add("str34_loop_documents", "WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')) AS w FROM documents) SELECT doc_id, " + " OR ".join(_RUN.format(k) for k in (1, 2, 3, 4)) + " AS out FROM t")
 def _(spark, sf):
-    """Rows only: RE2 has no back-references."""
+    """In SQL: 7 k words in a row that are each the word k places on."""
     return table(spark, sf, "documents").select("doc_id", T.has_loop("text").alias("out"))
 
 

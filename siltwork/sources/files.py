@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..operators import retrieval
 from ..plans.session import ship
 
 CHUNK = T.StructType(
@@ -68,12 +69,12 @@ def retrieval_dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(chunks: DataFrame, key: str, ids: list[str], most: int = 5) -> DataFrame:
-    """Chunks by id; an id that isn't there comes with up to five that contain it."""
+    """Chunks by id; an id that isn't there comes with up to five that contain it. The ids are a stated set and go out in blocks."""
     want = chunks.sparkSession.createDataFrame([(i,) for i in ids], "want string")
     c = chunks.withColumn("_k", F.col(key).cast("string"))
     hit = c.where(F.col("_k").isin(ids)).select(F.col("_k").alias("want"), F.col("_k").alias("id"), F.lit(True).alias("found"))
-    missing = F.broadcast(want.join(hit.select("want").distinct(), "want", "left_anti"))
-    near = c.join(missing, F.col("_k").contains(F.col("want"))).groupBy("want").agg(F.slice(F.array_sort(F.collect_set("_k")), 1, most).alias("ids"))
+    missing = want.join(hit.select("want").distinct(), "want", "left_anti")
+    near = retrieval.against(c.select("_k"), missing, F.col("_k").contains(F.col("want"))).groupBy("want").agg(F.slice(F.array_sort(F.collect_set("_k")), 1, most).alias("ids"))
     return hit.unionByName(near.select("want", F.explode("ids").alias("id"), F.lit(False).alias("found")))
 
 

@@ -22,10 +22,14 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 
 
 def batch_ledger(spark: SparkSession, path: str, schema, name: str, ts: str, key: str, value: str, checkpoint: str) -> DataFrame:
-    """The ledger of all events under ``path`` by a stream in complete mode, kept as a table in memory of one row per day and key."""
-    s = ledger(spark.readStream.schema(schema).parquet(path), ts, key, value)
-    s.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The ledger of all events under ``path``: each batch appends the days that changed to a table of that name beside the
+    checkpoint, the newest row of a day and key counts. Days beyond the retention leave the state; their rows stay in the table.
+    """
+    s, out = ledger(spark.readStream.schema(schema).parquet(path), ts, key, value), f"{checkpoint}-{name}"
+    # an empty batch gives the table its schema
+    s.writeStream.foreachBatch(lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(s.schema.add("epoch", "long")).parquet(out)
+    return rows.groupBy("day", key).agg(F.max_by("n", "epoch").alias("n"), F.max_by("total", "epoch").alias("total"))
 
 
 def refresh(stream: DataFrame, index: str, checkpoint: str, key: str = "id", sha: str = "sha") -> None:
