@@ -65,11 +65,11 @@ class GraceDedup:
     Records go to one open-addressing table until its contents pass ``limit`` bytes; then table and
     later records are dealt over 16 spill files by the next four bits of the digest, and each file is
     grouped in the same way. A table with a single content is never split, so copies, however many,
-    and contents longer than the limit end the recursion.
+    and contents longer than the limit end the recursion. ``unique``: stop where two contents have one digest.
     """
 
-    def __init__(self, limit: int = TABLE_BYTES, level: int = 0):
-        self.limit, self.level = limit, level
+    def __init__(self, limit: int = TABLE_BYTES, level: int = 0, unique: bool = False):
+        self.limit, self.level, self.unique = limit, level, unique
         self.table: OpenTable | None = OpenTable(level)
         self.dir: tempfile.TemporaryDirectory | None = None
         self.files: list = []
@@ -97,13 +97,16 @@ class GraceDedup:
         """[digest, content, largest id, rows] of each distinct content."""
         try:
             if self.table is not None:
+                # rows of one digest are never dealt to different tables, so this sees every collision
+                if self.unique and len({r[0] for r in self.table.rows}) < len(self.table.rows):
+                    raise RuntimeError("two contents share a SHA-256 digest; they can't be told apart by it")
                 yield from self.table.rows
                 return
             while self.files:
                 f = self.files.pop()
                 with f:
                     f.seek(0)
-                    part = GraceDedup(self.limit, self.level + 1)
+                    part = GraceDedup(self.limit, self.level + 1, self.unique)
                     try:
                         while True:
                             try:
@@ -165,17 +168,12 @@ def _local(limit: int):
 
 def _global(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grace, names = GraceDedup(limit), ["digest", "best", "rows"]
+        grace, names = GraceDedup(limit, unique=True), ["digest", "best", "rows"]
         try:
             for batch in batches:
                 for row in zip(*batch.columns, strict=True):
                     grace.add(*(v.as_py() for v in row))
-            seen: dict[bytes, int] = {}
             for batch in _emit(grace, names):
-                for d in batch.column(0).to_pylist():
-                    if d in seen:
-                        raise RuntimeError("two contents share a SHA-256 digest; they can't be told apart by it")
-                    seen[d] = 1
                 keep = np.flatnonzero(batch.column(2).to_numpy() > 1)
                 yield batch.take(pa.array(keep))
         finally:

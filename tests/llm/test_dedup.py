@@ -131,3 +131,12 @@ def test_links_inside_a_star_grow_in_proportion(spark, monkeypatch):
         most.append(max(counts))
     pairs = fx.components(rows, 2, 80)[0]
     assert most[1] < 3 * most[0] and most[1] < pairs / 4
+
+
+def test_a_digest_of_two_contents_stops_the_job():
+    for limit in (1, 1 << 20):
+        grace = X.GraceDedup(limit, unique=True)
+        for i, text in enumerate((b"one", b"two", b"three")):
+            grace.add((b"\x02" if i == 2 else b"\x01") * 32, text, i, 1)
+        with pytest.raises(RuntimeError):
+            list(grace.groups())
