@@ -79,8 +79,8 @@ def _battery(span: Column) -> Column:
     """(start, end, evidence, random) of a candidate.
 
     The encoding is the smallest alphabet that holds the string: decimal, hex, base32, base36, letters,
-    base64. Three tests against even use of it: chi-squared of the counts (Wilson and Hilferty's cube
-    root), runs of the upper and the lower half of the alphabet, and serial correlation of neighbours.
+    base64. Three tests against even use of it: chi-squared of the counts (normal law with the exact
+    variance), runs of the upper and the lower half of the alphabet, and serial correlation of neighbours.
     ``random``: none of the three is under ALPHA / 3. evidence: log-likelihood of even use over running
     text. It grows with the length, and exp(-evidence) bounds the chance that running text reaches it.
     """
