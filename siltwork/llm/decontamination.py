@@ -80,18 +80,27 @@ def edits_inside(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, in
     return (int(row[end]), end) if row[end] <= most else None
 
 
-def fewest_edits(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``edits_inside`` for many pairs at once, one a column: fewest edits, and where that part of the text ends."""
-    kind = np.int8 if len(items) + len(texts) < 120 else np.int16 if len(items) + len(texts) < 30_000 else np.int32
-    steps, step = np.arange(len(texts) + 1, dtype=kind)[:, None], kind(1)
-    row = np.zeros((len(texts) + 1, texts.shape[1]), kind)
+def fewest_edits(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``edits_inside`` for many pairs at once, one a column: fewest edits, and where that part of the text ends.
+
+    Counts up to ``most`` are exact, others only beyond it. The insertions of a row are runs; minima over 1, 2, 4, ...
+    neighbours cover all runs of at most ``most``.
+    """
+    n = len(texts)
+    most = n if most is None else min(most, n)
+    kind = np.int8 if len(items) + n < 120 else np.int16 if len(items) + n < 30_000 else np.int32
+    steps, step = np.arange(n + 1, dtype=kind)[:, None], kind(1)
+    row = np.zeros((n + 1, texts.shape[1]), kind)
     shortest = int(lengths.min())
     for i in range(len(items)):
         new = np.empty_like(row)
         new[0] = i + 1
         np.minimum(row[1:] + step, row[:-1] + (texts != items[i]), out=new[1:])
         new -= steps
-        np.minimum.accumulate(new, axis=0, out=new)
+        reach = 1
+        while reach <= most:
+            np.minimum(new[reach:], new[:-reach], out=new[reach:])
+            reach *= 2
         new += steps
         row = new if i < shortest else np.where(lengths > i, new, row)
     end = row.argmin(axis=0)
@@ -230,7 +239,7 @@ class Index:
             cols = at[k] + np.arange(int((to - at)[k].max()))[:, None]
             texts = np.where(cols < to[k], x[np.minimum(cols, len(x) - 1)], x.dtype.type(0))
             chars = self.flat[self.base[item[k]] + lo[k] + np.minimum(np.arange(int((hi - lo)[k].max()))[:, None], (hi - lo)[k] - 1)]
-            edits[k], stop[k] = fewest_edits(chars, (hi - lo)[k], texts)
+            edits[k], stop[k] = fewest_edits(chars, (hi - lo)[k], texts, int(most[k].max()))
         good = edits <= most
         return np.stack([text, item, piece, begin])[:, good], edits[good], (at + stop)[good]
 

@@ -215,3 +215,23 @@ def test_secrets_behind_names_and_paths(spark):
     got = {r.doc_id: r.spans for r in S.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k in range(3):
         assert sum(got[i] == want[i] for i in want if i % 3 == k) >= 37
+
+
+def test_edits_of_many_pairs_at_once():
+    """Columns of many lengths against the plain recurrence, with and without a bound."""
+    import numpy as np
+
+    from siltwork.llm import decontamination as D
+
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        sizes = rng.integers(1, 12, 8)
+        items, texts = rng.integers(1, 4, (int(sizes.max()), 8)).astype(np.uint8), rng.integers(1, 4, (int(rng.integers(3, 40)), 8)).astype(np.uint8)
+        for most in (None, 0, 1, 2, 3, 5):
+            edits, ends = D.fewest_edits(items, sizes, texts, most)
+            for c in range(8):
+                want = D.edits_inside(items[: sizes[c], c].astype(np.uint32), texts[:, c].astype(np.uint32), 100)
+                if most is None or want[0] <= most:
+                    assert (int(edits[c]), int(ends[c])) == want
+                else:
+                    assert edits[c] > most
