@@ -91,18 +91,23 @@ def fewest_edits(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, most
     kind = np.int8 if len(items) + n < 120 else np.int16 if len(items) + n < 30_000 else np.int32
     steps, step = np.arange(n + 1, dtype=kind)[:, None], kind(1)
     row = np.zeros((n + 1, texts.shape[1]), kind)
+    new, wrong = np.empty_like(row), np.empty(texts.shape, bool)
     shortest = int(lengths.min())
     for i in range(len(items)):
-        new = np.empty_like(row)
         new[0] = i + 1
-        np.minimum(row[1:] + step, row[:-1] + (texts != items[i]), out=new[1:])
+        np.not_equal(texts, items[i], out=wrong)
+        np.add(row[:-1], wrong.view(np.int8), out=new[1:])
+        np.minimum(new[1:], row[1:] + step, out=new[1:])
         new -= steps
         reach = 1
         while reach <= most:
             np.minimum(new[reach:], new[:-reach], out=new[reach:])
             reach *= 2
         new += steps
-        row = new if i < shortest else np.where(lengths > i, new, row)
+        if i < shortest:
+            row, new = new, row
+        else:
+            np.copyto(row, new, where=lengths > i)
     end = row.argmin(axis=0)
     return row[end, np.arange(row.shape[1])], end
 
@@ -190,8 +195,8 @@ class Index:
             h = seed_hashes(x, size)
             slot = h >> np.uint32(32 - SLOT_BITS)
             hits = np.flatnonzero(n[slot])
-            for lo in range(0, len(hits), 1 << 14):
-                at = hits[lo : lo + (1 << 14)]
+            for lo in range(0, len(hits), 1 << 15):
+                at = hits[lo : lo + (1 << 15)]
                 many = n[slot[at]].astype(np.int64)
                 ends = np.cumsum(many)
                 seed, where = np.arange(ends[-1]) + np.repeat(first[slot[at]] - ends + many, many), np.repeat(at, many)
@@ -235,7 +240,7 @@ class Index:
         to = np.clip(begin + wide + hi + most, at, ends[text])
         edits, stop = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
         order = np.argsort(hi - lo, kind="stable")
-        for k in (order[c : c + 1024] for c in range(0, len(order), 1024)):
+        for k in (order[c : c + 2048] for c in range(0, len(order), 2048)):
             cols = at[k] + np.arange(int((to - at)[k].max()))[:, None]
             texts = np.where(cols < to[k], x[np.minimum(cols, len(x) - 1)], x.dtype.type(0))
             chars = self.flat[self.base[item[k]] + lo[k] + np.minimum(np.arange(int((hi - lo)[k].max()))[:, None], (hi - lo)[k] - 1)]
