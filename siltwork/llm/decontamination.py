@@ -192,19 +192,20 @@ class Index:
         one edit; ``begin`` is where the item would begin if there were no edits before the seed."""
         pad = np.concatenate([np.zeros(MAX_SEED + 1, x.dtype), x, np.zeros(2 * MAX_SEED + 1, x.dtype)])
         for (size, way), (first, n, hashes, rows, other) in self.seeds.items():
-            h = seed_hashes(x, size)
-            slot = h >> np.uint32(32 - SLOT_BITS)
-            hits = np.flatnonzero(n[slot])
+            h, sizes = seed_hashes(x, size), np.ascontiguousarray(rows[:, 4])
+            slot = (h >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+            hits = np.flatnonzero((n > 0).take(slot))
             for lo in range(0, len(hits), 1 << 15):
                 at = hits[lo : lo + (1 << 15)]
-                many = n[slot[at]].astype(np.int64)
+                here = slot[at]
+                many = n[here].astype(np.int64)
                 ends = np.cumsum(many)
-                seed, where = np.arange(ends[-1]) + np.repeat(first[slot[at]] - ends + many, many), np.repeat(at, many)
+                seed, where = np.arange(ends[-1]) + np.repeat(first[here] - ends + many, many), np.repeat(at, many)
                 same = h[where] == hashes[seed]
                 seed, where = seed[same], where[same]
                 # bit i: character i of the other half is in its place, or in the place before or after
                 near = [pad[MAX_SEED + 1 + (size if way > 0 else -1) + way * i :] if way > 0 or i <= MAX_SEED else pad for i in range(-1, MAX_SEED + 1)]
-                length = rows[seed, 4]
+                length = sizes.take(seed)
                 e0, em, ep = (np.zeros(len(seed), np.uint8) for _ in range(3))
                 before, now = near[0].take(where), near[1].take(where)
                 for i in range(int(rows[:, 4].max())):
