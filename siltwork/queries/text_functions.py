@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -199,9 +201,35 @@ def _(spark, sf):
     return r.select("id", F.round("rate", 6).alias("rate"), T.grade(F.col("rate")).alias("grade"))
 
 
-@R.add("str20_cluster_states", "SELECT * FROM (VALUES (1, 'double_sign;orphan_sign'), (2, 'sign_after_hasant'), (3, 'hasant_after_hasant'), (4, ''), (5, ''), (6, '')) t(id, states)")
+_rng = random.Random(7)
+CLUSTERS = values("id s", *((i, "".join(_rng.choice(("ক", "ল", "া", "ি", "্", "অ", "ং", " ")) for _ in range(_rng.randint(1, 14)))) for i in range(400)))
+_PAIR = "substr(' ' || s, i, 2)"
+CLUSTER_SQL = f"""
+WITH c AS ({CLUSTERS}), p AS (SELECT id, s, unnest(range(1, length(s) + 1)) AS i FROM c), k AS (SELECT id, i, s, CASE WHEN regexp_matches({_PAIR}, '^ [ািৌ্]') THEN 'orphan_dependent' WHEN regexp_matches({_PAIR}, '^[াি][াি]') THEN 'double_matra' WHEN regexp_matches({_PAIR}, '^্[াি]') THEN 'hasant_matra'
+WHEN regexp_matches({_PAIR}, '^অ[াি]') THEN 'vowel_matra' WHEN regexp_matches({_PAIR}, '^ং[াি]') THEN 'sign_matra' WHEN substr(s, i, 2) = '্ ' THEN 'dangling_hasant' END AS state FROM p)
+SELECT id, i AS "at", state, substr(s, greatest(i - 12, 1), 24) AS context FROM k WHERE state IS NOT NULL
+"""
+
+
+@R.add("str20_cluster_states", CLUSTER_SQL)
 def _(spark, sf):
-    return spark.sql(DAMAGE).select("id", F.array_join(F.array_sort(F.array_distinct(F.transform(T.cluster_states("s"), lambda x: x["state"]))), ";").alias("states"))
+    """Each violation with its place, those next to each other too."""
+    return spark.sql(CLUSTERS).select("id", F.explode(T.cluster_states("s")).alias("x")).select("id", F.col("x.at").cast("long").alias("at"), "x.state", "x.context")
+
+
+@R.add("str17_legacy_paragraph_score", f"SELECT doc_id, CASE WHEN n < 6 THEN 0.0 ELSE round(least((CASE WHEN la / greatest(n, 1) > 0.5 THEN 0.45 ELSE 0 END) + 0.3 * least(hits / 5, 1) + (CASE WHEN vs / greatest(la, 1) > 0.08 THEN 0.25 ELSE 0 END), 1), 2) END AS score FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS n, length(regexp_replace(text, '[^A-Za-z\\x{{80}}-\\x{{ff}}\\x{{2018}}-\\x{{2030}}]', '', 'g')) AS la, length(text) - length(replace(text, 'v', '')) AS vs, {HITS.replace('contains(s,', 'contains(text,')} AS hits FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.legacy_paragraph_score("text", MARKERS).alias("score"))
+
+
+@R.add("str25_word_error_rate", "WITH p AS (SELECT a.item_id, string_split(a.text, ' ') AS x, string_split(a.text[1:60] || ' ' || b.text[20:80], ' ') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), k AS (SELECT *, list_distinct(x || y) AS w FROM p), d AS (SELECT item_id, len(x) AS n, levenshtein(array_to_string(list_transform(x, lambda t: chr(CAST(32 + list_position(w, t) AS INT))), ''), array_to_string(list_transform(y, lambda t: chr(CAST(32 + list_position(w, t) AS INT))), '')) AS edits, len(w) AS kinds FROM k) SELECT item_id, edits, round(edits / n, 4) AS wer FROM d WHERE kinds <= 90")
+def _(spark, sf):
+    """Word edits between an item and one put together from it and the next; up to 90 distinct words, which SQL has signs of one byte for."""
+    b = table(spark, sf, "benchmark")
+    n = b.select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 20, 61).alias("next"))
+    x, y = F.split("text", " "), F.split(F.concat(F.substring("text", 1, 60), F.lit(" "), F.col("next")), " ")
+    d = b.join(n, "item_id").where(F.size(F.array_distinct(F.concat(x, y))) <= 90).select("item_id", T.token_distance(x, y).cast("long").alias("edits"), F.size(x).alias("n"))
+    return d.select("item_id", "edits", F.round(F.col("edits") / F.col("n"), 4).alias("wer"))
 
 
 @R.add("str21_normalisation_statistics", f"SELECT id, length(s) - length(replace(replace(s, '‌', ''), '‍', '')) AS joiners, length(s) - length(replace(s, '।', '')) AS dandas, regexp_matches(s, '[০-৯]') AND regexp_matches(s, '[0-9]') AS mixed_digits, nfc_normalize(s) <> s AS nfc_changes FROM ({BN}) WHERE s IS NOT NULL")
