@@ -151,3 +151,24 @@ def related(chunks: DataFrame, products: DataFrame) -> DataFrame:
     p = products.select("product", section(F.col("clause")).alias("section"), F.col("scope").alias("product_scope"))
     c = chunks.withColumn("section", section(F.col("clause")))
     return c.join(p, "section").where((F.col("product_scope") == "both") | F.startswith("scope", "product_scope"))
+
+
+def scoped_manuals(questions: DataFrame, manuals: DataFrame, wide: tuple[str, ...] = ("any", "both", "ambiguous")) -> DataFrame:
+    """(qid, manual_id): the manuals that a question's scopes mean, a prefix of either by the other; all of them for a wide scope,
+    none, or one that fits nothing. questions: qid, scopes. manuals, a small stated table: manual_id."""
+    known = questions.crossJoin(F.broadcast(manuals.agg(F.array_sort(F.collect_set("manual_id")).alias("known"))))  # one row
+    fits = F.filter("known", lambda m: F.exists("scopes", lambda s: F.startswith(m, s) | F.startswith(s, m)))
+    every = F.col("scopes").isNull() | F.arrays_overlap("scopes", F.array(*map(F.lit, wide))) | (F.size(fits) == 0)
+    return known.select("qid", F.explode(F.when(every, F.col("known")).otherwise(fits)).alias("manual_id"))
+
+
+def search_filter(chunks: DataFrame, excluded: DataFrame, key: str, manual: Column | None = None, pattern: str | None = None, tag: tuple[str, str] | None = None) -> DataFrame:
+    """Chunks a search may give: not excluded, of the manual, whose text has the pattern, and whose tags hold the value or are empty."""
+    out = chunks.join(excluded.select(key).distinct(), key, "left_anti")
+    if manual is not None:
+        out = out.where(manual)
+    if pattern is not None:
+        out = out.where(F.col("text").rlike(pattern))
+    if tag is not None:
+        out = out.where((F.size(tag[0]) == 0) | F.array_contains(tag[0], tag[1]))
+    return out

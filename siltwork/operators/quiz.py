@@ -47,6 +47,33 @@ def leaks(question: Column, correct: Column, kind: Column) -> Column:
     return F.when(kind == "figure", F.exists(numbers, lambda n: question.contains(n))).otherwise((F.size(words) > 0) & F.forall(words, lambda w: question.contains(w)))
 
 
+#: Endings that mark a name as acted upon.
+OBJECT_ENDINGS = ("কে", "দের", "কেই", "র", "এর", "ের", "-র", "’র")
+
+
+def is_agent(name: Column, segment: Column, endings: tuple[str, ...] = OBJECT_ENDINGS) -> Column:
+    """Whether no use of the name in the segment has an ending of an object, nor stands in a group by slashes."""
+    marked = F.lit(False)
+    for e in endings:
+        marked = marked | segment.contains(F.concat(name, F.lit(e)))
+    return ~marked & ~segment.contains(F.concat(F.lit("/"), name)) & ~segment.contains(F.concat(name, F.lit("/")))
+
+
+def answer_rejects(bank: DataFrame, units: str) -> DataFrame:
+    """bank with ``rejects``: range, zero, leak, and rivals:n of the same unit in the explanation."""
+    q, c, seg = (F.col(x) for x in ("question", "correct", "explanation"))
+    figure = F.col("kind") == "figure"
+    rivals = F.size(F.filter(F.array_distinct(spans(seg, units)), lambda s: (s != c) & (unit_of(s) == unit_of(c))))
+    r = reasons((figure & range_end(c, seg), "range"), (figure & zero(c), "zero"), (leaks(q, c, F.col("kind")), "leak"))
+    return bank.withColumn("rejects", F.when(figure & (rivals > 0), F.concat(r, F.array(F.concat(F.lit("rivals:"), rivals.cast("string"))))).otherwise(r))
+
+
+def approved(rows: DataFrame, reviews: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """Rows with an approval whose fingerprint is that of their present fields. reviews: key, status, fingerprint."""
+    yes = reviews.where("status = 'approved'").select(key, "fingerprint")
+    return rows.join(yes, key).where(fingerprint(*(F.col(f).cast("string") for f in fields)) == F.col("fingerprint")).drop("fingerprint")
+
+
 def spans(text: Column, units: str) -> Column:
     """Figures with a unit, as they stand."""
     return F.regexp_extract_all(text, F.lit(f"({_DIGITS}[0-9০-৯,.]* (?:{units}))"))

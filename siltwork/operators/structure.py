@@ -54,3 +54,9 @@ def round_robin(rows: DataFrame, bucket: list[str], ident: str, seed: int, limit
     o = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")).cast("binary"))
     w = Window.partitionBy(*bucket).orderBy("o", ident)
     return rows.withColumn("o", o).withColumn("turn", F.row_number().over(w)).orderBy("turn", *bucket).limit(limit).drop("o")
+
+
+def orphan_share(lines: DataFrame, path: str, most: float = 0.02) -> DataFrame:
+    """One row (lines, orphans, share, passes): body lines without any heading above them may be a share of ``most``."""
+    share = F.coalesce(F.avg((F.size(path) == 0).cast("double")), F.lit(0.0))
+    return lines.agg(F.count("*").alias("lines"), F.count_if(F.size(path) == 0).alias("orphans"), share.alias("share"), (share <= most).alias("passes"))

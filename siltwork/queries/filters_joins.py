@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, joins
+from ..operators import dedup, joins, quiz, rules, structure
 from ..sources import sinks
+from . import fixtures as fx
 from .base import Registry, table, values
 
 R = Registry()
@@ -19,10 +20,15 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@R.add("flt01_search_filter", "SELECT doc_id FROM documents d WHERE source IN ('src1', 'src2') AND regexp_matches(text, 'heat') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+_TAGS = "list_filter([CASE WHEN regexp_matches(text, '(^|[^a-z])und([^a-z]|$)') THEN 'und' END, CASE WHEN contains(text, 'tion') THEN 'tion' END], lambda x: x IS NOT NULL)"
+
+
+@R.add("flt01_search_filter", f"SELECT doc_id FROM (SELECT *, {_TAGS} AS tags FROM documents) WHERE source IN ('src1', 'src2') AND regexp_matches(text, 'he|en') AND (tags = [] OR list_contains(tags, 'tion')) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(spark, sf):
+    """Exclusion, manual, pattern and tags at once; a chunk without tags is open to every tag."""
     out = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return docs(spark, sf).where(F.col("source").isin("src1", "src2") & F.col("text").rlike("heat")).join(out, "doc_id", "left_anti").select("doc_id")
+    tagged = docs(spark, sf).withColumn("tags", joins.pattern_tags(F.col("text"), (("und", "(^|[^a-z])und([^a-z]|$)"), ("tion", "tion"))))
+    return joins.search_filter(tagged, out, "doc_id", F.col("source").isin("src1", "src2"), "he|en", ("tags", "tion")).select("doc_id")
 
 
 @R.add("flt02_permissive_retention", "SELECT source, count(*) FILTER (WHERE regexp_matches(text, 'heat')) AS strict, count(*) FILTER (WHERE regexp_matches(text, 'heat') OR NOT regexp_matches(text, 'heat|ement')) AS permissive, count(*) AS total FROM documents GROUP BY source")
@@ -125,36 +131,55 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("text").rlike("[ঀ-৿]"), "bn").when(F.col("text").rlike("[A-Za-z]"), "en").otherwise("none").alias("lang"))
 
 
-CANDS = values("id answer evidence question", (1, "500", "from 500-1000 taka", "how much?"), (2, "00", "fee 00", "fee?"), (3, "12", "12 months", "is it 12 months?"), (4, "7", "7 days", "how long?"))
+@R.add("flt11_scoped_manuals", f"WITH g AS (SELECT id AS qid, CASE WHEN id % 9 = 0 THEN 'zz' WHEN id % 7 = 0 THEN scope || '_2025_v2' ELSE scope END AS scope FROM ({fx.GOLD})), m AS (SELECT unnest({list(fx.MANUALS)!r}) AS manual_id), f AS (SELECT qid, manual_id FROM g, m WHERE scope NOT IN ('any', 'both') AND (starts_with(manual_id, scope) OR starts_with(scope, manual_id))) SELECT * FROM f UNION ALL SELECT qid, manual_id FROM g, m WHERE qid NOT IN (SELECT qid FROM f)")
+def _(spark, sf):
+    """Either side may be a prefix of the other; several manuals may fit, and all do where none does."""
+    s = F.when(F.col("id") % 9 == 0, "zz").when(F.col("id") % 7 == 0, F.concat("scope", F.lit("_2025_v2"))).otherwise(F.col("scope"))
+    g = spark.sql(fx.GOLD).select(F.col("id").alias("qid"), F.array(s).alias("scopes"))
+    return joins.scoped_manuals(g, spark.createDataFrame([(m,) for m in fx.MANUALS], "manual_id string"))
+
+
+_SEG = "regexp_extract_all(explanation, '[0-9][0-9,.]* (?:month|percent|taka)')"
+_AT = "instr(explanation, correct)"
+_NEAR = "(regexp_matches({0}, '-| to ') AND regexp_matches({0}, '[0-9]'))"
+REJECT_SQL = f"""
+WITH b AS (SELECT *, split_part(correct, ' ', 1) AS num, split_part(correct, ' ', 2) AS unit FROM ({fx.BANK})), r AS (SELECT *, len(list_filter(list_distinct({_SEG}), lambda x: x <> correct AND split_part(x, ' ', 2) = unit)) AS rivals FROM b)
+SELECT id, concat_ws(';', CASE WHEN kind = 'figure' AND {_AT} > 0 AND ({_NEAR.format(f'substr(explanation, greatest({_AT} - 14, 1), least({_AT} - 1, 14))')} OR {_NEAR.format(f'substr(explanation, {_AT} + length(correct), 14)')}) THEN 'range' END, CASE WHEN kind = 'figure' AND num = '0' THEN 'zero' END,
+CASE WHEN (kind = 'figure' AND length(num) > 1 AND contains(question, num)) OR (kind = 'role' AND len(list_filter(string_split(correct, ' '), lambda w: length(w) >= 3 AND NOT contains(question, w))) = 0) THEN 'leak' END, CASE WHEN kind = 'figure' AND rivals > 0 THEN 'rivals:' || rivals END) AS rejects FROM r
+"""
 
 
-@R.add("flt14_answer_rejects", "SELECT * FROM (VALUES (1, 'range'), (2, 'zero'), (3, 'leak'), (4, '')) t(id, reasons)")
+@R.add("flt14_answer_rejects", REJECT_SQL)
 def _(spark, sf):
-    bad = F.array(
-        F.when(F.regexp_like("evidence", F.concat(F.lit("(^|[^0-9])"), "answer", F.lit("\\s*[-–]\\s*[0-9]"))), "range"), F.when(F.col("answer").rlike("^0+%?$"), "zero"), F.when(F.col("question").contains(F.col("answer")), "leak")
-    )
-    return spark.sql(CANDS).select("id", F.array_join(F.filter(bad, lambda x: x.isNotNull()), ";").alias("reasons"))
+    b = spark.sql(fx.BANK).withColumn("options", F.split("options", ";"))
+    return quiz.answer_rejects(b, "|".join(fx.UNITS)).select("id", F.array_join("rejects", ";").alias("rejects"))
 
 
-@R.add("flt15_agent_test", "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(id, agent)")
+@R.add("flt15_agent_test", f"WITH b AS (SELECT id, correct AS n, explanation || CASE id % 4 WHEN 0 THEN ' / ' WHEN 1 THEN '/' || correct ELSE '' END AS s FROM ({fx.BANK}) WHERE kind = 'role') SELECT id, NOT contains(s, n || 's') AND NOT contains(s, n || ' is') AND NOT contains(s, '/' || n) AND NOT contains(s, n || '/') AS agent FROM b")
 def _(spark, sf):
-    s = spark.sql(values("id name s", (1, "এএম", "এএম অনুমোদন করেন"), (2, "এএম", "এএমকে জানান"), (3, "এএম", "বিএম/এএম সই")))
-    suffix, slash = F.concat("name", F.lit("(?:কে|এর|র)(?![ঀ-৿])")), F.concat(F.lit("/"), "name", F.lit("|"), "name", F.lit("/"))
-    return s.select("id", (F.col("s").contains(F.col("name")) & ~F.regexp_like("s", suffix) & ~F.regexp_like("s", slash)).alias("agent"))
+    """A role with an ending of an object, or in a group by slashes, is not the one who acts."""
+    tail = F.when(F.col("id") % 4 == 0, " / ").when(F.col("id") % 4 == 1, F.concat(F.lit("/"), "correct")).otherwise("")
+    b = spark.sql(fx.BANK).where("kind = 'role'").withColumn("s", F.concat("explanation", tail))
+    return b.select("id", quiz.is_agent(F.col("correct"), F.col("s"), ("s", " is")).alias("agent"))
 
 
-@R.add("flt16_fingerprint_filter", "SELECT conv_id, turn FROM conversations WHERE role = 'user'")
+@R.add("flt16_fingerprint_filter", "SELECT conv_id, turn FROM conversations WHERE conv_id % 3 <> 0 AND NOT (turn % 2 = 1 AND contains(text, 'a'))")
 def _(spark, sf):
-    """Approved rows whose content was edited after the review are out: here those of the assistant."""
-    fp = lambda t: F.sha2(F.concat(F.col("role"), F.lit("\x1f"), t, F.lit("\x1f")), 256)
-    c = table(spark, sf, "conversations").withColumn("approved", fp(F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat("text", F.lit(" ")))))
-    return c.where(fp(F.col("text")) == F.col("approved")).select("conv_id", "turn")
+    """Approved rows whose text is no longer what was read are out: here every odd turn has since had its letters a replaced."""
+    c = table(spark, sf, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    then = F.when(F.col("turn") % 2 == 1, F.replace("text", F.lit("a"), F.lit("e"))).otherwise(F.col("text"))
+    reviews = c.withColumn("text", then).select("id", F.when(F.col("conv_id") % 3 == 0, "draft").otherwise("approved").alias("status"), rules.fingerprint("role", "text").alias("fingerprint")).distinct()
+    return quiz.approved(c, reviews, "id", ("role", "text")).select("conv_id", "turn")
 
 
-@R.add("flt17_orphan_gate", "SELECT count(*) FILTER (WHERE NOT contains(html, '<h1>')) / count(*) AS share, count(*) FILTER (WHERE NOT contains(html, '<h1>')) / count(*) <= 0.02 AS passes FROM pages")
+@R.add("flt17_orphan_gate", "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:h1|p)[ >]')) AS tag, unnest(range(1, len(regexp_extract_all(html, '<(?:h1|p)[ >]')) + 1)) AS k FROM pages), h AS (SELECT page_id, k, tag, min(CASE WHEN starts_with(tag, '<h1') AND page_id % 40 <> 1 THEN k END) OVER (PARTITION BY page_id) AS first FROM t) SELECT count(*) AS lines, count(*) FILTER (WHERE first IS NULL OR k < first) AS orphans, round(avg(CASE WHEN first IS NULL OR k < first THEN 1.0 ELSE 0.0 END), 9) AS share, avg(CASE WHEN first IS NULL OR k < first THEN 1.0 ELSE 0.0 END) <= 0.02 AS passes FROM h WHERE starts_with(tag, '<p')")
 def _(spark, sf):
-    share = F.avg((~F.col("html").contains("<h1>")).cast("double"))
-    return table(spark, sf, "pages").agg(share.alias("share"), (share <= 0.02).alias("passes"))
+    """Paragraphs of pages with the headings above them; on every fortieth page the headings count as lost."""
+    tags = F.regexp_extract_all("html", F.lit("<(?:h1|p)[ >]"), F.lit(0))
+    b = table(spark, sf, "pages").select("page_id", F.posexplode(tags).alias("seq", "tag"))
+    level = F.when(F.startswith("tag", F.lit("<h1")) & (F.col("page_id") % 40 != 1), 1)
+    s = structure.heading_stack(b, "page_id", "seq", level, "tag", 1).where(F.startswith("tag", F.lit("<p")))
+    return structure.orphan_share(s, "path").withColumn("share", F.round("share", 9))
 
 
 @R.add("jn01_enrich_by_id", "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
