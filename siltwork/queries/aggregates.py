@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, retrieval
+from ..operators import dedup, retrieval, scoring
+from . import fixtures as fx
 from .base import Registry, table, values
 from .filters_joins import SH_SQL, near_classes
 
@@ -70,14 +71,13 @@ def _(spark, sf):
     return retrieval.corpus_stats(docs(spark, sf), F.col("text")).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@R.add("agg05_tag_diff", "SELECT tag, count(*) FILTER (WHERE NOT before AND after) AS added, count(*) FILTER (WHERE before AND NOT after) AS removed FROM (SELECT tag, contains(text, tag) AS before, contains(lower(text), tag) AS after FROM documents, (VALUES ('the'), ('und'), ('que')) t(tag)) GROUP BY tag")
+_OLD, _NEW = (("the", "the"), ("und", "und"), ("que", "que")), (("the", "(^|[^a-z])the([^a-z]|$)"), ("und", "[Uu]nd"), ("ment", "ment"))
+
+
+@R.add("agg05_tag_diff", "SELECT tag, count(*) FILTER (WHERE after AND NOT before) AS added, count(*) FILTER (WHERE before AND NOT after) AS removed FROM (SELECT 'the' AS tag, contains(text, 'the') AS before, regexp_matches(text, '(^|[^a-z])the([^a-z]|$)') AS after FROM documents UNION ALL SELECT 'und', contains(text, 'und'), contains(text, 'und') OR contains(text, 'Und') FROM documents UNION ALL SELECT 'que', contains(text, 'que'), false FROM documents UNION ALL SELECT 'ment', false, contains(text, 'ment') FROM documents) GROUP BY tag")
 def _(spark, sf):
-    tags = ("the", "und", "que")
-    of = lambda c: F.filter(F.array(*(F.when(c.contains(t), F.lit(t)) for t in tags)), lambda x: x.isNotNull())
-    d = docs(spark, sf).select(of(F.col("text")).alias("a"), of(F.lower("text")).alias("b"))
-    e = d.select(F.explode(F.concat(F.transform(F.array_except("b", "a"), lambda x: F.struct(x.alias("tag"), F.lit(1).alias("k"))), F.transform(F.array_except("a", "b"), lambda x: F.struct(x.alias("tag"), F.lit(-1).alias("k"))))).alias("x"))
-    every = spark.sql(values("tag", *((t,) for t in tags)))
-    return every.join(e.select("x.*"), "tag", "left").groupBy("tag").agg(F.count_if(F.col("k") == 1).alias("added"), F.count_if(F.col("k") == -1).alias("removed"))
+    """Tags that chunks gain and lose when one pattern registry takes the other's place."""
+    return scoring.tag_changes(docs(spark, sf), _OLD, _NEW)
 
 
 @R.add("agg06_guarded_count", "SELECT CAST(sum(n) AS BIGINT) AS occurrences, count(*) FILTER (WHERE n > 0) AS chunks, CAST(sum(naive) AS BIGINT) AS naive FROM (SELECT len(regexp_extract_all(lower(text), '(?:^|[^a-z])(the)')) AS n, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS naive FROM documents)")
@@ -156,9 +156,9 @@ def _(spark, sf):
     return j.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count("quality").alias("judged"))
 
 
-@R.add("agg14_quiet_and_blind", "SELECT source, round(avg(CAST(toxic = 0 AS INT)), 6) AS quiet FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY source")
+@R.add("agg14_quiet_and_blind", RANKED_SQL + ", f AS (SELECT qid, min(CASE WHEN NOT gold THEN rnk END) AS wrong, min(CASE WHEN gold THEN rnk END) AS rgt FROM r GROUP BY qid) SELECT k, avg(CASE WHEN wrong IS NULL OR wrong > k THEN 1.0 ELSE 0.0 END) AS quiet, count(*) FILTER (WHERE rgt IS NULL OR rgt > 30) AS blind FROM f, (VALUES (1), (3), (5)) t(k) GROUP BY k")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id").where("toxic is not null").groupBy("source").agg(F.round(F.avg((F.col("toxic") == 0).cast("int")), 6).alias("quiet"))
+    return scoring.quiet_and_blind(ranked(spark, sf), (1, 3, 5), 30)
 
 
 @R.add("agg15_first_gold_rank", RANKED_SQL + " SELECT qid, min(CASE WHEN gold THEN rnk END) AS first_gold FROM r GROUP BY qid")
@@ -166,30 +166,41 @@ def _(spark, sf):
     return ranked(spark, sf).groupBy("qid").agg(F.min(F.when(F.col("gold"), F.col("rnk"))).cast("long").alias("first_gold"))
 
 
-FACTS = values("qid kind ref in_context hit", (1, "literal", "c1", True, True), (1, "claim", "c2", True, False), (2, "literal", None, None, False), (2, "literal", "c9", False, False), (3, "absent", "c1", True, True), (3, "literal", "TODO", None, True))
+FACT_SQL = f"""
+WITH g AS ({fx.GROUPS}), f AS (SELECT t.*, coalesce(dup_group, ref) AS place FROM ({fx.FACTS}) t LEFT JOIN g ON g.chunk_id = ref), c AS (SELECT DISTINCT qid, coalesce(dup_group, t.chunk_id) AS place FROM ({fx.CONTEXT}) t LEFT JOIN g ON g.chunk_id = t.chunk_id),
+b AS (SELECT f.qid, f.n, verified, CASE WHEN EXISTS (SELECT 1 FROM f o WHERE o.qid = f.qid AND o.text = f.text AND o.place = f.place AND o.n < f.n) THEN 'collapsed' WHEN kind <> 'literal' THEN 'unjudged' WHEN ref IS NOT NULL AND f.qid IN (SELECT qid FROM c) AND (f.qid, place) NOT IN (SELECT (qid, place) FROM c) THEN 'unachievable' WHEN contains(answer, text) THEN 'hit' ELSE 'missed' END AS bucket FROM f LEFT JOIN ({fx.REPLIES}) a ON a.qid = f.qid)
+"""
+
+
+@R.add("agg16_fact_buckets", FACT_SQL + "SELECT qid, n, bucket, bucket IN ('hit', 'missed') AND verified = 'render' AS rendered FROM b")
+def _(spark, sf):
+    b = scoring.fact_buckets(*(spark.sql(x) for x in (fx.FACTS, fx.REPLIES, fx.CONTEXT, fx.GROUPS)))
+    return b.select("qid", "n", "bucket", "rendered")
 
 
-@R.add("agg16_fact_buckets", f"SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN kind IN ('claim', 'absent') THEN 'unjudged' WHEN in_context IS NOT TRUE AND in_context IS NOT NULL AND NOT hit THEN 'unachievable' WHEN hit THEN 'hit' ELSE 'missed' END AS bucket FROM ({FACTS})) GROUP BY bucket")
+@R.add("agg16_fact_recall", FACT_SQL + "SELECT bucket, count(*) AS n, count(DISTINCT qid) AS questions FROM b GROUP BY bucket")
 def _(spark, sf):
-    b = F.when(F.col("kind").isin("claim", "absent"), "unjudged").when((F.col("in_context") == F.lit(False)) & ~F.col("hit"), "unachievable").when(F.col("hit"), "hit").otherwise("missed")
-    return spark.sql(FACTS).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    b = scoring.fact_buckets(*(spark.sql(x) for x in (fx.FACTS, fx.REPLIES, fx.CONTEXT, fx.GROUPS)))
+    return b.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("qid").alias("questions"))
 
 
-CITED = values("run qid ok achievable", ("a", 1, True, False), ("a", 2, False, False), ("a", 3, False, True), ("a", 4, None, True), ("b", 1, False, True), ("b", 3, True, True))
+CITED_SQL = f"""
+WITH c AS ({fx.CITED}), a AS (SELECT qid, ok AS base_ok, ok IS TRUE OR achievable IS TRUE AS reach FROM c WHERE run = 'a'), j AS (SELECT c.*, base_ok, reach, ok IS FALSE AND achievable IS FALSE AS lost FROM c LEFT JOIN a ON a.qid = c.qid WHERE run = 'b')
+"""
 
 
-@R.add("agg17_citation_accuracy", f"SELECT run, count(*) FILTER (WHERE ok) AS hit, count(*) FILTER (WHERE ok IS NOT NULL AND NOT (achievable IS FALSE AND NOT ok)) AS scored, count(*) FILTER (WHERE achievable IS FALSE AND NOT ok) AS unachievable FROM ({CITED}) GROUP BY run")
+@R.add("agg17_citation_accuracy", CITED_SQL + "SELECT count(*) FILTER (WHERE ok) AS hit, count(*) FILTER (WHERE ok IS NOT NULL AND NOT lost) AS scored, count(*) FILTER (WHERE lost) AS unachievable FROM j")
 def _(spark, sf):
     """A pass is proof that the citation could be had: only failures can be unachievable."""
-    lost = (F.col("achievable") == F.lit(False)) & (F.col("ok") == F.lit(False))
-    return spark.sql(CITED).groupBy("run").agg(F.count_if("ok").alias("hit"), F.count_if(F.col("ok").isNotNull() & ~F.coalesce(lost, F.lit(False))).alias("scored"), F.count_if(lost).alias("unachievable"))
+    c = spark.sql(fx.CITED)
+    return scoring.citation_accuracy(c.where("run = 'b'"), c.where("run = 'a'")).select("hit", "scored", "unachievable")
 
 
-@R.add("agg18_regressions", f"SELECT a.qid FROM ({CITED}) a JOIN ({CITED}) b ON a.qid = b.qid AND a.run = 'a' AND b.run = 'b' WHERE a.ok AND NOT b.ok")
+@R.add("agg18_regressions", CITED_SQL + "SELECT count(*) FILTER (WHERE ok IS NOT NULL AND NOT lost) + count(*) FILTER (WHERE lost AND reach) AS anchored, count(*) FILTER (WHERE ok IS FALSE AND base_ok) AS regressions FROM j")
 def _(spark, sf):
-    c = spark.sql(CITED)
-    a, b = c.where("run = 'a' and ok").select("qid"), c.where("run = 'b' and ok = false").select("qid")
-    return a.join(b, "qid")
+    """Failures that the baseline could cite count; passes of the baseline that fail now are regressions."""
+    c = spark.sql(fx.CITED)
+    return scoring.citation_accuracy(c.where("run = 'b'"), c.where("run = 'a'")).select("anchored", "regressions")
 
 
 @R.add("agg19_language_match", "SELECT count(*) AS n, count(*) FILTER (WHERE la > 0) AS latin, count(*) FILTER (WHERE bn > 0) AS bengali FROM (SELECT len(regexp_extract_all(text, '[A-Za-z]')) AS la, len(regexp_extract_all(text, '[ঀ-৿]')) AS bn FROM conversations WHERE role = 'assistant')")
@@ -277,10 +288,17 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", n.alias("links"), ((n >= 6) & (2 * n >= b)).alias("toc"))
 
 
-@R.add("agg29_figures_by_clause", "SELECT source, count(DISTINCT x) AS values, count(*) AS seen FROM (SELECT source, unnest(regexp_extract_all(text, '[0-9]+')) AS x FROM documents) GROUP BY source")
+ARMED_SQL = f"""
+WITH b AS ({fx.BANK}), p AS (SELECT clause, chunk_id, unnest(regexp_extract_all(chunk_text, '[0-9][0-9,]* (?:month|percent|taka)')) AS pair FROM b), n AS (SELECT clause, unnest(list_filter(regexp_extract_all(chunk_text, '[0-9][0-9,]*'), lambda x: NOT list_contains(list_transform(regexp_extract_all(chunk_text, '[0-9][0-9,]* (?:month|percent|taka)'), lambda y: split_part(y, ' ', 1)), x))) AS bare FROM b),
+d AS (SELECT clause, count(DISTINCT bare) AS dropped FROM n GROUP BY clause), v AS (SELECT DISTINCT clause, split_part(pair, ' ', 1) AS v FROM p), w AS (SELECT clause, string_agg(v, ';' ORDER BY CAST(v AS INT)) AS numbers FROM v GROUP BY clause)
+SELECT clause, numbers, array_to_string(list_sort(list(DISTINCT pair)), ';') AS pairs, count(DISTINCT chunk_id) AS chunks, coalesce(any_value(dropped), 0) AS dropped FROM p JOIN w USING (clause) LEFT JOIN d USING (clause) GROUP BY clause, numbers
+"""
+
+
+@R.add("agg29_armed_figures", ARMED_SQL)
 def _(spark, sf):
-    x = docs(spark, sf).select("source", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("x")).groupBy("source", "x").agg(F.count("*").alias("n"))
-    return x.groupBy("source").agg(F.count("*").alias("values"), F.sum("n").alias("seen"))
+    a = scoring.armed_figures(spark.sql(fx.BANK), "clause", "chunk_id", F.col("chunk_text"), "|".join(fx.UNITS))
+    return a.select("clause", F.array_join("numbers", ";").alias("numbers"), F.array_join("pairs", ";").alias("pairs"), F.size("provenance").cast("long").alias("chunks"), "dropped")
 
 
 @R.add("agg30_distractor_pools", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_size)), ';') AS pool FROM part GROUP BY p_brand")

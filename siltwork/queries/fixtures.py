@@ -71,3 +71,11 @@ def _pair(i: int) -> tuple:
 
 
 PAIRS = values("id bn en", *(_pair(i) for i in range(300)))
+
+_r = random.Random(21)
+_FACT = ("the fee is 5 taka", "12 month at most", "audit first", "the list is open")
+FACTS = values("qid n kind text ref verified", *((q, n, _r.choice(("literal", "literal", "claim", "absent")), _r.choice(_FACT), _r.choice((None, *(f"c{k}" for k in range(9)))), _r.choice(("render", "source"))) for q in range(80) for n in range(_r.randint(1, 5))))
+REPLIES = values("qid answer", *((q, " and ".join(_r.sample(_FACT, _r.randint(0, 3)))) for q in range(76)))
+CONTEXT = values("qid chunk_id", *((q, f"c{k}") for q in range(70) for k in _r.sample(range(9), _r.randint(1, 5))))
+GROUPS = values("chunk_id dup_group", ("c0", "g1"), ("c1", "g1"), ("c2", "g2"), ("c3", "g2"), ("c4", "g2"))
+CITED = values("run qid ok achievable", *((run, q, _r.choice((True, True, False, False, None)), _r.choice((True, False, None))) for run in "ab" for q in range(200) if _r.random() < 0.9))
