@@ -60,3 +60,27 @@ def orphan_share(lines: DataFrame, path: str, most: float = 0.02) -> DataFrame:
     """One row (lines, orphans, share, passes): body lines without any heading above them may be a share of ``most``."""
     share = F.coalesce(F.avg((F.size(path) == 0).cast("double")), F.lit(0.0))
     return lines.agg(F.count("*").alias("lines"), F.count_if(F.size(path) == 0).alias("orphans"), share.alias("share"), (share <= most).alias("passes"))
+
+
+def prose_groups(rows: DataFrame, doc: str, seq: str, path: str, size: str, target: int) -> DataFrame:
+    """Adds run and grp: rows gather while the path stays the same, and a group closes as soon as its sizes come to the target."""
+    r = runs(rows, [doc], seq, path)
+    return budget_groups(r, [doc, "run"], seq, size, target)
+
+
+def later_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Of rows with the same key the last one. Rows are combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*key, "x.*")
+
+
+def number_titles(lines: DataFrame, doc: str, seq: str, text: str, bare: str) -> DataFrame:
+    """(doc, seq, number, title): lines that are a number alone, with the line after them as their title."""
+    w = Window.partitionBy(doc).orderBy(seq)
+    return lines.withColumn("title", F.lead(text).over(w)).where(F.col(text).rlike(bare)).select(doc, seq, F.col(text).alias("number"), "title")
+
+
+def heading_levels(rows: DataFrame, key: list[str], size: str, keyword: Column, deepest: int = 4) -> DataFrame:
+    """Adds level: the rank of the size among the key's distinct sizes, at most ``deepest``; a keyword takes a heading up by one."""
+    tier = F.least(F.dense_rank().over(Window.partitionBy(*key).orderBy(F.desc(size))), F.lit(deepest))
+    return rows.withColumn("level", F.greatest(F.lit(1), tier - F.when(keyword, 1).otherwise(0)))

@@ -44,6 +44,16 @@ def _(spark, sf):
     return structure.budget_groups(c, ["conv_id"], "turn", "n", 900)
 
 
+_RUNS = "(SELECT l_orderkey * 100 + sum(c) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k0, l_linenumber, l_quantity FROM (SELECT *, CASE WHEN l_returnflag <> lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) THEN 1 ELSE 0 END AS c FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)))"
+
+
+@R.add("win02_flush_on_change", FOLD_SQL.format(key="k0", seq="l_linenumber", size="CAST(l_quantity AS BIGINT)", table=_RUNS, target=60) + "SELECT CAST(k // 100 AS BIGINT) AS l_orderkey, CAST(k % 100 AS BIGINT) AS run, CAST(s AS BIGINT) AS l_linenumber, CAST(g AS INT) AS grp FROM f")
+def _(spark, sf):
+    """Lines gather while the flag stays the same, to 60 at most."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_quantity").cast("long").alias("q"))
+    return structure.prose_groups(rows, "l_orderkey", "l_linenumber", "l_returnflag", "q", 60)
+
+
 @R.add("win03_budget_groups", FOLD_SQL.format(key="l_orderkey", seq="l_linenumber", size="CAST(l_quantity AS BIGINT)", table="lineitem", target=60) + "SELECT k AS l_orderkey, CAST(s AS BIGINT) AS l_linenumber, CAST(g AS INT) AS grp FROM f")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
@@ -66,9 +76,9 @@ def _(spark, sf):
     return dedup.collapse(ranked(spark, sf).join(e, "id"), ["qid"], 5).select("qid", "rnk", "id")
 
 
-@R.add("win05_later_wins", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
+@R.add("win05_later_wins", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    return structure.later_wins(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
 HEADS = values("ord page size", (1, 1, 20.0), (1, 9, 22.0), (2, 3, 18.0), (2, 2, 18.0), (3, 10, 19.0), (4, 14, 21.0))
@@ -94,16 +104,16 @@ def _(spark, sf):
     return c.join(p, "parent", "left").select("id", (F.col("lvl") + F.coalesce("known", F.lit(0))).alias("lvl"))
 
 
-@R.add("win08_bare_number_lead", "SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations")
+@R.add("win08_bare_number_lead", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS seq FROM documents), t AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS title FROM l) SELECT doc_id, seq, line AS number, title FROM t WHERE regexp_matches(line, '^[^ ]{1,8}$')")
 def _(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.lead("role").over(w).alias("next_role"))
+    """Lines of one short word stand for the numbers; the line after is the title."""
+    l = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))  # noqa: E741
+    return structure.number_titles(l, "doc_id", "seq", "line", "^[^ ]{1,8}$").withColumn("seq", F.col("seq").cast("long"))
 
 
-@R.add("win09_font_tiers", "SELECT DISTINCT p_type, p_size, CAST(least(dense_rank() OVER (PARTITION BY p_type ORDER BY p_size DESC), 4) AS INT) AS tier FROM part")
+@R.add("win09_font_tiers", "SELECT p_partkey, CAST(greatest(1, least(dense_rank() OVER (PARTITION BY p_type ORDER BY p_size DESC), 4) - CASE WHEN contains(p_name, 'a') THEN 1 ELSE 0 END) AS INT) AS level FROM part")
 def _(spark, sf):
-    s = table(spark, sf, "part").select("p_type", "p_size").distinct()
-    return s.withColumn("tier", F.least(F.dense_rank().over(Window.partitionBy("p_type").orderBy(F.desc("p_size"))), F.lit(4)))
+    return structure.heading_levels(table(spark, sf, "part"), ["p_type"], "p_size", F.col("p_name").contains("a")).select("p_partkey", F.col("level").cast("int").alias("level"))
 
 
 @R.add("win10_resets", "SELECT event_id, coalesce(value <= lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS reset FROM events")
