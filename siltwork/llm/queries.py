@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import OP9_SQL, exact_dedup
+from .hard_negatives import hard_negatives, OP13_SQL
 from .html_extraction import extract_text
+from .language_id import language_id
 from .line_dedup import OP3_SQL, drop_boilerplate
 from .lm_scoring import lm_scores
+from .merkle_manifest import merkle_manifest, OP11_SQL
 from .minhash_dedup import near_components
 from .packing import best_fit_packing
 from .secrets import secret_scan
@@ -64,6 +67,18 @@ def op10_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc_revisits": op2_warc_revisits,
@@ -75,9 +90,14 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {
     "op2_warc_revisits": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
