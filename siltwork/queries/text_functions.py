@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,28 @@ def _(spark, sf):
     return _bn(spark, out=T.nfc("s"))
 
 
+@R.add("str04_nfc_documents", "SELECT doc_id, md5(nfc_normalize(coalesce(text, ''))) AS out FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.nfc("text").cast("binary")).alias("out"))
+
+
+#: Letters with one accent, and the same taken apart with a second accent that belongs before the first.
+APART = {chr(c): unicodedata.normalize("NFD", chr(c)) + "\u0323" for c in range(0xC0, 0x100) if unicodedata.decomposition(chr(c))}
+
+
+def _nested(sql: str, pairs: dict[str, str]) -> str:
+    for a, b in pairs.items():
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+@R.add("str04_nfc_apart", f"SELECT doc_id, md5(nfc_normalize(apart)) AS out, nfc_normalize(apart) <> apart AS changed FROM (SELECT doc_id, {_nested('text', APART)} AS apart FROM documents)")
+def _(spark, sf):
+    """Every accent taken apart and out of order: composition orders the marks and takes up what it can."""
+    apart = table(spark, sf, "documents").select("doc_id", F.expr(_nested("text", APART)).alias("apart")).withColumn("whole", T.nfc("apart"))
+    return apart.select("doc_id", F.md5(F.col("whole").cast("binary")).alias("out"), (F.col("whole") != F.col("apart")).alias("changed"))
+
+
 @R.add("str05_canon", f"SELECT id, {CANON} AS out FROM ({BN})")
 def _(spark, sf):
     return _bn(spark, out=T.canon("s"))
