@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from ..functions import sequences as Q
 from ..functions import text as T
 from .base import Registry, table, values
 
@@ -298,6 +299,60 @@ def _(spark, sf):
     return b.join(n, "item_id").where(~F.concat("text", "other").rlike("[^ -~\n]")).select("item_id", F.round(1 - F.levenshtein("text", "other") / F.greatest(F.length("text"), F.length("other")), 6).alias("ratio"))
 
 
+NEIGHBOURS = "SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
+
+
+def neighbours(spark, sf):
+    """Each item with the next one."""
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.col("text").alias("x")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("y")), "item_id")
+
+
+# a row of the table of common subsequences at a time: the greatest so far of what the row above has, one more where characters agree
+LCS_SQL = f"""WITH RECURSIVE p AS ({NEIGHBOURS}), cells AS (
+  SELECT item_id, 0 AS i, unnest(range(0, length(y) + 1)) AS j, 0 AS v FROM p
+  UNION ALL SELECT item_id, i, j, max(v) OVER (PARTITION BY item_id ORDER BY j) FROM (
+    SELECT c.item_id, c.i + 1 AS i, c.j, CASE WHEN c.j > 0 AND substr(p.x, c.i::INT + 1, 1) = substr(p.y, c.j::INT, 1) THEN lag(c.v) OVER (PARTITION BY c.item_id ORDER BY c.j) + 1 ELSE c.v END AS v
+    FROM cells c JOIN p USING (item_id) WHERE c.i < length(p.x)))
+SELECT item_id, max(v)::INTEGER AS lcs, round(2.0 * max(v) / (any_value(length(x)) + any_value(length(y))), 6) AS ratio FROM cells JOIN p USING (item_id) GROUP BY item_id"""
+
+
+@R.add("str26_subsequence_ratio", LCS_SQL)
+def _(spark, sf):
+    """Characters in common, in order, of each item and the next."""
+    return neighbours(spark, sf).select("item_id", Q.lcs_length(F.col("x"), F.col("y")).alias("lcs"), F.round(Q.subsequence_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+# runs of equal characters along each diagonal; then, range by range, the longest one that fits, first in x, then in y
+BLOCKS_SQL = """, same AS (SELECT id, i, j, i - row_number() OVER (PARTITION BY id, j - i ORDER BY i) AS island
+    FROM (SELECT id, x, y, unnest(range(0, length(x))) AS i FROM p) a JOIN (SELECT id AS of, unnest(range(0, length(y))) AS j, string_split(y, '') AS ys FROM p) b ON a.id = b.of AND substr(a.x, a.i::INT + 1, 1) = b.ys[b.j + 1]),
+runs AS (SELECT id, i, j, max(i) OVER (PARTITION BY id, j - i, island) + 1 - i AS n FROM same),
+ranges AS (
+  SELECT id, 0::BIGINT AS alo, length(x) AS ahi, 0::BIGINT AS blo, length(y) AS bhi, false AS block FROM p
+  UNION ALL SELECT id, u.alo, u.ahi, u.blo, u.bhi, u.block FROM (
+    SELECT id, unnest([{'alo': alo, 'ahi': -k.i, 'blo': blo, 'bhi': -k.j, 'block': false}, {'alo': k.n - k.i, 'ahi': ahi, 'blo': k.n - k.j, 'bhi': bhi, 'block': false}, {'alo': -k.i, 'ahi': k.n - k.i, 'blo': -k.j, 'bhi': k.n - k.j, 'block': true}]) AS u FROM (
+      SELECT r.id, r.alo, r.ahi, r.blo, r.bhi, max({'n': least(m.n, r.ahi - m.i, r.bhi - m.j), 'i': -m.i, 'j': -m.j}) AS k
+      FROM ranges r JOIN runs m ON m.id = r.id AND m.i >= r.alo AND m.i < r.ahi AND m.j >= r.blo AND m.j < r.bhi WHERE NOT r.block GROUP BY ALL)))"""
+
+
+@R.add("str26_block_ratio", f"WITH RECURSIVE p AS (SELECT item_id AS id, x, y FROM ({NEIGHBOURS})){BLOCKS_SQL} SELECT id AS item_id, count(*) FILTER (block)::INTEGER AS blocks, round(2.0 * coalesce(sum(ahi - alo) FILTER (block), 0) / any_value(t.total), 6) AS ratio FROM ranges JOIN (SELECT id, length(x) + length(y) AS total FROM p) t USING (id) GROUP BY id")
+def _(spark, sf):
+    """Matching blocks of each item and the next."""
+    found = neighbours(spark, sf).withColumn("m", Q.matching_blocks(F.col("x"), F.col("y")))
+    total = F.length("x") + F.length("y")
+    return found.select("item_id", F.size("m").alias("blocks"), F.round(2.0 * F.aggregate("m", F.lit(0), lambda s, x: s + x["n"]) / total, 6).alias("ratio"))
+
+
+SENTENCES = "list_filter(string_split(y, '. '), lambda t: trim(t) <> '')"
+
+
+@R.add("str26_closest_sentence", f"WITH RECURSIVE l AS (SELECT item_id, substr(x, 1, 60) AS y, unnest({SENTENCES}) AS x FROM ({NEIGHBOURS})), p AS (SELECT row_number() OVER () AS id, * FROM l){BLOCKS_SQL}, r AS (SELECT p.id, p.item_id, p.x AS line, 2.0 * coalesce(sum(ahi - alo) FILTER (block), 0) / any_value(length(p.x) + length(p.y)) AS ratio FROM ranges JOIN p USING (id) GROUP BY ALL), k AS (SELECT item_id, max({{'ratio': ratio, 'line': line}}) AS k FROM r WHERE ratio >= 0.3 GROUP BY item_id) SELECT item_id, round(k.ratio, 6) AS ratio, k.line AS line FROM benchmark a LEFT JOIN k USING (item_id) WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = a.item_id + 1)")
+def _(spark, sf):
+    """The sentence of the next item that is most like an item's beginning, if one comes close."""
+    k = neighbours(spark, sf).select("item_id", Q.closest(F.substring("x", 1, 60), F.split("y", "\\. ")).alias("k"))
+    return k.select("item_id", F.round("k.ratio", 6).alias("ratio"), "k.line")
+
+
 @R.add("str27_strip_markdown", "SELECT * FROM (VALUES (1, 'Title' || chr(10) || 'one two' || chr(10) || 'item'), (2, 'a b')) t(id, out)")
 def _(spark, sf):
     return spark.sql(values("id s", (1, "## Title\n**one** _two_\n- item"), (2, "| a | b |\n|---|---|"))).select("id", T.strip_markdown("s").alias("out"))
