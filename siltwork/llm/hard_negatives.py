@@ -176,8 +176,8 @@ def _negatives(block: tuple):
         ids, labels, vectors, top = block.value
         # LOW * p <= 100 * n <= HIGH * p, in whole numbers; no such n where p is below zero or missing
         none = (top == NONE) | (top < 0)
-        p = np.where(none, 0, top)
-        low, high = np.where(none, 1, -(-LOW * p // 100)), np.where(none, 0, HIGH * p // 100)
+        whole_part, rest = np.divmod(np.where(none, 0, top), 100)  # by parts: LOW * p need not fit a long
+        low, high = np.where(none, 1, LOW * whole_part - (-LOW * rest // 100)), np.where(none, 0, HIGH * whole_part + HIGH * rest // 100)
         best = Best(low, high, NEGATIVES)
         for cid, clabel, cvec in unpack(batches):
             by = np.argsort(cid, kind="stable")
