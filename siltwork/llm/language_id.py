@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, lean, mix64, small_batches, steps, U64
+from .common import _powers, buffers, cut, lean, mix64, small_batches, steps, U64
 
 #: Lengths of the n-grams over a word's letters with a mark on either side.
 ORDERS = (1, 2, 3, 4, 5)
@@ -22,7 +22,7 @@ SLOTS, PLACES = 1 << 21, 3
 #: Languages that one broadcast filter tells apart; more than these are an error, since a mask would have no bound.
 LANGUAGES = 1024
 UNKNOWN = "und"
-_STEP = 1 << 18
+_STEP = 1 << 20
 _SALT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _TABLES: list[np.ndarray] = []
 
@@ -58,10 +58,10 @@ class Words:
         self.start = np.flatnonzero(inside & (~prev | edge[:-1])) if n else np.zeros(0, np.int64)
         self.end = np.flatnonzero(inside & (~nxt | edge[1:])) + 1 if n else np.zeros(0, np.int64)
         self.row = np.searchsorted(at, self.start, side="right") - 1
-        powers = np.multiply.accumulate(np.full(max(n, 1), 0x9E3779B97F4A7C15, U64))[:n] if n else np.zeros(0, U64)
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum((self.points.astype(U64) + U64(1)) * powers)))
-        inverse = np.multiply.accumulate(np.full(max(n, 1), pow(0x9E3779B97F4A7C15, -1, 1 << 64), U64))
-        self.key = mix64((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64)) if len(self.start) else np.zeros(0, U64)
+        up, down = _powers(n + 1)
+        sums = np.zeros(n + 1, U64)
+        np.cumsum((self.points.astype(U64) + U64(1)) * up[:n], out=sums[1:])
+        self.key = mix64((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
 
     def letters(self, k: int) -> str:
         return self.points[self.start[k] : self.end[k]].tobytes().decode("utf-32-le")
@@ -192,7 +192,8 @@ def learn(texts: DataFrame) -> Filters:
     some = totals.select("lang").distinct().limit(LANGUAGES + 1).count()
     if some > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    kept = counted.join(totals, ["lang", "size"]).where(F.col("count") >= RATE * F.col("total")).select("lang", "gram")
+    # totals: LANGUAGES * len(ORDERS) rows at most
+    kept = counted.join(F.broadcast(totals), ["lang", "size"]).where(F.col("count") >= RATE * F.col("total")).select("lang", "gram")
     found = kept.groupBy("lang").applyInPandas(_filter, "lang string, bits binary").collect()
     return Filters(sorted((r.lang, bytes(r.bits)) for r in found))
 
