@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, joins, quiz, rules, structure
+from ..operators import alignment, dedup, joins, quiz, rules, structure
 from ..sources import sinks
 from . import fixtures as fx
 from .base import Registry, table, values
@@ -329,6 +329,35 @@ def _(spark, sf):
     return joins.align_lines(ref, hyp, 0.72)
 
 
+# every letter outside ASCII that these tables hold as a control character, since SQL's distance counts bytes
+_LETTERS = "óéèñüöäßêíçÉÈÑÊÇÄÖÜÓÍ"
+_AS_BYTES = f"translate({{0}}, '{_LETTERS}', concat(" + ", ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 14 + len(_LETTERS) - 8)]) + "))"
+_LINES = "SELECT doc_id AS page, unnest(range(0, len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM documents"
+_DAMAGE = "CASE k % 4 WHEN 0 THEN replace(line, 'en', 'n') WHEN 1 THEN substr(line, 6) WHEN 2 THEN line ELSE replace(replace(line, 'a', 'o'), ', ', ' ') END"
+JN16_SQL = f"""WITH RECURSIVE l AS ({_LINES}), a AS (SELECT * FROM l WHERE length(line) >= 20), b AS (SELECT page, k + 1 - 2 * (k % 2) AS k, {_DAMAGE} AS line FROM l WHERE length({_DAMAGE}) >= 20),
+pairs AS (
+  SELECT a.page, a.k AS ref, b.k AS hyp, greatest(length(a.line), length(b.line)) AS n, CASE WHEN a.line = b.line THEN 0 ELSE levenshtein({_AS_BYTES.format("a.line")}, {_AS_BYTES.format("b.line")}) END AS d
+  FROM a JOIN b ON a.page = b.page AND abs(length(a.line) - length(b.line)) <= 0.28 * greatest(length(a.line), length(b.line))),
+alike AS (SELECT page, ref, hyp, round(1 - d / n, 9) AS ratio FROM pairs WHERE 1 - d / n >= 0.72 - 1e-12),
+turns AS (SELECT page, ref, row_number() OVER (PARTITION BY page ORDER BY ref) AS i FROM (SELECT DISTINCT page, ref FROM alike)),
+walk AS (
+  SELECT page, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS ref, NULL::STRUCT(ratio DOUBLE, hyp BIGINT) AS m FROM (SELECT DISTINCT page FROM turns)
+  UNION ALL SELECT page, i, CASE WHEN m IS NULL THEN used ELSE used || [-m.hyp] END, ref, m FROM (
+    SELECT w.page, t.i, t.ref, w.used, max({{'ratio': c.ratio, 'hyp': -c.hyp}}) FILTER (NOT list_contains(w.used, c.hyp)) AS m
+    FROM walk w JOIN turns t ON t.page = w.page AND t.i = w.i + 1 JOIN alike c ON c.page = t.page AND c.ref = t.ref GROUP BY ALL))
+SELECT page, ref, -m.hyp AS hyp, m.ratio AS ratio FROM walk WHERE m IS NOT NULL"""
+
+
+@R.add("jn16_alignment_in_order", JN16_SQL)
+def _(spark, sf):
+    """Lines of every document against a damaged copy in another order."""
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("k", F.col("k").cast("long"))
+    k, line = F.col("k"), F.col("line")
+    damage = F.when(k % 4 == 0, F.replace(line, F.lit("en"), F.lit("n"))).when(k % 4 == 1, F.substring(line, F.lit(6), F.length(line))).when(k % 4 == 2, line)
+    damage = damage.otherwise(F.replace(F.replace(line, F.lit("a"), F.lit("o")), F.lit(", "), F.lit(" ")))
+    return alignment.align_in_order(lines, lines.select("page", (k + 1 - 2 * (k % 2)).alias("k"), damage.alias("line")))
+
+
 @R.add("jn17_reconcile", "SELECT CAST(p_partkey AS BIGINT) AS id, 'unused' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT DISTINCT l_partkey, 'unlisted' FROM lineitem WHERE l_quantity > 45 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
 def _(spark, sf):
     used = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, retrieval, structure
+from ..operators import conflicts, dedup, retrieval, structure
 from .aggregates import INDEX, RANKED_SQL, ranked
 from .base import Registry, table, values
 
@@ -142,6 +142,37 @@ def _(spark, sf):
     return xs.select(F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("ord"))
 
 
+BANK_SQL = """WITH RECURSIVE bank AS (
+  SELECT conv_id * 1000 + turn AS ord, row_number() OVER (ORDER BY conv_id, turn) AS i, role || '/' || {a} AS a, role || '/' || {b} AS b, CASE WHEN length(text) > 100 THEN length(text) END AS g FROM conversations),
+walk AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, map([]::VARCHAR[], []::BIGINT[]) AS seen, NULL::BIGINT AS by, NULL::VARCHAR AS why
+  UNION ALL SELECT k.i, k.ord, CASE WHEN w.seen[k.a] IS NULL AND w.seen[k.b] IS NULL THEN map_concat(w.seen, map_from_entries(list_distinct([(k.a, k.ord), (k.b, k.ord)]))) ELSE w.seen END,
+    coalesce(w.seen[k.a], w.seen[k.b]), CASE WHEN w.seen[k.a] IS NOT NULL THEN 'wording' WHEN w.seen[k.b] IS NOT NULL THEN 'evidence' END
+  FROM walk w JOIN bank k ON k.i = w.i + 1),
+heads AS (SELECT g, min(ord) AS head FROM bank WHERE g IS NOT NULL GROUP BY g)
+SELECT k.ord, CASE WHEN h.head <> k.ord THEN h.head ELSE w.by END AS by, CASE WHEN h.head <> k.ord THEN 'group' ELSE w.why END AS reason
+FROM bank k JOIN walk w USING (i) LEFT JOIN heads h USING (g) WHERE w.by IS NOT NULL OR h.head <> k.ord"""
+
+
+@R.add("win12_bank_drops", BANK_SQL.format(a="split_part(text, ' ', 1)", b="split_part(text, ' ', -1)"))
+def _(spark, sf):
+    """Turns as a bank in order: the role is the answer, the first word the wording, the last word the evidence, equal lengths a group."""
+    bank = table(spark, sf, "conversations").withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    return conflicts.bank_drops(bank, "ord", F.concat("role", F.lit("/")), F.substring_index("text", " ", 1), F.substring_index("text", " ", -1), F.when(F.length("text") > 100, F.length("text")))
+
+
+@R.add("win12_first_independent", """WITH RECURSIVE bank AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, [split_part(text, ' ', 1) || '|' || n_chars // 100, 'end' || text[-4:], source || n_chars % 13] AS keys FROM documents),
+walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, map([]::VARCHAR[], []::BOOLEAN[]) AS seen, false AS kept
+  UNION ALL SELECT k.i, k.doc_id, CASE WHEN coalesce(w.seen[k.keys[1]], w.seen[k.keys[2]], w.seen[k.keys[3]], false) THEN w.seen ELSE map_concat(w.seen, map_from_entries([(k.keys[1], true), (k.keys[2], true), (k.keys[3], true)])) END,
+    NOT coalesce(w.seen[k.keys[1]], w.seen[k.keys[2]], w.seen[k.keys[3]], false) FROM walk w JOIN bank k ON k.i = w.i + 1)
+SELECT doc_id, kept FROM walk WHERE i > 0""")
+def _(spark, sf):
+    """Documents with three keys each, long chains of one row waiting for another among them."""
+    keys = [F.concat(F.substring_index("text", " ", 1), F.lit("|"), F.expr("n_chars div 100")), F.concat(F.lit("end"), F.expr("right(text, 4)")), F.concat("source", F.col("n_chars") % 13)]
+    return conflicts.first_independent(table(spark, sf, "documents"), "doc_id", keys).select("doc_id", "kept")
+
+
 RIVALS = values("id clause unit val words", (1, "2.1", "m", "3", "loan;term"), (2, "2.1", "m", "6", "loan;term"), (3, "2.1", "m", "9", "loan;grace"), (4, "3.1", "m", "3", "fee"))
 
 
