@@ -18,7 +18,8 @@ _QUICK = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: Candidates of the battery: runs of characters that encodings use, first without the names or path before them, then whole,
 #: then their parts between signs that separate as well as encode. Of those that overlap, the first that is random is reported.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-NAMES = r"^(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]?[=/_-]+)+"
+#: The repetition is possessive: nothing follows it, and the JVM matches any other repetition of a group by recursion.
+NAMES = r"^(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]?[=/_-]+)++"
 PARTS = (r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+_=-]{20,}", r"[A-Za-z0-9+/=]{20,}", r"[A-Za-z0-9]{20,}")
 #: Share of false discoveries among added spans; the least probability that each random string is passed over with.
 FDR, ALPHA = 0.01, 0.001
@@ -30,32 +31,63 @@ LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (817, 149, 278, 425, 1270, 223,
 CAPITAL, DIGIT, SIGN = 0.04, 0.002, 0.004
 
 
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+VALUES = "array<struct<start:bigint,end:bigint,val:string>>"
+
+
 def _text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Items of a piece of a long fold.
+PIECE = 256
+
+
+def _scan(items: Column, edge: Column, moved, kept, kind: str) -> Column:
+    """What ``kept(edge, item)`` (an array) gives for each item, the edge going on by ``moved(edge, item)``.
+
+    The fold goes piece by piece: a single one would copy all it has found at every item.
+    """
+    none = F.array().cast(kind)
+
+    def fold(part: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(moved(acc["edge"], x).alias("edge"), F.concat(acc["out"], kept(acc["edge"], x)).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("edge"), none.alias("out")), step)
+
+    def pieces(all_: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.floor((F.size(all_) - 1) / PIECE).cast("int"), F.lit(0)))
+        start = F.struct(edge.alias("edge"), F.array().cast(f"array<{kind}>").alias("outs"))
+        one = lambda acc, k: _bound(fold(F.slice(all_, k * PIECE + 1, F.lit(PIECE)), acc["edge"]), lambda r: F.struct(r["edge"].alias("edge"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+        return F.aggregate(at, start, one, lambda acc: F.flatten(acc["outs"]))
+
+    return _bound(items, pieces)
+
+
 def _walk(hits: Column, gaps: Column, value: Column, keep) -> Column:
     """Structs (start, end, value) of the matches kept: a match begins where all gaps and matches before it end."""
     triples = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), value.alias("val"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,val:string>>").alias("out"))
+    length = lambda x: F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit("")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(F.coalesce(x["hit"], F.lit("")))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["val"].alias("val")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & keep(x["val"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def kept(at: Column, x: Column) -> Column:
+        one = F.array(F.struct((at + F.length(x["gap"])).alias("start"), (at + length(x)).alias("end"), x["val"].alias("val")))
+        return F.when(x["hit"].isNotNull() & keep(x["val"]), one).otherwise(F.array().cast(VALUES))
 
-    return F.aggregate(triples, start, step)["out"]
+    return _scan(triples, F.lit(0).cast("long"), lambda at, x: at + length(x), kept, VALUES)
 
 
 def _matches(t: str, pattern: str, group: int, least: int) -> Column:
-    text, none = F.col(t), F.array().cast("array<struct<start:bigint,end:bigint,val:string>>")
+    text, none = F.col(t), F.array().cast(VALUES)
     hits, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     return F.when(text.rlike(pattern), _walk(hits, F.split(text, pattern, -1), value, lambda v: F.length(v) >= least)).otherwise(none)
 
 
 def _candidates(runs: Column) -> Column:
-    """Structs (start, end, value) of the runs and their parts, in the order in which they are reported."""
+    """For each run structs (start, end, value) of itself and its parts, in the order in which they are reported. Runs don't overlap."""
 
     def of(run: Column) -> Column:
         val, moved = run["val"], lambda at: lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["val"].alias("val"))
@@ -67,7 +99,7 @@ def _candidates(runs: Column) -> Column:
             parts.append(F.transform(_walk(hits, F.split(val, p, -1), hits, lambda v: F.lit(True)), moved(run["start"])))
         return F.concat(F.filter(F.array(rest, run), lambda x: F.length(x["val"]) >= 20), *parts)
 
-    return F.array_distinct(F.flatten(F.transform(runs, of)))
+    return F.transform(runs, lambda run: F.array_distinct(of(run)))
 
 
 def _phi(z: Column) -> Column:
@@ -113,8 +145,9 @@ def _battery(span: Column) -> Column:
         return F.aggregate(base["chars"], state, step)
 
     chars = F.filter(F.split(s, ""), lambda c: c != "")
-    base = F.struct(chars.alias("chars"), alphabet.alias("alphabet"))
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), s.alias("val"), n.alias("n"), base.alias("base"), fit(base).alias("w"))
+    # bound once: named in the fold, the alphabet would be looked for anew at every character
+    base = F.array(F.struct(chars.alias("chars"), alphabet.alias("alphabet")))
+    return F.element_at(F.transform(base, lambda b: F.struct(span["start"].alias("start"), span["end"].alias("end"), s.alias("val"), n.alias("n"), b.alias("base"), fit(b).alias("w"))), 1)
 
 
 def _ln(v: float) -> float:
@@ -144,11 +177,30 @@ def _verdict(c: Column) -> Column:
     return F.struct(c["start"].alias("start"), c["end"].alias("end"), (even - w["text"]).alias("evidence"), ((F.least(F.least(p_chi, F.lit(1.0)), p_runs, p_serial) >= ALPHA / 3) & ~decimal).alias("random"))
 
 
+def _apart(base: str, new: str, rank: int) -> Column:
+    """Spans of ``new`` that meet none of ``base``: two passes over both in order of place, never span by span.
+
+    On the way up a span meets a base span that begins at or before it if the furthest end so far lies beyond its start; on
+    the way down it meets one that begins after it if the nearest start so far lies before its end.
+    """
+    both, far = F.array_sort(F.concat(base, new)), F.lit(1 << 62).cast("long")
+    old = lambda x: x["rank"] < rank
+
+    def sweep(spans: Column, start: Column, edge, clear) -> Column:
+        kept = lambda e, x: F.when(old(x) | clear(e, x), F.array(x)).otherwise(F.array().cast(SPANS))
+        return _scan(spans, start, lambda e, x: F.when(old(x), edge(e, x)).otherwise(e), kept, SPANS)
+
+    up = sweep(both, F.lit(-1).cast("long"), lambda e, x: F.greatest(e, x["end"]), lambda e, x: e <= x["start"])
+    down = sweep(F.reverse(up), far, lambda e, x: F.least(e, x["start"]), lambda e, x: e >= x["end"])
+    return F.filter(F.reverse(down), lambda x: ~old(x))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, assign, access, hex, tried) with the spans of each kind and the verdicts of the battery's candidates."""
+    """(doc_id, assign, access, hex, tried) with the spans of each kind and, for each run, the verdicts of the battery's candidates."""
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text(F.col(text_col)).alias("t"))
     found = t.select("doc_id", *(_matches("t", _QUICK.get(k, p), g, n).alias(k) for k, p, g, n in KINDS), _matches("t", CANDIDATE, 0, 0).alias("runs"))
-    tried = found.withColumn("sums", F.transform(_candidates(F.col("runs")), _battery)).withColumn("tried", F.transform("sums", _verdict))
+    each = lambda c, f: F.transform(c, lambda run: F.transform(run, f))
+    tried = found.withColumn("sums", each(_candidates(F.col("runs")), _battery)).withColumn("tried", each("sums", _verdict))
     return tried.select("doc_id", "assign", "access", "hex", "tried")
 
 
@@ -157,7 +209,7 @@ def discovery_bound(tried: DataFrame, rate: float = FDR) -> float:
 
     Only counts by bins of evidence leave the executors: at most BINS rows whatever the input.
     """
-    e = tried.select(F.explode("tried").alias("x")).select("x.*")
+    e = tried.select(F.explode(F.flatten("tried")).alias("x")).select("x.*")
     bins = e.groupBy(F.least(F.greatest(F.floor(F.col("evidence") * 4), F.lit(-1)), F.lit(BINS)).cast("int").alias("b")).agg(F.count("*").alias("n"), F.count_if("random").alias("r")).collect()
     total, above, bound = sum(x.n for x in bins), 0, float("inf")
     for x in sorted(bins, key=lambda x: -x.b):
@@ -179,10 +231,11 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [k for k, *_ in KINDS]
     rank = lambda k, name, c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), F.lit(name).alias("kind")))
     base = F.array_sort(F.concat(*(rank(k, name, F.col(name)) for k, name in enumerate(kinds))))
-    new = rank(len(kinds), "random", F.filter("tried", lambda x: x["random"] & (x["evidence"] >= bound)))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    first = F.aggregate(new, none, lambda acc, x: F.when(F.exists(acc, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    alone = F.filter(first, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    none = F.array().cast(SPANS)
+    meets = lambda x: lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    # of a run's random candidates that overlap the first counts; a run has as many as its parts
+    first = lambda run: F.aggregate(rank(len(kinds), "random", F.filter(run, lambda x: x["random"] & (x["evidence"] >= bound))), none, lambda acc, x: F.when(F.exists(acc, meets(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    new = F.flatten(F.transform("tried", first))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    out = own.withColumn("base", base).withColumn("alone", alone)
+    out = own.withColumn("base", base).withColumn("new", new).withColumn("alone", _apart("base", "new", len(kinds)))
     return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(said("base"), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", "alone"))).alias("spans"), F.size("alone").cast("long").alias("n_random"))

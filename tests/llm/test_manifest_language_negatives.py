@@ -195,7 +195,7 @@ def test_negatives_against_plain_search(spark, seed):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as at", "2 as part", "'x' as ids")
     want = plain_negatives(rows)
     assert want and sorted(map(tuple, H.hard_negatives(df).collect())) == want
-    assert sorted(map(tuple, H.hard_negatives(df, block=2).collect())) == want
+    assert sorted(map(tuple, H.hard_negatives(df, block=40).collect())) == want
 
 
 def test_negatives_of_large_components_are_exact(spark):

@@ -106,6 +106,34 @@ def test_secrets_tricky_cases(spark):
     assert S.secret_scan(fx.no_docs(spark)).count() == 0
 
 
+def test_secrets_of_long_runs_and_many_spans(spark):
+    """A run of any length overflows nothing, and the work doesn't grow with the square of a text's spans."""
+    rng = random.Random(5)
+    rows = [(1, "ab-" * 300_000 + "x"), (2, "1," * 300_000), (3, "a" * 400_000), (4, " ".join(f"{rng.getrandbits(128):032x}" for _ in range(6000))), (5, "password=" + "ab/" * 100_000), (6, "token: abcdef12 " * 8000)]
+    got = {r.doc_id: r for r in S.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        n, sha, _ = brute_secrets(t)
+        assert ([got[i].n_assign, got[i].n_access, got[i].n_hex], got[i].base_sha256) == (n, sha), i
+
+
+def test_added_spans_meet_no_base_span(spark):
+    """Against a plain look at every pair of spans."""
+    rng, signs = random.Random(12), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(["token=", "secret: ", "", "AKIA", "key "]) + "".join(rng.choice(rng.choice([signs, "0123456789abcdef", signs[:26]])) for _ in range(rng.choice((22, 30, 44)))) for _ in range(rng.randrange(1, 5))]
+        rows.append((i, " and ".join(parts)))
+    got = {r.doc_id: r for r in S.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = 0
+    for i, t in rows:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in filter(None, got[i].spans.split(",")))]
+        base, new = [x for x in spans if x[0] != "random"], [x for x in spans if x[0] == "random"]
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in base) == brute_secrets(t)[2]
+        assert not any(a < y[2] and y[1] < b for n, (_, a, b) in enumerate(new) for y in base + new[:n])
+        added += len(new)
+    assert added > 40
+
+
 def test_battery_finds_random_strings_and_leaves_words(spark):
     rng = random.Random(7)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
