@@ -13,6 +13,8 @@ from .rules import fingerprint, reasons
 #: Fixed value: a distractor is at most so many times the answer, or the answer so many times it.
 MAX_RATIO = 10
 _DIGITS = "[0-9০-৯]"
+# Signs between the ends of a range, and characters on either side of a figure that they are looked for in.
+BESIDE = 14
 RANGE = "-|–|—|থেকে|হতে|পর্যন্ত| to "
 
 
@@ -26,12 +28,21 @@ def unit_of(span: Column) -> Column:
     return F.trim(F.regexp_replace(span, f"^{_DIGITS}[0-9০-৯,.]*", ""))
 
 
-def range_end(span: Column, segment: Column) -> Column:
-    """Whether the first use of the figure in the segment is one end of a range: a sign of a range and another number beside it."""
-    at = F.instr(segment, span)
-    before, after = F.substring(segment, F.greatest(at - 14, F.lit(1)), F.least(at - 1, F.lit(14))), F.substring(segment, at + F.length(span), F.lit(14))
-    side = lambda s: s.rlike(RANGE) & s.rlike(_DIGITS)
-    return (at > 0) & (side(before) | side(after))
+def range_end(span: Column, segment: Column, units: str = T.UNITS) -> Column:
+    """Whether some use of the figure in the segment is one end of a range.
+
+    A sign of a range stands beside it, and with it after the figure a number with its unit, or before the figure any
+    number. All places of the figure count, overlapping ones too; an empty figure has none.
+    """
+    n = F.length(span)
+    places = F.sequence(F.lit(1), F.greatest(F.length(segment) - n + 1, F.lit(1)))
+
+    def end(i: Column) -> Column:
+        before, after = F.substring(segment, F.greatest(i - BESIDE, F.lit(1)), F.least(i - 1, F.lit(BESIDE))), F.substring(segment, i + n, F.lit(BESIDE))
+        low = after.rlike(RANGE) & after.rlike(f"{_DIGITS}[0-9০-৯,.]*\\s*(?:{units})")
+        return (F.substring(segment, i, n) == span) & (low | (before.rlike(RANGE) & before.rlike(_DIGITS)))
+
+    return (n > 0) & segment.contains(span) & F.exists(places, end)
 
 
 def zero(span: Column) -> Column:
@@ -64,7 +75,7 @@ def answer_rejects(bank: DataFrame, units: str) -> DataFrame:
     q, c, seg = (F.col(x) for x in ("question", "correct", "explanation"))
     figure = F.col("kind") == "figure"
     rivals = F.size(F.filter(F.array_distinct(spans(seg, units)), lambda s: (s != c) & (unit_of(s) == unit_of(c))))
-    r = reasons((figure & range_end(c, seg), "range"), (figure & zero(c), "zero"), (leaks(q, c, F.col("kind")), "leak"))
+    r = reasons((figure & range_end(c, seg, units), "range"), (figure & zero(c), "zero"), (leaks(q, c, F.col("kind")), "leak"))
     return bank.withColumn("rejects", F.when(figure & (rivals > 0), F.concat(r, F.array(F.concat(F.lit("rivals:"), rivals.cast("string"))))).otherwise(r))
 
 
@@ -98,7 +109,7 @@ def validate(bank: DataFrame, units: str) -> DataFrame:
         (F.trim(q) == "", "no question"),
         (leaks(q, c, F.col("kind")), "question has answer"),
         (~seg.contains(c), "answer not in explanation"),
-        (figure & range_end(c, seg), "end of a range"),
+        (figure & range_end(c, seg, units), "end of a range"),
         (figure & zero(c), "zero"),
         (figure & (rivals > 0), "rivals of the same unit"),
     )

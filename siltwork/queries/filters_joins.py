@@ -142,9 +142,12 @@ def _(spark, sf):
 _SEG = "regexp_extract_all(explanation, '[0-9][0-9,.]* (?:month|percent|taka)')"
 _AT = "instr(explanation, correct)"
 _NEAR = "(regexp_matches({0}, '-| to ') AND regexp_matches({0}, '[0-9]'))"
+# every place of the figure: a sign of a range with a number before it, or with a number and its unit after it
+_RANGE_END = f"""correct <> '' AND len(list_filter(range(1, greatest(length(explanation) - length(correct) + 2, 1)), lambda i: substr(explanation, i, length(correct)) = correct AND (
+  {_NEAR.format("substr(explanation, greatest(i - 14, 1), least(i - 1, 14))")} OR {_NEAR.format("substr(explanation, i + length(correct), 14)")} AND regexp_matches(substr(explanation, i + length(correct), 14), '[0-9][0-9,.]*\\s*(?:{'|'.join(fx.UNITS)})')))) > 0"""
 REJECT_SQL = f"""
 WITH b AS (SELECT *, split_part(correct, ' ', 1) AS num, split_part(correct, ' ', 2) AS unit FROM ({fx.BANK})), r AS (SELECT *, len(list_filter(list_distinct({_SEG}), lambda x: x <> correct AND split_part(x, ' ', 2) = unit)) AS rivals FROM b)
-SELECT id, concat_ws(';', CASE WHEN kind = 'figure' AND {_AT} > 0 AND ({_NEAR.format(f'substr(explanation, greatest({_AT} - 14, 1), least({_AT} - 1, 14))')} OR {_NEAR.format(f'substr(explanation, {_AT} + length(correct), 14)')}) THEN 'range' END, CASE WHEN kind = 'figure' AND num = '0' THEN 'zero' END,
+SELECT id, concat_ws(';', CASE WHEN kind = 'figure' AND {_RANGE_END} THEN 'range' END, CASE WHEN kind = 'figure' AND num = '0' THEN 'zero' END,
 CASE WHEN (kind = 'figure' AND length(num) > 1 AND contains(question, num)) OR (kind = 'role' AND len(list_filter(string_split(correct, ' '), lambda w: length(w) >= 3 AND NOT contains(question, w))) = 0) THEN 'leak' END, CASE WHEN kind = 'figure' AND rivals > 0 THEN 'rivals:' || rivals END) AS rejects FROM r
 """
 

@@ -186,6 +186,9 @@ def _(spark, sf):
 SPANS = "regexp_extract_all(explanation, '[0-9][0-9,.]* (?:month|percent|taka)')"
 _UNIT = "trim(regexp_replace({}, '^[0-9][0-9,.]*', ''))"
 _SIDE = "(regexp_matches({0}, '-| to ') AND regexp_matches({0}, '[0-9]'))"
+# every place of the figure: a sign of a range with a number before it, or with a number and its unit after it
+_RANGE_END = f"""correct <> '' AND len(list_filter(range(1, greatest(length(explanation) - length(correct) + 2, 1)), lambda i: substr(explanation, i, length(correct)) = correct AND (
+  {_SIDE.format("substr(explanation, greatest(i - 14, 1), least(i - 1, 14))")} OR {_SIDE.format("substr(explanation, i + length(correct), 14)")} AND regexp_matches(substr(explanation, i + length(correct), 14), '[0-9][0-9,.]*\\s*(?:{'|'.join(fx.UNITS)})')))) > 0"""
 _AT = "instr(explanation, correct)"
 VALIDATE_SQL = f"""
 WITH b AS (SELECT * REPLACE (string_split(options, ';') AS options) FROM ({fx.BANK})) SELECT id, concat_ws(';', CASE WHEN NOT contains(chunk_text, correct) THEN 'answer not in chunk' END,
@@ -193,7 +196,7 @@ CASE WHEN len(list_filter(options, lambda o: o <> correct AND contains(chunk_tex
 CASE WHEN len(options) <> 4 THEN 'not four options' END, CASE WHEN excluded THEN 'chunk withheld' END, CASE WHEN question = '' THEN 'no question' END,
 CASE WHEN (kind = 'figure' AND length(split_part(correct, ' ', 1)) > 1 AND contains(question, split_part(correct, ' ', 1))) OR (kind = 'role' AND len(list_filter(string_split(correct, ' '), lambda w: length(w) >= 3 AND NOT contains(question, w))) = 0) THEN 'question has answer' END,
 CASE WHEN NOT contains(explanation, correct) THEN 'answer not in explanation' END,
-CASE WHEN kind = 'figure' AND {_AT} > 0 AND ({_SIDE.format(f'substr(explanation, greatest({_AT} - 14, 1), least({_AT} - 1, 14))')} OR {_SIDE.format(f'substr(explanation, {_AT} + length(correct), 14)')}) THEN 'end of a range' END,
+CASE WHEN kind = 'figure' AND {_RANGE_END} THEN 'end of a range' END,
 CASE WHEN kind = 'figure' AND starts_with(correct, '0 ') THEN 'zero' END,
 CASE WHEN kind = 'figure' AND len(list_filter({SPANS}, lambda s: s <> correct AND {_UNIT.format('s')} = {_UNIT.format('correct')})) > 0 THEN 'rivals of the same unit' END) AS reasons FROM b
 """

@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from ..functions import figures as N
 from ..functions import sequences as Q
 from ..functions import text as T
 from .base import Registry, table, values
@@ -405,6 +406,39 @@ def _(spark, sf):
     return s.select("id", F.array_join(F.transform(F.array_sort(v), lambda x: x.cast("string")), ";").alias("out"))
 
 
+_PLAIN_VALUE = "coalesce(regexp_replace((TRY_CAST({0} AS DECIMAL(28, 4)) * {1})::DECIMAL(38, 4)::VARCHAR, '[.]?0+$', ''), {0})"
+VALUES_SQL = f"""WITH t AS (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS t FROM documents),
+c AS (SELECT doc_id, regexp_extract_all(t, '[0-9]+(?:[.][0-9]+){{{{2,}}}}') AS clauses, {GROUPS.format("regexp_replace(t, '[0-9]+(?:[.][0-9]+){{2,}}', ' ', 'g')")} AS t FROM t),
+m AS (SELECT doc_id, clauses, unnest(regexp_extract_all(t, '[0-9]+(?:[.][0-9]+)?(?:(?:st|nd|rd|th)\\b)?(?:\\s*(?:thousand|lakh|crore))?')) AS m FROM c),
+v AS (SELECT doc_id, regexp_extract(m, '^[0-9]+(?:[.][0-9]+)?') AS n, CASE WHEN m LIKE '%thousand' THEN 1000 WHEN m LIKE '%lakh' THEN 100000 WHEN m LIKE '%crore' THEN 10000000 ELSE 1 END AS k, regexp_matches(m, '[0-9](?:st|nd|rd|th)') AS o FROM m),
+f AS (SELECT doc_id, {_PLAIN_VALUE.format('n', 'k')} AS value, CASE WHEN k > 1 THEN 'scaled' WHEN o THEN 'ordinal' ELSE 'number' END AS kind FROM v UNION ALL SELECT doc_id, unnest(clauses), 'clause' FROM c)
+SELECT doc_id, kind, count(*) AS n, md5(string_agg(value, ';' ORDER BY value)) AS out FROM f GROUP BY doc_id, kind""".replace("{{2,}}", "{2,}")
+
+
+@R.add("str31_values_documents", VALUES_SQL)
+def _(spark, sf):
+    """Typed figures of every document, by kind, as sorted multisets."""
+    found = table(spark, sf, "documents").select("doc_id", F.explode(N.figures("text", "en")).alias("f")).groupBy("doc_id", "f.kind").agg(F.array_sort(F.collect_list("f.value")).alias("v"))
+    return found.select("doc_id", "kind", F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", ";").cast("binary")).alias("out"))
+
+
+_LOOK = "SELECT doc_id, replace(replace(replace(text, 'th', '3%'), 'er', '12-'), 'on', '5 - 4000 ') AS s FROM documents"
+AUDIT_SQL = f"""WITH d AS ({_LOOK}), r AS (SELECT doc_id, unnest(regexp_extract_all(s, '[0-9][0-9,]*\\s*[-–—]\\s*[0-9][0-9,]*')) AS m FROM d),
+e AS (SELECT doc_id, m, replace(regexp_extract(m, '^[0-9,]+'), ',', '') AS lo, replace(regexp_extract(m, '[0-9,]+$'), ',', '') AS hi FROM r),
+a AS (SELECT doc_id, unnest(regexp_extract_all(s, '[0-9][0-9,]*\\s*%')) AS m FROM d),
+i AS (SELECT doc_id, m, CASE WHEN abs(length(lo) - length(hi)) >= 2 THEN 'range_digit_count_mismatch' WHEN lpad(lo, 1000, '0') > lpad(hi, 1000, '0') THEN 'range_inverted' END AS issue FROM e
+  UNION ALL SELECT doc_id, m, CASE WHEN coalesce(TRY_CAST(replace(regexp_extract(m, '^[0-9,]+'), ',', '') AS DECIMAL(38, 0)), 101) > 100 THEN 'magnitude_implausible' END FROM a)
+SELECT doc_id, issue, count(*) AS n, min(m) AS fragment FROM i WHERE issue IS NOT NULL GROUP BY doc_id, issue"""
+
+
+@R.add("str30_figure_audit_documents", AUDIT_SQL)
+def _(spark, sf):
+    """Ranges and shares of every document, syllables turned into figures so that there are many."""
+    d = table(spark, sf, "documents").selectExpr("doc_id", "replace(replace(replace(text, 'th', '3%'), 'er', '12-'), 'on', '5 - 4000 ') AS s")
+    found = d.select("doc_id", F.explode(N.audit("s")).alias("a"))
+    return found.groupBy("doc_id", "a.issue").agg(F.count("*").alias("n"), F.min("a.fragment").alias("fragment"))
+
+
 @R.add("str34_loop_detector", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(id, out)")
 def _(spark, sf):
     return spark.sql(values("id s", (1, "start " + "go on " * 8), (2, "one two three " * 7), (3, "x - " * 9))).select("id", T.has_loop("s").alias("out"))
