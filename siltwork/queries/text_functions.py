@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import figures as N
 from ..functions import sequences as Q
 from ..functions import text as T
+from ..operators import gloss as G
 from .base import Registry, table, values
 
 R = Registry()
@@ -492,3 +493,30 @@ def _(spark, sf):
 @R.add("str42_duration", "SELECT * FROM (VALUES (1, 172.8), (2, 420.0), (3, 0.25), (4, 3601.0)) t(id, out)")
 def _(spark, sf):
     return spark.sql(values("id s", (1, "2m52.8s"), (2, "7m"), (3, "250ms"), (4, "1h1s"))).select("id", F.round(T.duration_seconds("s"), 6).alias("out"))
+
+
+ENDINGS = ("tion", "en", "er", "es", "e")
+_WORDS = "list_transform(regexp_extract_all(coalesce({0}, ''), '[^\\s.,;:!?()\"]+'), lambda x: lower(x))"
+GLOSS_SQL = f"""WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS q, {_WORDS.format("text")} AS w FROM conversations),
+raw AS (SELECT unnest({_WORDS.format("text")}) AS phrase FROM benchmark UNION ALL SELECT array_to_string(w[3:3 + q % 4], ' ') FROM c WHERE q % 3 = 0 AND len(w) > 8),
+gloss AS (SELECT DISTINCT phrase, '<' || phrase || '>' AS gloss FROM raw WHERE length(phrase) > 3),
+i AS (SELECT q, w, unnest(range(1, len(w) + 1)) AS place FROM c),
+runs AS (SELECT q, false AS stem, -n AS first, place AS then_, place, n, array_to_string(w[place:place + n - 1], ' ') AS phrase FROM i, (VALUES (1), (2), (3), (4)) s(n) WHERE place + n - 1 <= len(w)
+  UNION ALL SELECT q, true, place, k, place, 1, left(w[place], length(w[place]) - length(e)) FROM i, (VALUES {", ".join(f"({k}, '{e}')" for k, e in enumerate(ENDINGS))}) t(k, e) WHERE w[place] LIKE '%' || e AND length(w[place]) > length(e) + 1),
+hits AS (SELECT q, place, n, gloss, row_number() OVER (PARTITION BY q ORDER BY stem, first, then_) AS r FROM runs JOIN gloss USING (phrase)),
+walk AS (SELECT DISTINCT q, 0::BIGINT AS r, []::BIGINT[] AS used, []::VARCHAR[] AS said FROM hits
+  UNION ALL SELECT k.q, h.r, CASE WHEN list_has_any(used, range(place, place + n)) THEN used ELSE used || range(place, place + n) END, CASE WHEN list_has_any(used, range(place, place + n)) THEN said ELSE said || [gloss] END FROM walk k JOIN hits h ON h.q = k.q AND h.r = k.r + 1),
+last AS (SELECT q, max_by(said, r) AS said FROM walk GROUP BY q)
+SELECT conv_id, turn, md5(text || CASE WHEN len(said) > 0 THEN ' ' || array_to_string(said, ' ') ELSE '' END) AS out, coalesce(len(said), 0) AS n FROM conversations LEFT JOIN last ON q = conv_id * 1000 + turn"""
+
+
+@R.add("str33_gloss_conversations", GLOSS_SQL)
+def _(spark, sf):
+    """Turns against a table of the words of `benchmark` and of phrases of one to four words from every third turn."""
+    c = table(spark, sf, "conversations").withColumn("q", F.col("conv_id") * 1000 + F.col("turn"))
+    own = c.select("q", G.words(F.col("text")).alias("w")).where("q % 3 = 0 AND size(w) > 8").select(F.array_join(F.slice("w", F.lit(3), (F.col("q") % 4 + 1).cast("int")), " ").alias("phrase"))
+    raw = table(spark, sf, "benchmark").select(F.explode(G.words(F.col("text"))).alias("phrase")).unionByName(own)
+    gloss = raw.where("length(phrase) > 3").distinct().select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">")).alias("gloss"))
+    done = G.expand(c.select("q", "conv_id", "turn", "text"), "q", "text", gloss, ENDINGS)
+    hits = G.glosses(c, "q", F.col("text"), gloss, ENDINGS).groupBy("q").agg(F.count("*").alias("n"))
+    return done.join(hits, "q", "left").select("conv_id", "turn", F.md5(F.col("expanded").cast("binary")).alias("out"), F.coalesce("n", F.lit(0)).alias("n"))
