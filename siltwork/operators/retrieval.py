@@ -28,6 +28,12 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_counts(chunks: DataFrame, text: Column) -> DataFrame:
+    """(term, df, tf) over all chunks. A row holds all its own tokens, so its distinct terms are known in it: one combined shuffle by term."""
+    toks = F.element_at(F.transform(F.array(T.index_tokens(text)), lambda t: F.concat(F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))), F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))))), 1)
+    return chunks.select(F.explode(toks).alias("x")).select("x.*").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def corpus_stats(chunks: DataFrame, text: Column) -> DataFrame:
     """One row: n chunks and their mean length in tokens."""
     return chunks.select(F.size(T.index_tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -50,6 +56,8 @@ def bm25(chunks: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFra
     t = chunks.select(F.col(key).alias("id"), T.index_tokens(text).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode(F.concat("toks", F.array(F.lit(mark)))).alias("term"))
     post = cut(t.join(F.broadcast(wanted) if few else wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     stats = post.where(F.col("term") == mark).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # the mark's rows, one a chunk, have told the lengths and are one key of the corpus's size
+    post = post.where(F.col("term") != mark)
     df = document_frequency(post)
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -60,13 +68,38 @@ def hybrid(chunks: DataFrame, queries: DataFrame, sparse: DataFrame) -> DataFram
     """(qid, id, dense, sparse, score): dense and lexical scores of every chunk for every query, fused.
 
     chunks: id, embedding. queries: qid, qv, figure (whether it asks for a figure). sparse: qid, id, score of BM25; chunks
-    without a query term have 0. The sparse side is scaled over the whole corpus, before any filter.
+    without a query term have 0. The sparse side is scaled over the whole corpus, before any filter: its least value is
+    0 unless every chunk has a hit. A block of queries goes to the chunks, each with its own hits of the block in one row, so
+    that what is shuffled is the chunks and the hits, not all pairs of chunk and query.
+    """
+    spark, hits = chunks.sparkSession, sparse.where(F.col("id") != F.col("qid"))
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))  # one row
+    own = queries.join(chunks.select(F.col("id").alias("qid")), "qid").groupBy("qid").agg(F.count(F.lit(1)).alias("own"))
+    range_ = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.min("score").alias("least"), F.max("score").alias("most"))
+    asked = queries.join(own, "qid", "left").join(range_, "qid", "left").crossJoin(F.broadcast(n))
+    none = F.coalesce("hits", F.lit(0)) < F.col("n") - F.coalesce("own", F.lit(0))
+    lo = F.when(none, F.least(F.coalesce("least", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("least"))
+    hi = F.when(none, F.greatest(F.coalesce("most", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("most"))
+    asked, out = asked.select("qid", "qv", "figure", lo.alias("lo"), hi.alias("hi")), None
+    for rows in blocks(asked, QUERY_BLOCK):
+        block = F.broadcast(spark.createDataFrame(rows, asked.schema))
+        held = hits.join(block.select("qid"), "qid").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("qid", "score"))).alias("held"))
+        s = chunks.select("id", "embedding").join(held, "id", "left").join(block, F.col("id") != F.col("qid"))
+        s = s.select("qid", "id", "figure", "lo", "hi", dot(F.col("qv"), F.col("embedding")).alias("dense"), F.coalesce(F.try_element_at("held", F.col("qid")), F.lit(0.0)).alias("raw"))
+        scaled = F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        part = s.select("qid", "id", "dense", scaled.alias("sparse"), fuse(F.col("dense"), scaled, F.col("figure")).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def first_rank(scores: DataFrame, wanted: Column, name: str) -> DataFrame:
+    """(qid, name): place of the first wanted row of each query by (score descending, id); null where none is wanted.
+
+    The best wanted row, then a count of those before it: two combined aggregations instead of a ranking in one task.
     """
-    s = against(chunks.select("id", "embedding"), queries, F.col("id") != F.col("qid")).select("qid", "id", "figure", dot(F.col("qv"), F.col("embedding")).alias("dense"))
-    s = s.join(sparse.withColumnRenamed("score", "sparse"), ["qid", "id"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
-    m = s.groupBy("qid").agg(F.min("sparse").alias("lo"), F.max("sparse").alias("hi"))
-    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("sparse") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return s.join(m, "qid").select("qid", "id", "dense", scaled.alias("sparse"), fuse(F.col("dense"), scaled, F.col("figure")).alias("score"))
+    best = scores.groupBy("qid").agg(F.max(F.when(wanted, F.struct("score", (-F.col("id")).alias("id")))).alias("best"))
+    before = scores.join(best, "qid").where(F.struct("score", (-F.col("id")).alias("id")) > F.col("best")).groupBy("qid").agg(F.count(F.lit(1)).alias("before"))
+    return best.join(before, "qid", "left").select("qid", F.when(F.col("best").isNotNull(), F.coalesce("before", F.lit(0)) + 1).cast("long").alias(name))
 
 
 def dot(a: Column, b: Column) -> Column:

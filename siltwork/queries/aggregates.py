@@ -62,8 +62,7 @@ def _(spark, sf):
 
 @R.add("agg04_document_frequency", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({INDEX}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def _(spark, sf):
-    p = retrieval.postings(docs(spark, sf), "doc_id", F.col("text"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.term_counts(docs(spark, sf), F.col("text"))
 
 
 @R.add("agg04_corpus_stats", f"SELECT count(*) AS n, round(avg(len({INDEX})), 6) AS avgdl FROM documents")
@@ -123,12 +122,15 @@ def _(spark, sf):
 RANKED_SQL = "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, q.label = e.label AS gold, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM q JOIN embeddings e ON q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rnk FROM s)"
 
 
-def ranked(spark, sf):
+def scored(spark, sf):
     """Every hundredth vector as a query against all others; gold: of the query's label."""
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    s = retrieval.against(e, q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), (F.col("label") == F.col("ql")).alias("gold"), F.round(retrieval.dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
-    return s.withColumn("rnk", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+    return retrieval.against(e, q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("id"), (F.col("label") == F.col("ql")).alias("gold"), F.round(retrieval.dot(F.col("qv"), F.col("embedding")), 9).alias("score"))
+
+
+def ranked(spark, sf):
+    return scored(spark, sf).withColumn("rnk", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
 
 
 KS = (1, 3, 5, 10, 30)
@@ -136,7 +138,7 @@ KS = (1, 3, 5, 10, 30)
 
 @R.add("agg11_recall_at_k", RANKED_SQL + " SELECT k, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM (SELECT qid, k, bool_or(gold AND rnk <= k) AS hit FROM r, (VALUES (1), (3), (5), (10), (30)) t(k) GROUP BY qid, k) GROUP BY k")
 def _(spark, sf):
-    first = ranked(spark, sf).groupBy("qid").agg(F.min(F.when(F.col("gold"), F.col("rnk"))).alias("first"))
+    first = retrieval.first_rank(scored(spark, sf), F.col("gold"), "first")
     return first.select(F.explode(F.array(*(F.lit(k) for k in KS))).alias("k"), "first").groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("first") <= F.col("k")).alias("hits"))
 
 
@@ -158,12 +160,12 @@ def _(spark, sf):
 
 @R.add("agg14_quiet_and_blind", RANKED_SQL + ", f AS (SELECT qid, min(CASE WHEN NOT gold THEN rnk END) AS wrong, min(CASE WHEN gold THEN rnk END) AS rgt FROM r GROUP BY qid) SELECT k, avg(CASE WHEN wrong IS NULL OR wrong > k THEN 1.0 ELSE 0.0 END) AS quiet, count(*) FILTER (WHERE rgt IS NULL OR rgt > 30) AS blind FROM f, (VALUES (1), (3), (5)) t(k) GROUP BY k")
 def _(spark, sf):
-    return scoring.quiet_and_blind(ranked(spark, sf), (1, 3, 5), 30)
+    return scoring.quiet_and_blind(scored(spark, sf), (1, 3, 5), 30)
 
 
 @R.add("agg15_first_gold_rank", RANKED_SQL + " SELECT qid, min(CASE WHEN gold THEN rnk END) AS first_gold FROM r GROUP BY qid")
 def _(spark, sf):
-    return ranked(spark, sf).groupBy("qid").agg(F.min(F.when(F.col("gold"), F.col("rnk"))).cast("long").alias("first_gold"))
+    return retrieval.first_rank(scored(spark, sf), F.col("gold"), "first_gold")
 
 
 FACT_SQL = f"""
