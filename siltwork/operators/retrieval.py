@@ -72,7 +72,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, sparse: DataFrame) -> DataFram
     0 unless every chunk has a hit. A block of queries goes to the chunks, each with its own hits of the block in one row, so
     that what is shuffled is the chunks and the hits, not all pairs of chunk and query.
     """
-    spark, hits = chunks.sparkSession, sparse.where(F.col("id") != F.col("qid"))
+    spark, hits = chunks.sparkSession, cut(sparse.where(F.col("id") != F.col("qid")))
     n = chunks.agg(F.count(F.lit(1)).alias("n"))  # one row
     own = queries.join(chunks.select(F.col("id").alias("qid")), "qid").groupBy("qid").agg(F.count(F.lit(1)).alias("own"))
     range_ = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.min("score").alias("least"), F.max("score").alias("most"))
@@ -80,7 +80,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, sparse: DataFrame) -> DataFram
     none = F.coalesce("hits", F.lit(0)) < F.col("n") - F.coalesce("own", F.lit(0))
     lo = F.when(none, F.least(F.coalesce("least", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("least"))
     hi = F.when(none, F.greatest(F.coalesce("most", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("most"))
-    asked, out = asked.select("qid", "qv", "figure", lo.alias("lo"), hi.alias("hi")), None
+    asked, out = cut(asked.select("qid", "qv", "figure", lo.alias("lo"), hi.alias("hi"))), None
     for rows in blocks(asked, QUERY_BLOCK):
         block = F.broadcast(spark.createDataFrame(rows, asked.schema))
         held = hits.join(block.select("qid"), "qid").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("qid", "score"))).alias("held"))
