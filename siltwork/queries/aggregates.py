@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import language_match as LM
 from ..operators import dedup, retrieval, scoring
 from . import fixtures as fx
 from .base import Registry, table, values
@@ -214,6 +215,30 @@ def _(spark, sf):
 MULTI = "WITH a AS (SELECT conv_id, w, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations WHERE role = 'user') GROUP BY ALL), b AS (SELECT conv_id, w, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations WHERE role = 'assistant') GROUP BY ALL), j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.w, b.w) AS w, coalesce(a.n, 0) AS t, coalesce(b.n, 0) AS h FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.w = b.w)"
 
 
+_LEXICON = "(VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in LM.FUNCTION_WORDS.items() for w in ws) + ") lex(lang, word)"
+MATCH_SQL = f"""WITH p AS (SELECT a.conv_id, a.turn, q.text AS question, a.text AS reply FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant' AND q.role = 'user'),
+t AS (SELECT conv_id, turn, 'asked' AS side, question AS s FROM p UNION ALL SELECT conv_id, turn, 'said', reply FROM p),
+s AS (SELECT conv_id, turn, side, unnest(range(0, len(x))) AS i, unnest(x) AS s FROM (SELECT conv_id, turn, side, string_split(regexp_replace(regexp_replace(s, '\\[[^\\]\\n]*\\]|"[^"\\n]*"|«[^»\\n]*»|“[^”\\n]*”', ' ', 'g'), '([.!?।])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS x FROM t)),
+w AS (SELECT *, regexp_extract_all(lower(s), '[a-zß-öø-ÿ]+') AS ws FROM s),
+h AS (SELECT conv_id, turn, side, i, lang, count(*) AS n FROM (SELECT conv_id, turn, side, i, unnest(ws) AS word FROM w) JOIN {_LEXICON} USING (word) GROUP BY ALL),
+b AS (SELECT conv_id, turn, side, i, lang FROM (SELECT *, max(n) OVER k AS top FROM h WINDOW k AS (PARTITION BY conv_id, turn, side, i)) WHERE n = top QUALIFY count(*) OVER (PARTITION BY conv_id, turn, side, i) = 1),
+v AS (SELECT conv_id, turn, side, lang, sum(len(ws)) AS weight FROM w JOIN b USING (conv_id, turn, side, i) GROUP BY ALL),
+d AS (SELECT *, sum(weight) OVER (PARTITION BY conv_id, turn, side) AS total FROM v),
+l AS (SELECT conv_id, turn, side, coalesce(max(CASE WHEN weight * 2 > total THEN lang END), 'mixed') AS lang, any_value(total) AS total FROM d WHERE total > 0 GROUP BY ALL)
+SELECT p.conv_id, p.turn, a.lang AS asked, r.lang AS said, round(CASE WHEN a.lang IS NOT NULL THEN coalesce(d.weight, 0) / r.total END, 6) AS share, CASE WHEN a.lang <> 'mixed' AND r.lang IS NOT NULL THEN a.lang = r.lang END AS ok
+FROM p LEFT JOIN l a ON a.conv_id = p.conv_id AND a.turn = p.turn AND a.side = 'asked' LEFT JOIN l r ON r.conv_id = p.conv_id AND r.turn = p.turn AND r.side = 'said' LEFT JOIN d ON d.conv_id = p.conv_id AND d.turn = p.turn AND d.side = 'said' AND d.lang = a.lang"""
+
+
+@R.add("agg19_language_match_segments", MATCH_SQL)
+def _(spark, sf):
+    """Each reply against the turn before it, sentence by sentence."""
+    c = table(spark, sf, "conversations")
+    q = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    m = LM.language_match(c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reply")).join(q, ["conv_id", "turn"]), "question", "reply")
+    zero = F.when(F.col("asked").isNotNull() & F.col("said").isNotNull(), F.coalesce("share", F.lit(0.0)))
+    return m.select("conv_id", "turn", "asked", "said", F.round(zero, 6).alias("share"), "ok")
+
+
 @R.add("agg20_multiset_f1", MULTI + " SELECT conv_id, CAST(sum(least(t, h)) AS BIGINT) AS common, round(sum(least(t, h)) / nullif(sum(h), 0), 6) AS prec, round(sum(least(t, h)) / nullif(sum(t), 0), 6) AS rec FROM j GROUP BY conv_id")
 def _(spark, sf):
     c = table(spark, sf, "conversations").where("role in ('user', 'assistant')")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import conflicts, dedup, retrieval, structure
+from ..operators import conflicts, dedup, retrieval, spacing, structure
 from .aggregates import INDEX, RANKED_SQL, ranked
 from .base import Registry, table, values
 
@@ -94,6 +94,23 @@ def _(spark, sf):
     return xs.select(F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("x")).select("x.ord", "x.page")
 
 
+OPENERS_SQL = """WITH RECURSIVE l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS seq, unnest(string_split(text, chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, seq, seq // 3 AS page, left(line, 2) AS ordinal, length(line) % 7 AS size FROM l WHERE length(line) >= 2),
+best AS (SELECT doc_id, ordinal, page, seq FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY size DESC, seq) = 1),
+heads AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) = 1),
+walk AS (SELECT doc_id, min(page) AS page FROM heads GROUP BY doc_id
+  UNION ALL SELECT w.doc_id, min(h.page) FROM walk w JOIN heads h ON h.doc_id = w.doc_id AND h.page - w.page > 2 GROUP BY w.doc_id)
+SELECT doc_id, ordinal, page, seq FROM heads JOIN walk USING (doc_id, page)"""
+
+
+@R.add("win06_openers_documents", OPENERS_SQL)
+def _(spark, sf):
+    """Lines of every document as chapter heads, three to a page: two letters as the ordinal, the length's rest by 7 as the print."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\\n")).alias("seq", "line")).where("length(line) >= 2")
+    o = lines.select("doc_id", F.col("seq").cast("long").alias("seq"), F.expr("cast(seq div 3 as bigint)").alias("page"), F.substring("line", 1, 2).alias("ordinal"), (F.length("line") % 7).alias("size"))
+    return spacing.openers(o, "doc_id", "ordinal", "page", "size", "seq")
+
+
 CLAUSES = values("id clause lvl", (1, "2.1", 2), (2, "2.1.ka", 2), (3, "3.4.kha", 2), (4, "2.2", 2))
 
 
