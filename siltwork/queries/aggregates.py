@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import language_match as LM
-from ..operators import dedup, retrieval, scoring
+from ..operators import dedup, defining, gloss, retrieval, scoring
 from . import fixtures as fx
 from .base import Registry, table, values
 from .filters_joins import SH_SQL, near_classes
@@ -120,6 +120,30 @@ def _(spark, sf):
     return d.groupBy("source").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"), F.max("score").alias("score"))
 
 
+_H1, _VERBS = "<h1[^>]*>([^<]*)<", "(^|[^a-zß-ÿ])(is|est|ist|es)([^a-zß-ÿ]|$)"
+_GIST = "replace(replace({0}, ', ', ': '), '. ', chr(10) || 'b) ')"
+DEFINING_SQL = f"""WITH c AS (SELECT page_id AS id, regexp_extract(html, '{_H1}', 1) AS head, lower({_GIST.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS body FROM pages),
+w AS (SELECT *, list_transform(regexp_extract_all(head, '[^\\s.,;:!?()"]+'), lambda x: lower(x)) AS hw, ' ' || array_to_string(regexp_extract_all(body, '[^\\s.,;:!?()"]+'), ' ') || ' ' AS bs FROM c),
+k AS (SELECT *, ' ' || array_to_string(hw, ' ') || ' ' AS hs FROM w),
+n AS (SELECT DISTINCT array_to_string(hw[1:2], ' ') AS alias FROM k WHERE len(hw) > 1),
+p AS (SELECT alias, k.*, contains(hs, ' ' || alias || ' ') AS in_head FROM n JOIN k ON contains(hs, ' ' || alias || ' ') OR contains(bs, ' ' || alias || ' ')),
+o AS (SELECT *, in_head AND count(*) FILTER (in_head) OVER (PARTITION BY id) < 3 AS own, instr(body, alias) AS at_ FROM p),
+a AS (SELECT *, substr(body, at_ + length(alias), 220) AS aft, substr(body, greatest(at_ - 12, 1), least(at_ - 1, 12)) AS bef FROM o),
+e AS (SELECT alias, id, (CASE WHEN own THEN 4 ELSE 0 END) + (CASE WHEN own AND ends_with(array_to_string(hw, ' '), alias) THEN 2 ELSE 0 END)
+  + (CASE WHEN at_ > 0 AND NOT own AND (regexp_matches(aft, '^[^:\\n]{{0,14}}:') OR regexp_matches(bef, '(^|\\n)[ \\t]*[a-z0-9]{{1,3}}[).][ \\t]*$')) THEN 3 ELSE 0 END)
+  + (CASE WHEN at_ > 0 AND regexp_matches(aft, '{_VERBS}') THEN 2 ELSE 0 END) - (CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END) - (CASE WHEN contains(lower(head), 'ent') THEN 3 ELSE 0 END) - (CASE WHEN starts_with(lower(head), 'de') THEN 1 ELSE 0 END) AS score FROM a)
+SELECT n.alias AS name, b.id, b.score FROM n LEFT JOIN (SELECT alias, id, score FROM e WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY alias ORDER BY score DESC, id) = 1) b USING (alias)"""
+
+
+@R.add("agg10_defining_chunk_pages", DEFINING_SQL)
+def _(spark, sf):
+    """Pages as chunks, the first two words of their headings as names; commas become colons and sentences list items, so that every rule has work."""
+    c = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("ord"), F.regexp_extract("html", _H1, 1).alias("head"), F.expr(_GIST.format("regexp_replace(html, '<[^>]*>', ' ')")).alias("body"), (F.col("page_id") % 4 == 0).alias("is_table"))
+    names = c.select(gloss.words(F.col("head")).alias("w")).where("size(w) > 1").select(F.array_join(F.slice("w", 1, 2), " ").alias("alias")).distinct().select(F.col("alias").alias("name_id"), "alias")
+    d = defining.defining_chunks(c, names, _VERBS, "ent", "^de")
+    return d.select(F.col("name_id").alias("name"), "id", "score")
+
+
 RANKED_SQL = "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS qid, e.vec_id AS id, q.label = e.label AS gold, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM q JOIN embeddings e ON q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rnk FROM s)"
 
 
