@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import language_match as LM
-from ..operators import dedup, defining, gloss, retrieval, scoring
+from ..operators import dedup, defining, gloss, retrieval, scoring, spine
 from . import fixtures as fx
 from .base import Registry, table, values
 from .filters_joins import SH_SQL, near_classes
@@ -333,6 +333,33 @@ def _(spark, sf):
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.coalesce(F.col("value") <= F.col("prev"), F.lit(False))).cast("long")).alias("resets"), F.sum(F.coalesce(F.col("event_type") == F.col("pe"), F.lit(False)).cast("long")).alias("repeats"))
 
 
+_NUMBERED = "CASE length(line) % 3 WHEN 0 THEN '' WHEN 1 THEN CAST({0} AS STRING) || '. ' ELSE CAST({1} AS STRING) || '.' || CAST(length(line) % 12 + 1 AS STRING) || ' ' END || left(line, 80)"
+_SPINE = f"""WITH b AS (SELECT doc_id AS doc, unnest(range(0, len(string_split(text, chr(10))))) AS seq, unnest(string_split(text, chr(10))) AS line FROM documents),
+l AS (SELECT doc, seq, seq // 10 + 1 AS page, {_NUMBERED.format("seq // 2 + 1 - seq % 9 // 8", "seq // 4 + 1").replace("STRING", "VARCHAR")} AS text FROM b),
+h AS (SELECT *, list_transform(string_split(regexp_extract(text, '^\\s*([0-9]+(?:[.][0-9]+)*)[.)]?\\s+\\S', 1), '.'), lambda x: x::INT) AS lv FROM l WHERE regexp_matches(text, '^\\s*[0-9]+(?:[.][0-9]+)*[.)]?\\s+\\S') AND length(trim(text)) < 90)"""
+
+
+def numbered_lines(spark, sf):
+    """Lines of every document, ten to a page, two of three with a number made from their place and length."""
+    b = docs(spark, sf).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\\n")).alias("seq", "line"))
+    return b.select("doc", F.col("seq").cast("long").alias("seq"), F.expr("seq div 10 + 1").alias("page"), F.expr(_NUMBERED.format("seq div 2 + 1 - seq % 9 div 8", "seq div 4 + 1")).alias("text"))
+
+
+@R.add("agg27_spine_documents", _SPINE + """, f AS (SELECT *, lv <= lag(lv) OVER (PARTITION BY doc ORDER BY seq) AS falls FROM h), o AS (SELECT doc, lv[1] AS n, lv[1] <= lag(lv[1]) OVER (PARTITION BY doc ORDER BY seq) AS reset, count(*) OVER (PARTITION BY doc, lv[1]) AS times FROM h WHERE len(lv) = 1),
+s AS (SELECT doc, count(*) AS lines, greatest(max(page), 1) AS pages, count(*) FILTER (length(trim(text)) < 90 AND contains(text, 'the')) AS chapter_lines FROM l GROUP BY doc), a AS (SELECT doc, count(*) AS headings, count(*) FILTER (falls) AS falls FROM f GROUP BY doc),
+t AS (SELECT doc, count(*) AS depth1, count(*) FILTER (reset) AS resets, count(*) FILTER (times > 1) AS repeated FROM o GROUP BY doc),
+j AS (SELECT doc, lines, pages, chapter_lines, coalesce(headings, 0) AS headings, coalesce(falls, 0) AS falls, coalesce(depth1, 0) AS depth1, coalesce(resets, 0) AS resets, coalesce(repeated, 0) AS repeated FROM s LEFT JOIN a USING (doc) LEFT JOIN t USING (doc))
+SELECT doc, lines, pages, chapter_lines, headings, falls, depth1, resets, repeated, concat_ws(';', CASE WHEN depth1 >= 5 AND resets / greatest(depth1 - 1, 1) > 0.1 THEN 'resets' END, CASE WHEN chapter_lines >= 3 AND depth1 / chapter_lines > 3 THEN 'chapter words' END, CASE WHEN depth1 / pages > 0.3 THEN 'per page' END, CASE WHEN repeated > depth1 * 0.5 AND depth1 * 0.5 >= 5 THEN 'repeats' END) AS fails FROM j""")
+def _(spark, sf):
+    s = spine.signals(numbered_lines(spark, sf), "the")
+    return s.select("doc", "lines", "pages", "chapter_lines", "headings", "falls", "depth1", "resets", "repeated", F.array_join("fails", ";").alias("fails"))
+
+
+@R.add("agg28_contents_pages", _SPINE + " SELECT doc, page, count(*) AS lines, count(lv) AS headings FROM l LEFT JOIN (SELECT doc, seq, lv FROM h) USING (doc, seq) GROUP BY doc, page HAVING count(lv) >= 6 AND count(lv) >= 0.5 * count(*)")
+def _(spark, sf):
+    return spine.contents_pages(numbered_lines(spark, sf))
+
+
 @R.add("agg28_toc_density", "SELECT page_id, n AS links, n >= 6 AND 2 * n >= blocks AS toc FROM (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS n, len(regexp_extract_all(html, '<(?:p|li|h1)>')) AS blocks FROM pages)")
 def _(spark, sf):
     n, b = F.regexp_count("html", F.lit("<a ")), F.regexp_count("html", F.lit("<(?:p|li|h1)>"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import conflicts, dedup, retrieval, spacing, structure
+from ..operators import conflicts, dedup, plugins, retrieval, spacing, structure
 from .aggregates import INDEX, RANKED_SQL, ranked
 from .base import Registry, table, values
 
@@ -272,6 +272,37 @@ def hybrid(spark, sf):
     return h.join(v.select("id", "label"), "id")
 
 
+LETTERS = "etaoinsr"
+
+
+def letter_counts(texts):
+    """A deterministic encoder: how often each of eight letters comes."""
+    return [[t.count(c) for c in LETTERS] for t in texts]
+
+
+def first_word_said(pairs):
+    """A deterministic judge: the answer has the fact's first word; undecided for facts of one word."""
+    return [f.split(" ")[0] in a if " " in f else None for f, a in pairs]
+
+
+_COUNTS = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
+
+
+@R.add("top02_encoder_documents", f"SELECT doc_id, list_transform(v, lambda x: round((CASE WHEN n > 0 THEN x / n ELSE x END)::FLOAT::DOUBLE, 5)) AS embedding, false AS failed FROM (SELECT doc_id, {_COUNTS} AS v, sqrt(list_inner_product({_COUNTS}, {_COUNTS})) AS n FROM documents)")
+def _(spark, sf):
+    """The encoder hook over every whole text."""
+    e = plugins.encode(table(spark, sf, "documents").select("doc_id", "text"), "text", letter_counts)
+    return e.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"), F.col("embedding_failure").isNotNull().alias("failed"))
+
+
+@R.add("agg16_judge_replies", "SELECT a.conv_id, a.turn, CASE WHEN contains(q.text, ' ') THEN contains(a.text, split_part(q.text, ' ', 1)) END AS holds FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1")
+def _(spark, sf):
+    """The judge hook over every turn and the one before it."""
+    c = table(spark, sf, "conversations")
+    q = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("fact"))
+    return plugins.judge(c.select("conv_id", "turn", "text").join(q, ["conv_id", "turn"]), "fact", "text", first_word_said).select("conv_id", "turn", "holds")
+
+
 @R.add("top03_hybrid", HYBRID + "SELECT qid, rnk, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INT) AS rnk FROM h) WHERE rnk <= 10")
 def _(spark, sf):
     s = hybrid(spark, sf).withColumn("score", F.round("score", 9))
