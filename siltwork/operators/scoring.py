@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import joins, retrieval
+from . import gloss, joins, retrieval
 
 
 def fact_buckets(facts: DataFrame, answers: DataFrame, context: DataFrame, groups: DataFrame) -> DataFrame:
@@ -57,6 +57,30 @@ def quiet_and_blind(scores: DataFrame, ks: tuple[int, ...], deepest: int) -> Dat
     return k.groupBy("k").agg(F.avg((F.coalesce("wrong", F.lit(1 << 30)) > F.col("k")).cast("int")).alias("quiet"), F.count_if(F.coalesce("right", F.lit(1 << 30)) > deepest).alias("blind"))
 
 
+def probe_counts(chunks: DataFrame, text: str, probes: DataFrame, longest: int = gloss.LONGEST) -> DataFrame:
+    """probes (term, min_count, category) with n, how often each comes as whole words in all texts, and met.
+
+    A probe table of any size meets the texts' runs of up to `longest` words by equality; runs are counted within a text, then
+    in one combined shuffle. Terms are in lower case with single blanks; a null min_count is 1. Every use counts, overlapping ones too.
+    """
+    sizes = F.array(*(F.lit(n) for n in range(1, longest + 1)))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    w = chunks.select(gloss.words(F.col(text)).alias("w")).where("size(w) > 0")
+    # a text shorter than a run gives itself once for its own length only
+    fits = F.filter(sizes, lambda n: n <= F.size("w"))
+    said = w.select(F.explode(F.flatten(F.transform(fits, run))).alias("term"))
+    counted = said.join(probes.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    out = probes.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("met", F.col("n") >= F.coalesce("min_count", F.lit(1)))
+
+
+def probe_coverage(counts: DataFrame) -> DataFrame:
+    """(category, met, total, verdict): PASS from 0.90 of a category's probes, PARTIAL from 0.60, else FAIL."""
+    g = counts.groupBy("category").agg(F.count_if("met").alias("met"), F.count(F.lit(1)).alias("total"))
+    share = F.col("met") / F.col("total")
+    return g.withColumn("verdict", F.when(share >= 0.9, "PASS").when(share >= 0.6, "PARTIAL").otherwise("FAIL"))
+
+
 def tag_changes(chunks: DataFrame, before: tuple, after: tuple, text: str = "text") -> DataFrame:
     """(tag, added, removed) between two pattern registries, for every tag of either. Both are applied in one pass."""
     a, b = joins.pattern_tags(F.col(text), before), joins.pattern_tags(F.col(text), after)

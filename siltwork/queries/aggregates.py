@@ -113,6 +113,24 @@ def _(spark, sf):
     return c.select(met.alias("met"), F.lit(len(p)).cast("long").alias("total"), F.when(share >= 0.9, "PASS").when(share >= 0.6, "PARTIAL").otherwise("FAIL").alias("verdict"))
 
 
+_WORDS_OF = "list_transform(regexp_extract_all({0}, '[^\\s.,;:!?()\"]+'), lambda x: lower(x))"
+PROBES_SQL = f"""WITH b AS (SELECT item_id, {_WORDS_OF.format("text")} AS w FROM benchmark), i AS (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM b),
+p AS (SELECT DISTINCT term, length(term) % 4 + 1 AS min_count, left(term, 1) AS category FROM (SELECT array_to_string(w[k:k + (item_id + k) % 3], ' ') AS term FROM i)),
+d AS (SELECT {_WORDS_OF.format("text")} AS w FROM documents), j AS (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM d),
+c AS (SELECT array_to_string(w[k:k + n - 1], ' ') AS term, count(*) AS n FROM j, (VALUES (1), (2), (3)) s(n) WHERE k + n - 1 <= len(w) GROUP BY 1)
+SELECT category, count(*) FILTER (coalesce(c.n, 0) >= min_count) AS met, count(*) AS total, CASE WHEN met / total >= 0.9 THEN 'PASS' WHEN met / total >= 0.6 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM p LEFT JOIN c USING (term) GROUP BY category"""
+
+
+@R.add("agg09_probe_table", PROBES_SQL)
+def _(spark, sf):
+    """A table of probes of one to three words, taken from every place of `benchmark`, over all documents."""
+    b = table(spark, sf, "benchmark").select("item_id", gloss.words(F.col("text")).alias("w")).where("size(w) > 1")
+    at = b.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
+    terms = at.select(F.array_join(F.slice("w", F.col("k"), ((F.col("item_id") + F.col("k")) % 3 + 1).cast("int")), " ").alias("term")).distinct()
+    probes = terms.select("term", (F.length("term") % 4 + 1).alias("min_count"), F.substring("term", 1, 1).alias("category"))
+    return scoring.probe_coverage(scoring.probe_counts(docs(spark, sf), "text", probes))
+
+
 @R.add("agg10_defining_chunk", "SELECT source, arg_min(doc_id, (-score, doc_id)) AS doc_id, max(score) AS score FROM (SELECT source, doc_id, 3 * CAST(contains(text, 'heat') AS INT) + 2 * CAST(n_chars > 1000 AS INT) + CAST(lang = 'en' AS INT) AS score FROM documents) WHERE score >= 3 GROUP BY source")
 def _(spark, sf):
     score = 3 * F.col("text").contains("heat").cast("int") + 2 * (F.col("n_chars") > 1000).cast("int") + (F.col("lang") == "en").cast("int")
