@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
+
 
 def heading_stack(rows: DataFrame, doc: str, seq: str, level: Column, text: str, depth: int) -> DataFrame:
     """Adds path: for each row the open headings. A heading closes the slots of its level and below; level is null on body rows."""
@@ -49,11 +51,27 @@ def capped_draw(rows: DataFrame, key: str, ident: str, seed: int, cap: int, limi
     return rows.withColumn("o", order).withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).orderBy("o", ident).limit(limit).drop("o", "r")
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number from 1 within their group, in order; null is a group, equal rows are numbered as they were read.
+
+    Rows are dealt by ranges of group and order, so that a group of any size fills many tasks; a partition's rows of a group
+    are numbered where they lie, from the count of those before, of which there is one a partition and group.
+    """
+    keys = [F.col(group).asc_nulls_first(), *(F.col(o).asc_nulls_first() for o in order), F.col("_read")]
+    ranged = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read")
+    placed = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy("_part", F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = counts.select(F.col("_part").alias("_p"), "_group", (before - F.col("_first") + 1).alias("_shift"))
+    j = placed.join(start, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group")))
+    return j.withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_p", "_group", "_shift")
+
+
 def round_robin(rows: DataFrame, bucket: list[str], ident: str, seed: int, limit: int) -> DataFrame:
     """Rows spread over buckets: every bucket's first row, then every second one, up to ``limit``."""
     o = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")).cast("binary"))
     w = Window.partitionBy(*bucket).orderBy("o", ident)
-    return rows.withColumn("o", o).withColumn("turn", F.row_number().over(w)).orderBy("turn", *bucket).limit(limit).drop("o")
+    return rows.withColumn("o", o).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit).orderBy("turn", *bucket).limit(limit).drop("o")
 
 
 def orphan_share(lines: DataFrame, path: str, most: float = 0.02) -> DataFrame:

@@ -216,14 +216,14 @@ def _(spark, sf):
 
 @R.add("win16_renumber", "SELECT p_partkey, p_brand, printf('Q-%03d', CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT)) AS qid FROM part")
 def _(spark, sf):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return table(spark, sf, "part").select("p_partkey", "p_brand", F.format_string("Q-%03d", F.row_number().over(w)).alias("qid"))
+    n = structure.numbered(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", ["p_partkey"], "n")
+    return n.select("p_partkey", "p_brand", F.format_string("Q-%03d", "n").alias("qid"))
 
 
 @R.add("win17_chunk_numbers", "SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 6, '0') AS chunk_id FROM documents")
 def _(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws("_", "source", F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("chunk_id"))
+    n = structure.numbered(table(spark, sf, "documents").select("doc_id", "source"), "source", ["doc_id"], "n")
+    return n.select("doc_id", F.concat_ws("_", "source", F.lpad(F.col("n").cast("string"), 6, "0")).alias("chunk_id"))
 
 
 def bm_sql(chunks: str, queries: str) -> str:

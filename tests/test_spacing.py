@@ -24,3 +24,16 @@ def test_spacing_against_one_pass(spark, monkeypatch):
             got.setdefault(r.d, []).append(r.p)
         assert {d: sorted(ps) for d, ps in got.items()} == {d: greedy(ps, gap) for d, ps in docs.items()}
     assert S.spaced(spark.createDataFrame([], "d int, p int"), "d", "p", 2).count() == 0
+
+
+def test_numbers_within_groups(spark):
+    from siltwork.operators import structure
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice([None, *range(40)])) for _ in range(500)]
+    got = structure.numbered(spark.createDataFrame(rows, "g string, o int").repartition(5), "g", ["o"], "n").collect()
+    for g in ("hot", "a", None):
+        mine = sorted((r.n, r.o) for r in got if r.g == g)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
+        assert [o for _, o in mine] == sorted((o for x, o in rows if x == g), key=lambda o: (o is not None, o or 0))
+    assert len(got) == 500
