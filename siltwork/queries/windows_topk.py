@@ -288,11 +288,11 @@ def first_word_said(pairs):
 _COUNTS = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
 
 
-@R.add("top02_encoder_documents", f"SELECT doc_id, list_transform(v, lambda x: round((CASE WHEN n > 0 THEN x / n ELSE x END)::FLOAT::DOUBLE, 5)) AS embedding, false AS failed FROM (SELECT doc_id, {_COUNTS} AS v, sqrt(list_inner_product({_COUNTS}, {_COUNTS})) AS n FROM documents)")
+@R.add("top02_encoder_documents", f"SELECT doc_id, array_to_string(list_transform(v, lambda x: round((CASE WHEN n > 0 THEN x / n ELSE x END)::FLOAT::DOUBLE * 100000)::BIGINT), ',') AS embedding, false AS failed FROM (SELECT doc_id, {_COUNTS} AS v, sqrt(list_inner_product({_COUNTS}, {_COUNTS})) AS n FROM documents)")
 def _(spark, sf):
     """The encoder hook over every whole text."""
     e = plugins.encode(table(spark, sf, "documents").select("doc_id", "text"), "text", letter_counts)
-    return e.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"), F.col("embedding_failure").isNotNull().alias("failed"))
+    return e.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), ",").alias("embedding"), F.col("embedding_failure").isNotNull().alias("failed"))
 
 
 @R.add("agg16_judge_replies", "SELECT a.conv_id, a.turn, CASE WHEN contains(q.text, ' ') THEN contains(a.text, split_part(q.text, ' ', 1)) END AS holds FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1")
