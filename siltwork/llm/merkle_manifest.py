@@ -121,7 +121,8 @@ def merkle_proofs(rows: DataFrame, group: str, order: str, digest_col: str, *pay
     their own. Groups ascend by `group`, null first (null is a group), strings by UTF-8 bytes.
     """
     own = list(dict.fromkeys([order, *payload]))
-    leaves = rows.select(F.col(group).alias("_group"), F.col(digest_col).alias("digest"), *own)
+    # written first: the range sort reads its input twice, and texts are to be hashed once
+    leaves = cut(rows.select(F.col(group).alias("_group"), F.col(digest_col).alias("digest"), *own))
     placed = numbered(leaves, "_place", F.col("_group").asc_nulls_first(), F.col(order).asc_nulls_first(), F.col("digest"))
     # a tree is named by its first leaf's place: names ascend as groups do
     trees = cut(placed.groupBy("_group").agg(F.min("_place").alias("tree"), F.count(F.lit(1)).alias("n")))
