@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, cut, lean, mix64, small_batches, U64
+from .common import cut, lean, small_batches
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Distinct words that a counting task holds before it gives out partial counts.
@@ -21,11 +21,11 @@ HELD_WORDS = 500_000
 #: The most frequent words travel to every task; all others are joined.
 HEAD_WORDS = 50_000
 END = b""
-#: Bytes before the one predicted that a predictor knows; 0 stands for the word before and the beginning of this one.
-ORDERS = (1, 2, 3, 4, 6, 0)
+#: Bytes before the one predicted that a predictor knows.
+ORDERS = (2, 4, 6)
 #: Bits of the predictors' tables, at most: each has a slot for every byte of training text up to that bound, which keeps what is
 #: broadcast under 16 MB. Short contexts have fewer values.
-BITS, MIN_BITS = (16, 18, 21, 22, 22, 22), 12
+BITS, MIN_BITS = (18, 22, 22), 12
 #: Training text of a counting task: as little as SMALL_TASK while cores are free, else LARGE_TASK. Partial counts added at once.
 SMALL_TASK, LARGE_TASK, FAN = 32 << 20, 256 << 20, 64
 #: Added to both counts of a bit; a predictor says log-odds in steps of 1 / SCALE, and is sure from SURE on.
@@ -34,10 +34,10 @@ DELTA, SCALE, SURE = 0.1, 16.0, 2.0
 #: a text, so that long texts are mixed in parallel.
 FIRST, RATE, REFINE, SEGMENT = 0.3, 0.015, 0.02, 2048
 #: Decisions after which the weights learn; a refined probability then learns from the last of them that it was used for.
-SPAN = 8
+SPAN = 16
 GATES, CELLS = len(ORDERS) + 1, 33
 #: Bytes of text that are mixed together.
-_STEP, _TRAIN_STEP = 1 << 21, 1 << 20
+_STEP, _TRAIN_STEP = 1 << 21, 1 << 22
 _CHUNK = 1 << 16
 
 
@@ -75,43 +75,17 @@ class Code:
                 todo += [(son, [*path, (node - 255, bit)]) for bit, son in enumerate(sons[node])]
         self.size = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.node = np.array([n for p in paths for n, _ in p], np.uint32)
+        self.turn = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x9E3779B1)
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
 
 
-class Decisions:
-    """The binary decisions of some streams, one after the other, and the slots of their predictors."""
+class Streams:
+    """Some streams, one after the other, and the hashes of the predictors' contexts."""
 
-    def __init__(self, streams: list[bytes], code: Code, bits: tuple[int, ...]):
-        self.data = data = np.frombuffer(b"".join(streams), np.uint8)
-        self.bits = bits
-        ends = np.cumsum([len(s) for s in streams])
-        self.texts = ends - [len(s) for s in streams]
-        size = code.size[data]
-        self.at = np.concatenate([[0], np.cumsum(size)])
-        pick = np.arange(self.at[-1], dtype=np.int32) + np.repeat((code.first[data] - self.at[:-1]).astype(np.int32), size)
-        self.turn = code.node[pick] * np.uint32(0x9E3779B1)
-        self.bit = code.bit[pick]
-        self.size = size
-
-    def _words(self) -> np.ndarray:
-        """Hash of the word before and of the beginning of the current one, at each byte."""
-        data, n = self.data, len(self.data)
-        gap = (data == 32) | (data == 10)
-        first = np.zeros(n + 1, bool)
-        first[1:] = gap
-        first[self.texts] = True
-        starts = np.flatnonzero(first[:n])
-        ends = np.append(starts[1:], n)
-        sizes = ends - starts
-        p, q = _powers(n + 1)
-        c = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * p[:n], out=c[1:])
-        whole = mix64((c[ends - gap[ends - 1]] - c[starts]) * q[starts] + U64(7))
-        before = np.concatenate([np.zeros(1, U64), whole[:-1]])
-        before[np.searchsorted(starts, self.texts)] = 0
-        own = np.repeat(starts, sizes)
-        return (mix64((c[:n] - c[own]) * q[own] ^ np.repeat(before, sizes)) >> U64(32)).astype(np.uint32)
+    def __init__(self, streams: list[bytes]):
+        self.data = np.frombuffer(b"".join(streams), np.uint8)
+        sizes = [len(s) for s in streams]
+        self.texts = np.cumsum(sizes) - sizes
 
     def contexts(self) -> list[np.ndarray]:
         """For each predictor the hash of its context at every byte."""
@@ -124,10 +98,36 @@ class Decisions:
                 history[0], history[1:] = 0, last[:-1]
                 history[self.texts] = 0
                 h, known = (h ^ history) * np.uint32(0x01000193) + np.uint32(0x9E3779B9), known + 1
-            x = h if order else self._words()
-            out.append((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D))
+            out.append((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D))
         return out
 
+
+def _turns(code: Code, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of decisions of each byte, where they begin, and of each decision the hash of its node and the bit."""
+    size = code.size[data]
+    at = np.concatenate([[0], np.cumsum(size)])
+    pick = np.arange(at[-1], dtype=np.int32) + np.repeat((code.first[data] - at[:-1]).astype(np.int32), size)
+    return size, at, code.turn[pick], code.bit[pick]
+
+
+def _slots(hashes: np.ndarray, size: np.ndarray, turn: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each decision of bytes in these contexts."""
+    x = np.repeat(hashes, size)
+    x += turn
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x >>= np.uint32(32 - bits)
+    return x
+
+
+class Decisions(Streams):
+    """The binary decisions of some streams and the slots of their predictors."""
+
+    def __init__(self, streams: list[bytes], code: Code, bits: tuple[int, ...]):
+        super().__init__(streams)
+        self.bits = bits
+        self.size, self.at, self.turn, self.bit = _turns(code, self.data)
+
     def slots(self, block: int) -> Iterator[tuple[int, slice, np.ndarray]]:
         """(predictor, decisions, their slots), in blocks of bytes whose arrays stay in a core's cache."""
         hashes = self.contexts()
@@ -135,12 +135,7 @@ class Decisions:
             hi = min(lo + block, len(self.data))
             here, size = slice(int(self.at[lo]), int(self.at[hi])), self.size[lo:hi]
             for k, (h, bits) in enumerate(zip(hashes, self.bits, strict=True)):
-                x = np.repeat(h[lo:hi], size)
-                x += self.turn[here]
-                x ^= x >> np.uint32(16)
-                x *= np.uint32(0x85EBCA6B)
-                x >>= np.uint32(32 - bits)
-                yield k, here, x
+                yield k, here, _slots(h[lo:hi], size, self.turn[here], bits)
 
 
 class Mixer:
@@ -155,8 +150,7 @@ class Mixer:
         self.code, self.bits, self.tables = code, bits, tables
         grid = (np.arange(CELLS) - CELLS // 2) / 2.0
         self.refined = np.tile(1 / (1 + np.exp(-grid)), GATES).astype(np.float32)
-        self.weights = np.zeros((GATES, 8), np.float32)
-        self.weights[:, : len(ORDERS)] = FIRST / SCALE
+        self.weights = np.full((GATES, len(ORDERS)), FIRST / SCALE, np.float32)
 
     def log10(self, streams: list[bytes]) -> np.ndarray:
         """log10 of the probability of each stream."""
@@ -172,12 +166,9 @@ class Mixer:
 
     def _log10(self, streams: list[bytes]) -> np.ndarray:
         d = Decisions(streams, self.code, self.bits)
-        rows, gates = np.zeros((len(d.bit), 8), np.int8), np.zeros(len(d.bit), np.uint8)
+        rows = np.empty((len(ORDERS), len(d.bit)), np.int8)
         for k, here, slot in d.slots(1 << 12):
-            said = self.tables[k].take(slot)
-            gates[here] += np.abs(said) >= SURE * SCALE
-            rows[here, k] = said
-        rows, gates = rows.view(np.int64)[:, 0], gates * np.uint8(2) + d.bit
+            self.tables[k].take(slot.astype(np.int64), out=rows[k, here], mode="clip")
         # lanes: stretches of SEGMENT bytes of one text, longest first
         text = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(d.texts, [*d.texts[1:], len(d.data)], strict=True)])
         stop = np.append(text[1:], len(d.data))
@@ -185,27 +176,36 @@ class Mixer:
         first, count = d.at[text], d.at[stop] - d.at[text]
         order = np.argsort(-count, kind="stable")
         first, count, owner = first[order], count[order], owner[order]
-        lanes, span = len(first), np.arange(SPAN)
+        # arrays below are (decision of the span, lane)
+        lanes, span = len(first), np.arange(SPAN)[:, None]
         weights, refined = np.tile(self.weights, (lanes, 1)), np.append(np.tile(self.refined, lanes), np.float32(0.5))
         cost, w0, r0 = np.zeros(lanes), np.arange(lanes) * GATES, np.arange(lanes) * (GATES * CELLS) + CELLS // 2
         for done in range(0, int(count[0]), SPAN):
             n = int(np.searchsorted(-count, -done, side="left"))
-            at = first[:n, None] + (done + span)
-            real = done + span < count[:n, None]
-            x = rows.take(at, mode="clip").view(np.int8).reshape(n, SPAN, 8).astype(np.float32)
-            got = gates.take(at, mode="clip")
-            gate, bit = (got[:, 0] >> np.uint8(1)).astype(np.int64), (got & np.uint8(1)).astype(np.float32)
+            at = first[:n] + (done + span)
+            x = [row.take(at, mode="clip").astype(np.float32) for row in rows]
+            bit = d.bit.take(at, mode="clip").astype(np.float32)
+            gate = sum((np.abs(v[0]) >= SURE * SCALE).astype(np.int64) for v in x)
             pick = w0[:n] + gate
-            w = weights.take(pick, axis=0)
-            dot = np.einsum("nsk,nk->ns", x, w)
+            w = weights.take(pick, axis=0).T
+            dot = x[0] * w[0]
+            for v, u in zip(x[1:], w[1:], strict=True):
+                dot += v * u
             np.clip(dot, -7.9, 7.9, out=dot)
             p = 1 / (1 + np.exp(-dot))
-            cell = np.where(real, (r0[:n] + gate * CELLS)[:, None] + np.rint(dot * 2).astype(np.int64), len(refined) - 1)
+            cell = (r0[:n] + gate * CELLS) + np.rint(dot * 2).astype(np.int64)
+            lost = bit - p
+            if count[n - 1] < done + SPAN:  # a lane ends within the span
+                over = done + span >= count[:n]
+                cell[over], lost[over] = len(refined) - 1, 0
             r = refined.take(cell)
-            cost[:n] += (np.log10(np.abs(0.5 * (p + r) + bit - 1)) * real).sum(axis=1, dtype=np.float64)
-            refined[cell] = r + (bit - r) * REFINE
-            weights[pick] = w + np.einsum("ns,nsk->nk", (bit - p) * real, x) * (RATE / SCALE**2)
-        return np.bincount(owner, cost, len(streams))
+            price = np.log(np.abs(0.5 * (p + r) + bit - 1))
+            if count[n - 1] < done + SPAN:
+                price[over] = 0
+            cost[:n] += price.sum(axis=0, dtype=np.float64)
+            refined[cell] = r + (bit - r) * np.float32(REFINE)
+            weights[pick] = (w + np.stack([(lost * v).sum(axis=0) for v in x]) * np.float32(RATE / SCALE**2)).T
+        return np.bincount(owner, cost / math.log(10), len(streams))
 
 
 def _raw(col: pa.Array) -> pa.Array:
@@ -246,13 +246,16 @@ def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_bits(streams: list[bytes], code: Code, bits: tuple[int, ...], total: list[np.ndarray]) -> None:
     """Add the decisions of the streams to ``total``, each predictor's (slots, 2) counts of the bit 0 and the bit 1."""
-    d = Decisions(streams, code, bits)
-    for k, here, slot in d.slots(1 << 20):
-        slot *= np.uint32(2)
-        slot += d.bit[here]
-        slot.sort()
-        last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True))
-        total[k].reshape(-1)[slot[last]] += np.diff(last, prepend=-1).astype(np.uint32)
+    s = Streams(streams)
+    for k, h in enumerate(s.contexts()):
+        # equal bytes in equal contexts decide alike: counted first, their decisions are made once
+        key = h.astype(np.uint64) << np.uint64(8) | s.data
+        key.sort()
+        last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        key, n = key[last], np.diff(last, prepend=-1).astype(np.uint32)
+        size, _, turn, bit = _turns(code, (key & np.uint64(255)).astype(np.uint8))
+        slot = _slots((key >> np.uint64(8)).astype(np.uint32), size, turn, bits[k]).astype(np.int64)
+        np.add.at(total[k].reshape(-1), slot * 2 + bit, np.repeat(n, size))
 
 
 def stretch(total: np.ndarray) -> np.ndarray:
@@ -379,8 +382,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     come. Other columns are ignored, an empty table gives an empty result.
 
     ``score`` is the sum of the mixed log10 probabilities of all bits of the words, blanks and the end.
-    Each predictor hashes the last bytes, or the word before and the beginning of this one, and the place in the
-    byte's code to a slot with the log-odds of all training texts; contexts cross words. Weights by gate
+    Each predictor hashes the last bytes and the place in the byte's code to a slot with the log-odds of all training texts; contexts cross words. Weights by gate
     and refined probabilities learn with the bits as they come, anew in each SEGMENT bytes of a text.
     """
     spark = docs.sparkSession

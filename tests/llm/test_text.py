@@ -310,6 +310,22 @@ def test_held_out_texts_cost_less_than_under_the_base(spark):
     assert got[0] > got[1]
 
 
+def test_counting_makes_the_decisions_of_equal_contexts_once(monkeypatch):
+    """The counts are those of all decisions one by one, but a line that comes a thousand times costs its decisions once."""
+    streams = [b"the same line again\n"] * 1000 + [b"another one\n", b"\n"]
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    code, bits = LM.Code(np.bincount(data, minlength=256)), LM.table_bits(len(data))
+    d, want = LM.Decisions(streams, code, bits), [np.zeros((1 << b, 2), np.uint32) for b in bits]
+    for k, here, slot in d.slots(1 << 12):
+        np.add.at(want[k], (slot.astype(np.int64), d.bit[here].astype(np.int64)), 1)
+    made, turns = [], LM._turns
+    monkeypatch.setattr(LM, "_turns", lambda c, x: made.append(len(x)) or turns(c, x))
+    got = [np.zeros((1 << b, 2), np.uint32) for b in bits]
+    LM.count_bits(streams, code, bits, got)
+    assert all((g == w).all() for g, w in zip(got, want, strict=True))
+    assert sum(made) < 40 * len(bits) < len(data)
+
+
 def test_partial_counts_add_up(spark, monkeypatch):
     """Many tasks and sums of sums give the tables of one task."""
     docs = fx.table(spark, "documents")
