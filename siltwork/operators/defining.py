@@ -16,10 +16,8 @@ LABELLED, LISTED = "^[^:\\n]{0,14}:", "(^|\\n)[ \\t]*[a-z0-9]{1,3}[).][ \\t]*$"
 
 def postings(chunks: DataFrame, names: DataFrame, longest: int = gloss.LONGEST) -> DataFrame:
     """(name_id, alias, id): chunks whose head or body has the alias as whole words. Runs of words meet the names by equality."""
-    rows = chunks.select("id", F.explode(F.array("head", "body")).alias("s")).select("id", gloss.words(F.col("s")).alias("w"))
-    sizes = F.array(*(F.lit(n) for n in range(1, longest + 1)))
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    said = rows.where("size(w) > 0").select("id", F.explode(F.array_distinct(F.flatten(F.transform(sizes, run)))).alias("alias"))
+    runs = F.array_union(gloss.said_runs(F.col("head"), longest), gloss.said_runs(F.col("body"), longest))
+    said = chunks.select("id", F.explode(runs).alias("alias"))
     return said.join(names.select("name_id", "alias"), "alias").select("name_id", "alias", "id").distinct()
 
 

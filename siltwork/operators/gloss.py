@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: Words of the longest phrase.
 LONGEST = 4
 
@@ -29,13 +31,12 @@ def glosses(texts: DataFrame, key: str, text: Column, table: DataFrame, endings:
     least gloss counts. A text's runs are gathered in one row, as many as it has words. Texts without a hit have no row.
     """
     entries = table.groupBy("phrase").agg(F.min("gloss").alias("gloss"))
-    rows = texts.select(F.col(key).alias("q"), words(text).alias("w"))
     sizes = F.array(*(F.lit(n) for n in range(1, longest + 1)))
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct((-n).alias("rank"), i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))
-    runs = F.filter(F.flatten(F.transform(sizes, run)), lambda x: x["at"] + x["n"] - 1 <= F.size("w"))
+    run = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.struct((-n).alias("rank"), i.alias("at"), n.alias("n"), F.array_join(F.slice(w, i, n), " ").alias("phrase")))
+    runs = lambda w: F.filter(F.flatten(F.transform(sizes, lambda n: run(w, n))), lambda x: x["at"] + x["n"] - 1 <= F.size(w))
     # a stem stands after every phrase, those of a word in the order of the endings
-    bare = F.flatten(F.transform("w", lambda w, i: F.transform(stems(w, endings), lambda s, k: F.struct((k + 1).alias("rank"), (i + 1).alias("at"), F.lit(1).alias("n"), s.alias("phrase")))))
-    found = rows.select("q", F.explode(F.concat(runs, bare)).alias("x")).select("q", "x.*").join(entries, "phrase")
+    bare = lambda w: F.flatten(F.transform(w, lambda v, i: F.transform(stems(v, endings), lambda s, k: F.struct((k + 1).alias("rank"), (i + 1).alias("at"), F.lit(1).alias("n"), s.alias("phrase")))))
+    found = texts.select(F.col(key).alias("q"), F.explode(once(words(text), lambda w: F.concat(runs(w), bare(w)))).alias("x")).select("q", "x.*").join(entries, "phrase")
     # phrases by length, then by place; stems by place, then by ending
     order = F.struct((F.col("rank") > 0).alias("stem"), F.when(F.col("rank") > 0, F.col("at")).otherwise(F.col("rank")).alias("first"), F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.col("at")).alias("then"), "at", "n", "phrase", "gloss")
     kept = F.array().cast("array<struct<stem:boolean,first:int,then:int,at:int,n:int,phrase:string,gloss:string>>")
@@ -45,6 +46,13 @@ def glosses(texts: DataFrame, key: str, text: Column, table: DataFrame, endings:
     return out.select(F.col("q").alias(key), "turn", "x.phrase", "x.at", "x.gloss")
 
 
+def said_runs(text: Column, longest: int = LONGEST) -> Column:
+    """Every run of up to `longest` words of a text; a text shorter than a run has none of its length."""
+    sizes = F.array(*(F.lit(n) for n in range(1, longest + 1)))
+    run = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return once(words(text), lambda w: F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.size(w)), lambda n: run(w, n))))
+
+
 def expand(texts: DataFrame, key: str, text: str, table: DataFrame, endings: tuple[str, ...]) -> DataFrame:
     """texts with `expanded`: the text and after it the glosses of its words, phrases by length first; unchanged without any."""
     hits = glosses(texts, key, F.col(text), table, endings).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "gloss"))), lambda x: x["gloss"]), " ").alias("_said"))

@@ -63,12 +63,7 @@ def probe_counts(chunks: DataFrame, text: str, probes: DataFrame, longest: int =
     A probe table of any size meets the texts' runs of up to `longest` words by equality; runs are counted within a text, then
     in one combined shuffle. Terms are in lower case with single blanks; a null min_count is 1. Every use counts, overlapping ones too.
     """
-    sizes = F.array(*(F.lit(n) for n in range(1, longest + 1)))
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    w = chunks.select(gloss.words(F.col(text)).alias("w")).where("size(w) > 0")
-    # a text shorter than a run gives itself once for its own length only
-    fits = F.filter(sizes, lambda n: n <= F.size("w"))
-    said = w.select(F.explode(F.flatten(F.transform(fits, run))).alias("term"))
+    said = chunks.select(F.explode(gloss.said_runs(F.col(text), longest)).alias("term"))
     counted = said.join(probes.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     out = probes.join(counted, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("met", F.col("n") >= F.coalesce("min_count", F.lit(1)))
