@@ -12,6 +12,10 @@ from ..plans.session import ship
 from . import retrieval
 
 
+#: Shares that the chunks of a section are dealt over.
+SHARES = 32
+
+
 def pattern_tags(text: Column, patterns) -> Column:
     """Keys of the patterns found, in the registry's order; one pass over the text a pattern, no join."""
     return F.filter(F.array(*(F.when(text.rlike(rx), F.lit(k)) for k, rx in patterns)), lambda x: x.isNotNull())
@@ -90,8 +94,7 @@ def cache_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, score): the point of greatest dot product. Each task keeps one best row a query."""
-    s = retrieval.against(points, queries, F.col("qid") != F.col("id")).select("qid", "id", retrieval.dot(F.col("qv"), F.col("embedding")).alias("score"))
-    return s.groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.round(F.max("score"), 6).alias("score"))
+    return retrieval.dense_top(points, queries, 1).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def align_lines(ref: DataFrame, hyp: DataFrame, least: float) -> DataFrame:
@@ -147,10 +150,17 @@ def section(clause: Column, depth: int = 2) -> Column:
 
 
 def related(chunks: DataFrame, products: DataFrame) -> DataFrame:
-    """Chunks (clause, scope, others) with the products (product, clause, scope) of their section whose scope covers them."""
-    p = products.select("product", section(F.col("clause")).alias("section"), F.col("scope").alias("product_scope"))
-    c = chunks.withColumn("section", section(F.col("clause")))
-    return c.join(p, "section").where((F.col("product_scope") == "both") | F.startswith("scope", "product_scope"))
+    """Chunks (clause, scope, others) with the products (product, clause, scope) of their section whose scope covers them.
+
+    Sections are few and their pairs many, so each section is dealt over SHARES shares of its chunks, every one of which
+    gets all its products; the number of partitions is given, since small inputs with a large result would be merged into one.
+    """
+    tasks = SHARES * products.sparkSession.sparkContext.defaultParallelism
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    p = products.select("product", section(F.col("clause")).alias("section"), F.col("scope").alias("product_scope"), shares.alias("share"))
+    c = chunks.withColumn("section", section(F.col("clause"))).withColumn("share", F.pmod(F.xxhash64(*chunks.columns), F.lit(SHARES)).cast("int"))
+    dealt = c.repartition(tasks, "section", "share").join(p.repartition(tasks, "section", "share").hint("shuffle_hash"), ["section", "share"])
+    return dealt.where((F.col("product_scope") == "both") | F.startswith("scope", "product_scope")).drop("share")
 
 
 def scoped_manuals(questions: DataFrame, manuals: DataFrame, wide: tuple[str, ...] = ("any", "both", "ambiguous")) -> DataFrame:

@@ -160,9 +160,9 @@ def _(spark, sf):
 
 @R.add("rul07_score_floor", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS qid, max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS top FROM q JOIN embeddings e ON q.vec_id <> e.vec_id GROUP BY 1) SELECT qid, top < 0.4044 AS abstains FROM s")
 def _(spark, sf):
-    from .aggregates import ranked
+    from .aggregates import nearest
 
-    return ranked(spark, sf).groupBy("qid").agg(F.max("score").alias("top")).select("qid", (F.coalesce("top", F.lit(0.0)) < retrieval.SCORE_FLOOR).alias("abstains"))
+    return nearest(spark, sf, 1).select("qid", F.col("score").alias("top")).select("qid", (F.coalesce("top", F.lit(0.0)) < retrieval.SCORE_FLOOR).alias("abstains"))
 
 
 @R.add("rul08_label_omitted", f"WITH b AS ({fx.BANK}), l AS (SELECT * FROM (VALUES ('area manager'), ('branch officer'), ('programme head'), ('taka')) t(label)) SELECT DISTINCT id, label FROM b JOIN l ON contains(chunk_text, label) WHERE NOT contains(explanation, label)")

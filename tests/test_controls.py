@@ -95,3 +95,49 @@ def test_entry_without_the_llm_folder(tmp_path):
     assert said.returncode == 0, said.stderr
     n, ops = said.stdout.split()[-2:]
     assert int(n) > 150 and ops == "False"
+
+
+def test_one_section_is_dealt_over_tasks(spark):
+    """Pairs of a single section come from many tasks, and are those of the plain join."""
+    c = spark.range(600).select("id", F.concat(F.lit("1.2."), F.col("id").cast("string")).alias("clause"), F.concat(F.lit("b"), (F.col("id") % 3).cast("string")).alias("scope"))
+    p = spark.range(30).select(F.col("id").alias("product"), F.concat(F.lit("1.2."), F.col("id").cast("string")).alias("clause"), F.when(F.col("id") % 2 == 0, "both").otherwise("b1").alias("scope"))
+    r = joins.related(c, p).select("id", "product", F.spark_partition_id().alias("task"))
+    assert r.select("task").distinct().count() > 8
+    assert r.select("id", "product").distinct().count() == r.count() == 600 * 15 + 200 * 15
+
+
+def test_words_of_a_text_are_parted_once(spark):
+    """A long text costs its words, not their square: ten thousand words in every place of a lambda would take minutes."""
+    from siltwork.operators import gloss
+
+    df = spark.createDataFrame([(1, " ".join(f"w{i % 977}" for i in range(20_000)))], "id long, text string")
+    plan = df.select(F.explode(gloss.said_runs(F.col("text"))).alias("r"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    assert plan.count() == 4 * 20_000 - 6
+
+
+def test_similar_sets_shuffle_only_shared_hashes(spark):
+    """Two long texts that differ in a word are a pair; shingles stay strings, whose arrays Spark compares by hash."""
+    base = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:200] + ["x"] + base[201:])), (3, " ".join(f"u{i}" for i in range(400)))], "id long, text string")
+    sets = dedup.shingle_sets(df, "id")
+    assert sets.schema["sh"].dataType.simpleString() == "array<string>"
+    got = dedup.similar_sets(sets, 0.75).collect()
+    assert [(r.a, r.b, r.inter, r.na, r.nb) for r in got] == [(1, 2, 395, 398, 398)]
+
+
+def test_dense_search_shuffles_no_pairs(spark):
+    """Best points of each query and of each group, ties by id, missing vectors last; each task gives out at most k a query."""
+    rows = [(i, None if i == 7 else [float(i % 5), float(i % 3), 1.0], i % 2) for i in range(400)]
+    e = spark.createDataFrame(rows, "id long, embedding array<float>, g long")
+    q = e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    score = lambda a, b: None if a is None or b is None else sum(x * y for x, y in zip(a, b))
+    best = lambda held, a, i, k: sorted(((j, score(a, b)) for j, b, _ in held if j != i), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:k]
+    want = {(i, j, s) for i, a, _ in rows if i % 100 == 0 for j, s in best(rows, a, i, 6)}
+    got = retrieval.dense_top(e, q, 6)
+    assert {(r.qid, r.id, r.score) for r in got.collect()} == want
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
+    want = {(i, str(g), best([r for r in rows if r[2] == g], a, i, 1)[0][0]) for i, a, _ in rows if i % 100 == 0 for g in (0, 1)}
+    assert {(r.qid, r.g, r.id) for r in retrieval.dense_top(e, q, 1, "g").collect()} == want
+    assert len(retrieval.dense_top(e, q, 500).where("qid = 0").collect()) == 399
+    assert retrieval.dense_top(e.where("false"), q, 3).count() == 0 == retrieval.dense_top(e, q.where("false"), 3).count()
