@@ -111,6 +111,22 @@ def test_components_of_long_chains(spark):
     assert set(got.values()) == {0, 1000} and len(got) == 203
 
 
+def test_components_walk_leads_only(spark, monkeypatch):
+    """Five hundred nodes under eight leads each: what is walked in rounds is links between leads, a link a member before."""
+    from siltwork.llm import components as C
+
+    rng, walked, plain = random.Random(9), [], C.passed
+    pairs = [(a, b) for b in range(100, 600) for a in rng.sample(range(20), 8)] + [(650, 600), (650, 700), (700, 599), (800, 900), (5, 5), (950, 950)]
+    own = {n: n for p in pairs for n in p}
+    for _ in own:
+        for a, b in pairs:
+            own[a] = own[b] = min(own[a], own[b])
+    monkeypatch.setattr(C, "passed", lambda links: walked.append(links.count()) or plain(links))
+    got = C.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted(own.items())
+    assert walked[0] < 300 < len(pairs)
+
+
 def test_links_inside_a_star_grow_in_proportion(spark, monkeypatch):
     """One hot group of near copies, many of which its smallest member doesn't link: links are never listed by pairs."""
     rng, rows, counts = random.Random(3), [], []
