@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from ..functions import figures as N
+from ..functions import scan
 from ..functions import sequences as Q
 from ..functions import text as T
 from ..operators import gloss as G
@@ -245,7 +246,7 @@ def _(spark, sf):
 
 @R.add("str17_legacy_paragraph_score", f"SELECT doc_id, CASE WHEN n < 6 THEN 0.0 ELSE round(least((CASE WHEN la / greatest(n, 1) > 0.5 THEN 0.45 ELSE 0 END) + 0.3 * least(hits / 5, 1) + (CASE WHEN vs / greatest(la, 1) > 0.08 THEN 0.25 ELSE 0 END), 1), 2) END AS score FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS n, length(regexp_replace(text, '[^A-Za-z\\x{{80}}-\\x{{ff}}\\x{{2018}}-\\x{{2030}}]', '', 'g')) AS la, length(text) - length(replace(text, 'v', '')) AS vs, {HITS.replace('contains(s,', 'contains(text,')} AS hits FROM documents)")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.legacy_paragraph_score("text", MARKERS).alias("score"))
+    return table(spark, sf, "documents").select("doc_id", scan.legacy_paragraph_score(F.col("text"), MARKERS).alias("score"))
 
 
 @R.add("str25_word_error_rate", "WITH p AS (SELECT a.item_id, string_split(a.text, ' ') AS x, string_split(a.text[1:60] || ' ' || b.text[20:80], ' ') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), k AS (SELECT *, list_distinct(x || y) AS w FROM p), d AS (SELECT item_id, len(x) AS n, levenshtein(array_to_string(list_transform(x, lambda t: chr(CAST(32 + list_position(w, t) AS INT))), ''), array_to_string(list_transform(y, lambda t: chr(CAST(32 + list_position(w, t) AS INT))), '')) AS edits, len(w) AS kinds FROM k) SELECT item_id, edits, round(edits / n, 4) AS wer FROM d WHERE kinds <= 90")
