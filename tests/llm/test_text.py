@@ -335,3 +335,16 @@ def test_partial_counts_add_up(spark, monkeypatch):
     monkeypatch.setattr(LM, "FAN", 2)
     many = {r.doc_id: r.score for r in LM.lm_scores(docs.repartition(7)).collect()}
     assert all(abs(one[k] - v) < 1e-6 * max(1, abs(v)) for k, v in many.items())
+
+
+def test_words_of_a_decision_are_what_the_slots_say():
+    """The tables' log-odds and the bit of a decision, fetched at once, are those of its slots."""
+    streams = [b"some words of a line\n", b"\n", "é and ৯\n".encode()]
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    code, bits = LM.Code(np.bincount(data, minlength=256)), LM.table_bits(len(data))
+    tables = [np.random.default_rng(k).integers(-127, 128, 1 << b).astype(np.int8) for k, b in enumerate(bits)]
+    d = LM.Decisions(streams, code, bits)
+    got = d.said(tables, 7).view(np.int8).reshape(-1, 4)
+    assert (got[:, 3] == d.bit).all()
+    for k, here, slot in d.slots(5):
+        assert (got[here, k] == tables[k][slot]).all()
