@@ -37,3 +37,15 @@ def test_gloss_against_plain(spark):
     for i, s in rows:
         assert (got[i] or "") == (plain(s, table, ends) or ""), s
     assert G.glosses(spark.createDataFrame(rows, "i int, s string"), "i", F.col("s"), t.where("false"), ends).count() == 0
+
+
+def test_only_runs_of_the_table_are_written(spark):
+    """What leaves a task are the runs that the table may hold, and a long text's hits are gone through once each."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(400)) + " big loan") for i in range(40)] + [(40, "big loan, " * 20_000)]
+    texts = spark.createDataFrame(rows, "i int, s string")
+    t = spark.createDataFrame([("big loan", "<1>"), ("loan", "<2>")], "phrase string, gloss string")
+    said = G.phrases_said(texts.where("i < 40"), "i", [G.words(F.col("s"))], t, ("s",))
+    assert sorted((r.phrase, r.rank, r.at, r.n) for r in said.collect()) == [("big loan", -2, 401, 2)] * 40 + [("loan", -1, 402, 1)] * 40
+    assert "Generate explode" not in said._jdf.queryExecution().toString()
+    got = {r.i: r.n_glosses for r in G.expand(texts, "i", "s", t, ()).collect()}
+    assert got[40] == 20_000 and got[3] == 1
