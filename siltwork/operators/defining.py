@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from . import gloss
 
 # Points of each piece of evidence, names in a heading that then defines none, characters looked at around a name, least score.
@@ -15,10 +16,11 @@ LABELLED, LISTED = "^[^:\\n]{0,14}:", "(^|\\n)[ \\t]*[a-z0-9]{1,3}[).][ \\t]*$"
 
 
 def postings(chunks: DataFrame, names: DataFrame, longest: int = gloss.LONGEST) -> DataFrame:
-    """(name_id, alias, id): chunks whose head or body has the alias as whole words. Runs of words meet the names by equality."""
-    runs = F.array_union(gloss.said_runs(F.col("head"), longest), gloss.said_runs(F.col("body"), longest))
-    said = chunks.select("id", F.explode(runs).alias("alias"))
-    return said.join(names.select("name_id", "alias"), "alias").select("name_id", "alias", "id").distinct()
+    """(name_id, alias, id): chunks whose head or body has the alias as whole words. Runs of words meet the names by equality; runs of no name are not written."""
+    aliases = names.select(F.col("alias").alias("phrase")).distinct()
+    said = gloss.phrases_said(chunks, "id", [gloss.words(F.col(c)) for c in ("head", "body")], aliases, longest=longest)
+    met = said.select(F.col("phrase").alias("alias"), F.col("q").alias("id")).distinct()
+    return met.join(names.select("name_id", "alias").distinct(), "alias").select("name_id", "alias", "id")
 
 
 def evidence(chunks: DataFrame, names: DataFrame, verbs: str, changes: str, intro: str) -> DataFrame:
@@ -32,25 +34,32 @@ def evidence(chunks: DataFrame, names: DataFrame, verbs: str, changes: str, intr
     heading counts does the body: a label before a colon, else a list item. A defining verb soon after the first use in the
     body always counts. Tables, change logs and introductions count against.
     """
-    inside = lambda s, a: F.concat(F.lit(" "), F.array_join(gloss.words(s), " "), F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
-    j = postings(chunks, names).join(chunks, "id")
-    head, low, alias = F.lower(F.coalesce("head", F.lit(""))), F.lower(F.coalesce("body", F.lit(""))), F.col("alias")
-    j = j.withColumn("in_head", inside(F.col("head"), alias))
-    crowd = j.where("in_head").groupBy("id").agg(F.count_distinct("name_id").alias("crowd"))
-    at = F.instr(low, alias)
-    j = j.join(crowd, "id", "left").withColumn("own", F.col("in_head") & (F.col("crowd") < CROWD))
-    after, before = F.substring(low, at + F.length(alias), F.lit(AFTER)), F.substring(low, F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE)))
-    in_body = at > 0
-    ends = F.endswith(F.array_join(gloss.words(F.col("head")), " "), alias)
-    labelled = in_body & ~F.col("own") & after.rlike(LABELLED)
-    found: list[tuple[Column, int, str]] = [
-        (F.col("own"), HEADING, "own heading"), (F.col("own") & ends, HEADING_END, "heading ends with it"), (labelled, LABEL, "label"), (in_body & ~F.col("own") & ~labelled & before.rlike(LISTED), ITEM, "list item"),
-        (in_body & after.rlike(verbs), VERB, "verb"), (F.coalesce("is_table", F.lit(False)), TABLE, "table"), (head.rlike(changes), CHANGES, "changes"), (head.rlike(intro), INTRO, "introduction"),
-    ]
-    score = sum((F.when(c, k).otherwise(0) for c, k, _ in found), F.lit(0))
-    why = F.filter(F.array(*(F.when(c, F.lit(n)) for c, _, n in found)), lambda x: x.isNotNull())
-    scored = j.select("name_id", "id", "ord", score.alias("score"), why.alias("why"))
-    return scored.groupBy("name_id", "id", "ord").agg(F.max(F.struct("score", "why")).alias("x")).select("name_id", "id", "ord", "x.score", "x.why")
+    held = postings(chunks, names).groupBy("id").agg(F.collect_list(F.struct("name_id", "alias")).alias("names"))
+    # texts are put in lower case and parted once a chunk, not once a name, and a chunk meets its names in one row
+    text = F.struct(F.array_join(gloss.words(F.col("head")), " ").alias("said"), F.lower(F.coalesce("head", F.lit(""))).alias("head"), F.lower(F.coalesce("body", F.lit(""))).alias("low"), F.coalesce("is_table", F.lit(False)).alias("is_table"))
+    inside = lambda c, a: F.concat(F.lit(" "), c["said"], F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
+
+    def judged(c: Column) -> Column:
+        own = F.transform("names", lambda n: F.struct(n["name_id"].alias("name_id"), n["alias"].alias("alias"), inside(c, n["alias"]).alias("in_head"), F.instr(c["low"], n["alias"]).alias("at")))
+        crowd = lambda ns: F.size(F.array_distinct(F.transform(F.filter(ns, lambda n: n["in_head"]), lambda n: n["name_id"])))
+        return once(own, lambda ns: once(crowd(ns), lambda k: F.transform(ns, lambda n: once(around(c, n), lambda x: points(c, n, n["in_head"] & (k < CROWD), x)))))
+
+    def around(c: Column, n: Column) -> Column:
+        at = n["at"]
+        return F.struct(F.substring(c["low"], at + F.length(n["alias"]), F.lit(AFTER)).alias("after"), F.substring(c["low"], F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE))).alias("before"))
+
+    def points(c: Column, n: Column, own: Column, x: Column) -> Column:
+        in_body = n["at"] > 0
+        labelled = in_body & ~own & x["after"].rlike(LABELLED)
+        found: list[tuple[Column, int, str]] = [
+            (own, HEADING, "own heading"), (own & F.endswith(c["said"], n["alias"]), HEADING_END, "heading ends with it"), (labelled, LABEL, "label"), (in_body & ~own & ~labelled & x["before"].rlike(LISTED), ITEM, "list item"),
+            (in_body & x["after"].rlike(verbs), VERB, "verb"), (c["is_table"], TABLE, "table"), (c["head"].rlike(changes), CHANGES, "changes"), (c["head"].rlike(intro), INTRO, "introduction"),
+        ]
+        why = F.filter(F.array(*(F.when(c, F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))) for c, k, w in found)), lambda e: e.isNotNull())
+        return once(why, lambda w: F.struct(n["name_id"].alias("name_id"), F.aggregate(w, F.lit(0), lambda s, e: s + e["k"]).alias("score"), F.transform(w, lambda e: e["w"]).alias("why")))
+
+    j = chunks.join(held, "id").select("id", "ord", F.explode(once(text, judged)).alias("x")).select("x.name_id", "id", "ord", "x.score", "x.why")
+    return j.groupBy("name_id", "id", "ord").agg(F.max(F.struct("score", "why")).alias("x")).select("name_id", "id", "ord", "x.score", "x.why")
 
 
 def defining_chunks(chunks: DataFrame, names: DataFrame, verbs: str, changes: str, intro: str, least: int = LEAST) -> DataFrame:

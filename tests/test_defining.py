@@ -13,6 +13,7 @@ CHUNKS = [
     (8, 8, "Limits", "big loan: again for houses", False),
     (9, 9, None, None, None),
 ]
+CHUNK_COLUMNS = "id int, ord int, head string, body string, is_table boolean"
 NAMES = [("g", "goti loan"), ("b", "big loan"), ("f", "farm loan"), ("z", "gold loan"), ("n", "never said"), ("g", "goti")]
 
 
@@ -29,3 +30,15 @@ def test_defining_chunks(spark):
     best = {r.name_id: (r.id, r.score) for r in D.defining_chunks(c, n, *rules).collect()}
     assert best == {"g": (1, 8), "b": (4, 3), "f": (5, 3), "z": (None, None), "n": (None, None)}
     assert D.defining_chunks(c.where("false"), n, *rules).where("id is not null").count() == 0
+
+
+def test_a_chunk_meets_its_names_in_one_row(spark):
+    """Runs that are no name are not written, and a body is not copied for each of its names."""
+    body = " ".join(f"alpha{k} beta{k}" for k in range(300))
+    c = spark.createDataFrame([(1, 1, "Limits", body, False)], CHUNK_COLUMNS)
+    n = spark.createDataFrame([(f"n{k}", f"alpha{k} beta{k}") for k in range(300)], "name_id string, alias string")
+    assert D.postings(c, n).count() == 300
+    assert "explode" not in D.postings(c, n)._jdf.queryExecution().toString().lower()
+    e = D.evidence(c, n, "^ alpha1 ", "changes", "^intro")
+    assert sorted((r.name_id, r.score) for r in e.where("score > 0").collect()) == [("n0", 2)]
+    assert "instr(lower" not in e._jdf.queryExecution().optimizedPlan().toString()
