@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gloss, joins, retrieval
+from . import gloss, joins
 
 
 def fact_buckets(facts: DataFrame, answers: DataFrame, context: DataFrame, groups: DataFrame) -> DataFrame:
@@ -47,14 +47,13 @@ def citation_accuracy(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
-def quiet_and_blind(scores: DataFrame, ks: tuple[int, ...], deepest: int) -> DataFrame:
+def quiet_and_blind(ranks: DataFrame, ks: tuple[int, ...], deepest: int) -> DataFrame:
     """(k, quiet, blind): share of questions without a wrong chunk among the first k, and questions without a right one among the ``deepest``.
 
-    scores: qid, id, score, gold.
+    ranks: qid, right, wrong, the first ranks of either, null where there is none.
     """
-    wrong, right = (retrieval.first_rank(scores, F.col("gold") == g, name) for g, name in ((False, "wrong"), (True, "right")))
-    k = wrong.join(right, "qid").select("wrong", "right", F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    return k.groupBy("k").agg(F.avg((F.coalesce("wrong", F.lit(1 << 30)) > F.col("k")).cast("int")).alias("quiet"), F.count_if(F.coalesce("right", F.lit(1 << 30)) > deepest).alias("blind"))
+    k = ranks.select("wrong", "right", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    return k.groupBy("k").agg(F.avg((F.coalesce("wrong", F.lit(1 << 62)) > F.col("k")).cast("int")).alias("quiet"), F.count_if(F.coalesce("right", F.lit(1 << 62)) > deepest).alias("blind"))
 
 
 def probe_counts(chunks: DataFrame, text: str, probes: DataFrame, longest: int = gloss.LONGEST) -> DataFrame:
