@@ -65,3 +65,34 @@ def test_copies_are_annotated_from_one_digest(spark):
     docs = spark.createDataFrame([(3, "a  b", "x"), (1, "a b ", "y"), (2, "", "x"), (4, None, "x"), (5, "c", "x")], "doc_id long, text string, source string")
     got = {r.id: (r.dup_group is not None, r.dup_primary, r.dup_size) for r in dedup.annotate(docs, F.col("doc_id"), "source", F.lit(0)).collect()}
     assert got == {1: (True, True, 2), 3: (True, False, 2), 2: (False, True, 1), 4: (False, True, 1), 5: (False, True, 1)}
+
+
+def test_near_pairs_leave_no_shingles_in_the_shared_folder(spark):
+    """Pairs of near copies as all-pairs finds them, with less written than the texts; copies and short texts included."""
+    import random
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from siltwork.operators import dedup
+
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(rng.choice((1, 2, 3, 40, 300)))]
+        for k in range(rng.choice((1, 1, 2, 3))):
+            rows.append((len(rows), " ".join(w if rng.random() > 0.02 * k else "x" for w in words)))
+    rows += [(len(rows), None), (len(rows) + 1, " ")]
+    sets = {}
+    for i, s in rows:
+        w = (s or "").split()
+        sets[i] = set(zip(w, w[1:], w[2:])) if len(w) >= 3 else set(w)
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "id long, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before = held()
+    assert {(r.a, r.b) for r in dedup.near_texts(df, df.select("id"), 0.75).collect()} == want and len(want) > 100
+    assert held() - before < sum(len(s or "") for _, s in rows) / 4
+    before = held()
+    members, pairs = dedup.near_classes(df.where(F.col("id") < 200), "id", 0.75)
+    assert pairs.count() > 10 and held() - before < sum(len(s or "") for i, s in rows if i < 200) / 2
